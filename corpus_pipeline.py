@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veldgraph.llm import decontam, mixing, quality, sharding
+from veldgraph.llm import decontam, mixing, near_dedup, quality, sharding
 from veldgraph.llm.common import stash, table
 
 
