@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -141,3 +142,9 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def bits_for(n: int) -> int:
     return max(1, math.ceil(math.log2(max(2, n))))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

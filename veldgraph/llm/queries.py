@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, mixing, near_dedup, pii, quality, sharding, warc
+from . import decontam, exact_dedup, mixing, near_dedup, pii, quality, sharding, suffix_dedup, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_quality_scores(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc_index, op3_pii_surrogates, op4_source_mixing, op6_near_dedup, op7_decontamination, op8_extendible_sharding, op10_quality_scores)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc_index, op3_pii_surrogates, op4_source_mixing, op5_suffix_dedup, op6_near_dedup, op7_decontamination, op8_extendible_sharding, op10_quality_scores)}
 
 _OP1 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
