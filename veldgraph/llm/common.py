@@ -108,26 +108,25 @@ def word_bounds(separator: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, stops, np.searchsorted(starts, at)
 
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+#: Bases of the running polynomial sums, odd and so invertible modulo 2^64.
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xB5026F5AA96619E9))
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
+def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    if which not in _powers or len(_powers[which][0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
-        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        up, down = np.full(size, _ODD), np.full(size, inverse)
+        up, down = np.full(size, _BASES[which]), np.full(size, np.uint64(pow(int(_BASES[which]), -1, 1 << 64)))
         up[0] = down[0] = 1
-        _powers = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers
+        _powers[which] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return _powers[which]
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one running polynomial sum."""
+def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span, from one running polynomial sum; ``which`` (0 or 1) picks one of two."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    up, down = _power_tables(len(raw) + 1)
+    up, down = _power_tables(len(raw) + 1, which)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
     return mix64((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, mixing, near_dedup, pii, quality, sharding, suffix_dedup, warc
+from . import decontam, exact_dedup, lm, mixing, near_dedup, pii, quality, sharding, suffix_dedup, warc
 from .common import table
 
 
@@ -39,11 +39,15 @@ def op8_extendible_sharding(spark, sf_dir):
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark, sf_dir):
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_scores(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc_index, op3_pii_surrogates, op4_source_mixing, op5_suffix_dedup, op6_near_dedup, op7_decontamination, op8_extendible_sharding, op10_quality_scores)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc_index, op3_pii_surrogates, op4_source_mixing, op5_suffix_dedup, op6_near_dedup, op7_decontamination, op8_extendible_sharding, op9_lm_scores, op10_quality_scores)}
 
 _OP1 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
