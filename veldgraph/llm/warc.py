@@ -32,6 +32,8 @@ BLOCK_LINES = 1000
 FILE_BYTES = 32 << 20
 #: Directories up to this many blocks are bisected on the driver.
 DIRECTORY_ROWS = 100_000
+#: Bytes that a reader of archive files unpacks at a time.
+PIECE = 8 << 10
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -91,12 +93,18 @@ def member(data: bytes) -> bytes:
 
 def members(content: bytes):
     """(offset, length, data) of the members of an archive file; empty members belong to the one before."""
+    view = memoryview(content)
     at, start, held = 0, 0, b""
     while at < len(content):
-        reader = zlib.decompressobj(31)
-        data = reader.decompress(content[at:] if at else content) + reader.flush()
-        end = len(content) - len(reader.unused_data)
-        if data:
+        reader, data, end = zlib.decompressobj(31), [], at
+        while not reader.eof:  # a piece at a time: what a member leaves over is copied
+            piece = view[end : end + PIECE]
+            if not piece:
+                raise ValueError(f"the member at byte {at} is cut short")
+            data.append(reader.decompress(piece))
+            end += len(piece)
+        end -= len(reader.unused_data)
+        if data := b"".join(data):
             if held:
                 yield start, at - start, held
             start, held = at, data
@@ -214,12 +222,13 @@ def write_archive(pages: DataFrame, path: str | None = None, min_bytes: int = RE
     first = ids.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"))
     plan = ids.distinct().join(first, "digest", "left").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first_id", F.expr("first_id is not null and not (page_id <=> first_id)").alias("revisit"))
     n_files = max(2, ceil_div(text_bytes(rows, "html"), FILE_BYTES))
-    records = digested.join(plan, digested["page_id"].eqNullSafe(plan["p"]) & (digested["digest"] == plan["d"])).repartition(n_files, "digest", "page_id")
+    # The join deals the pages out by id and digest, evenly; its partitions become the files.
+    records = digested.join(plan, digested["page_id"].eqNullSafe(plan["p"]) & (digested["digest"] == plan["d"]))
     out = records.select("page_id", "url", "html", "digest", "first_id", "revisit").mapInArrow(_write_members, "member binary")
     # The cast relabels the bytes; the writer stores them as they are.
     out.select(F.col("member").cast("string").alias("member")).write.option("lineSep", _END).text(f"{path}/archive")
     archive = Archive(spark, path)
-    lines = archive.files().mapInArrow(_list_members, _LINE)
+    lines = stash(archive.files().mapInArrow(_list_members, _LINE), "index-lines")
     sorted_lines = lines.repartitionByRange(max(2, n_files // 8), "key", "page_id", "path", "at").sortWithinPartitions("key", "page_id", "path", "at")
     sorted_lines.mapInArrow(_pack_lines, "first_key string, last_key string, lines binary").withColumn("block", F.monotonically_increasing_id()).write.parquet(f"{path}/index")
     archive.blocks.select("first_key", "last_key", "block").write.parquet(f"{path}/directory")
