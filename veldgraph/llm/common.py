@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -115,7 +116,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     if which not in _powers or len(_powers[which][0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = 1 << max(16, int(n - 1).bit_length())
         up, down = np.full(size, _BASES[which]), np.full(size, np.uint64(pow(int(_BASES[which]), -1, 1 << 64)))
         up[0] = down[0] = 1
         _powers[which] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
@@ -123,13 +124,25 @@ def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one running polynomial sum; ``which`` (0 or 1) picks one of two."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = _power_tables(len(raw) + 1, which)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    return mix64((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    """A 64-bit hash of each byte span (in order, without overlap); ``which`` (0 or 1) picks one of two.
+
+    Hashes come from running polynomial sums over stretches of about a MiB.
+    """
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(stops, starts[i] + (1 << 20), "right")))
+        first, last = starts[i], stops[j - 1]
+        up, down = _power_tables(last - first + 1, which)
+        total = np.zeros(last - first + 1, np.uint64)
+        values = raw[first:last].astype(np.uint64)
+        values += np.uint64(1)
+        values *= up[: last - first]
+        np.cumsum(values, out=total[1:])
+        begin, end = starts[i:j] - first, stops[i:j] - first
+        out[i:j] = mix64((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        i = j
+    return out
 
 
 def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,5 +158,18 @@ def bits_for(n: int) -> int:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs now, not when the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of, the second collects
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and the number of each element's value."""
+    order = np.argsort(h)
+    ranked = h[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    of = np.empty(len(h), np.int64)
+    of[order] = np.cumsum(fresh) - 1
+    return ranked[fresh], order[fresh], of

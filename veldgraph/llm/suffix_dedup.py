@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK, BLOCK_BYTES, bucket_bits, by_bucket, pack_names, packer, unpack_names, unpack_texts
-from .common import ceil_div, mix64, release, stash, text_bytes
+from .common import bits_for, ceil_div, mix64, release, stash, text_bytes
 
 LENGTH = 50
 #: A perfect difference set: every residue is the difference of two members in one way.
@@ -93,10 +93,11 @@ def _open(ids, at, data) -> tuple[np.ndarray, Block]:
     return np.asarray(ids, np.int64), Block(unpack_texts(at, data), np.asarray(at, np.int64))
 
 
-def _ranked(block: Block, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _ranked(block: Block, ids: np.ndarray, name_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sample positions, the sorted distinct names, each sample's name number, and names that two doc_ids of the block share."""
     p = block.samples()
-    h = block.names(p, SAMPLE)
+    # Names so short that by chance about one in a thousand is shared: samples only say where to look.
+    h = block.names(p, SAMPLE) & ~np.uint64((1 << (64 - name_bits)) - 1)
     order = np.argsort(h)
     ranked = h[order]
     fresh = np.diff(ranked, prepend=~ranked[:1]) != 0 if len(h) else np.empty(0, bool)
@@ -113,9 +114,9 @@ def _ranked(block: Block, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return p, names, of, multi
 
 
-def _suffixes(block: Block, ids: np.ndarray, shared: np.ndarray):
+def _suffixes(block: Block, ids: np.ndarray, shared: np.ndarray, name_bits: int):
     """For each suffix bucket in turn: (sorted names, second names, positions, name number of each, repeats an earlier doc_id of this block)."""
-    p, names, of, multi = _ranked(block, ids)
+    p, names, of, multi = _ranked(block, ids, name_bits)
     live = np.zeros(block.n + 1, np.int32)
     on = p[(shared | multi)[of]] if len(p) else p
     # Suffixes from which a live sample lies wholly within LENGTH.
@@ -151,12 +152,12 @@ _NAMES_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", p
 _BITS_ARROW = pa.schema([("phase", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("bits", pa.binary())])
 
 
-def _sample_names(bits: int):
+def _sample_names(bits: int, name_bits: int):
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 ids, block = _open(r["ids"], r["at"], r["data"])
-                _, names, _, _ = _ranked(block, ids)
+                _, names, _, _ = _ranked(block, ids, name_bits)
                 yield pa.RecordBatch.from_pylist(list(_send(names, names, 0, bits, r["block"])), _NAMES_ARROW)
 
     return run
@@ -209,12 +210,12 @@ def _flags(t: pa.Table, phase: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in rows)])
 
 
-def _suffix_names(bits: int, n_more: int):
+def _suffix_names(bits: int, n_more: int, name_bits: int):
     def run(blocks: pa.Table, flags: pa.Table) -> pa.Table:
         out = []
         for r in blocks.to_pylist():
             ids, block = _open(r["ids"], r["at"], r["data"])
-            for names, more, *_ in _suffixes(block, ids, _flags(flags, 1)):
+            for names, more, *_ in _suffixes(block, ids, _flags(flags, 1), name_bits):
                 out += _send(names, more, n_more, bits, r["block"])
         return pa.Table.from_pylist(out, _NAMES_ARROW)
 
@@ -225,33 +226,36 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 _RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
 
 
-def _removed(blocks: pa.Table, flags: pa.Table) -> pa.Table:
-    rows = []
-    for r in blocks.to_pylist():
-        ids, block = _open(r["ids"], r["at"], r["data"])
-        earlier, done = _flags(flags, 2), 0
-        cover = np.zeros(block.n + 1, np.int32)
-        for names, _, at, number, repeated in _suffixes(block, ids, _flags(flags, 1)):
-            mine = earlier[done : done + len(names)]
-            done += len(names)
-            hit = at[repeated | mine[number]]
-            np.add.at(cover, hit, 1)
-            np.add.at(cover, hit + LENGTH, -1)
-        covered = np.cumsum(cover[:-1]) > 0
-        begin, end = covered.copy(), covered.copy()
-        begin[1:] &= ~covered[:-1]
-        end[:-1] &= ~covered[1:]
-        edges = block.at[(block.at > 0) & (block.at < block.n)]
-        begin[edges] = covered[edges]
-        end[edges - 1] = covered[edges - 1]
-        first, last = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        lo, hi = np.searchsorted(first, block.at[:-1]), np.searchsorted(first, block.at[1:])
-        for i, doc in enumerate(ids.tolist()):
-            a, b = block.at[i], block.at[i + 1]
-            spans = list(zip(first[lo[i] : hi[i]].tolist(), last[lo[i] : hi[i]].tolist()))
-            kept = block.raw[a:b][~covered[a:b]] if spans else block.raw[a:b]
-            rows.append({"doc_id": doc, "n_bytes": int(b - a), "n_removed": sum(y - x for x, y in spans), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept.tobytes()).hexdigest(), "spans": [{"begin": x - int(a), "end": y - int(a)} for x, y in spans]})
-    return pa.Table.from_pylist(rows, _RESULT_ARROW)
+def _removed(name_bits: int):
+    def run(blocks: pa.Table, flags: pa.Table) -> pa.Table:
+        rows = []
+        for r in blocks.to_pylist():
+            ids, block = _open(r["ids"], r["at"], r["data"])
+            earlier, done = _flags(flags, 2), 0
+            cover = np.zeros(block.n + 1, np.int32)
+            for names, _, at, number, repeated in _suffixes(block, ids, _flags(flags, 1), name_bits):
+                mine = earlier[done : done + len(names)]
+                done += len(names)
+                hit = at[repeated | mine[number]]
+                np.add.at(cover, hit, 1)
+                np.add.at(cover, hit + LENGTH, -1)
+            covered = np.cumsum(cover[:-1]) > 0
+            begin, end = covered.copy(), covered.copy()
+            begin[1:] &= ~covered[:-1]
+            end[:-1] &= ~covered[1:]
+            edges = block.at[(block.at > 0) & (block.at < block.n)]
+            begin[edges] = covered[edges]
+            end[edges - 1] = covered[edges - 1]
+            first, last = np.flatnonzero(begin), np.flatnonzero(end) + 1
+            lo, hi = np.searchsorted(first, block.at[:-1]), np.searchsorted(first, block.at[1:])
+            for i, doc in enumerate(ids.tolist()):
+                a, b = block.at[i], block.at[i + 1]
+                spans = list(zip(first[lo[i] : hi[i]].tolist(), last[lo[i] : hi[i]].tolist()))
+                kept = block.raw[a:b][~covered[a:b]] if spans else block.raw[a:b]
+                rows.append({"doc_id": doc, "n_bytes": int(b - a), "n_removed": sum(y - x for x, y in spans), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept.tobytes()).hexdigest(), "spans": [{"begin": x - int(a), "end": y - int(a)} for x, y in spans]})
+        return pa.Table.from_pylist(rows, _RESULT_ARROW)
+
+    return run
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -280,18 +284,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     blocks = stash(left.repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(packer(True), BLOCK), "blocks")
     release(spark)
 
-    bits = bucket_bits(int(total * len(MEMBERS) / COVER))
-    shared = stash(blocks.mapInArrow(_sample_names(bits), _NAMES).groupBy("bucket").applyInArrow(_meet(1, 0), _BITS), "shared-samples")
+    samples = int(total * len(MEMBERS) / COVER)
+    bits, name_bits = bucket_bits(samples), min(64, bits_for(samples) + 10)
+    shared = stash(blocks.mapInArrow(_sample_names(bits, name_bits), _NAMES).groupBy("bucket").applyInArrow(_meet(1, 0), _BITS), "shared-samples")
     release(spark)
     names = int(shared.agg(F.sum("n")).first()[0] or 0)  # about as many suffixes at most reach a shared sample
     n_more = min(8, max(0, ceil_div(2 * math.ceil(math.log2(max(2, total))) + 24 - 64, 8)))
     suffix_bits = max(3, bucket_bits(names))  # no bucket of names spans two suffix buckets
     earlier = stash(
-        blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_suffix_names(suffix_bits, n_more), _NAMES).groupBy("bucket").applyInArrow(_meet(2, n_more), _BITS),
+        blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_suffix_names(suffix_bits, n_more, name_bits), _NAMES).groupBy("bucket").applyInArrow(_meet(2, n_more), _BITS),
         "earlier-suffixes",
     )
     release(spark)
-    done = blocks.groupBy("block").cogroup(shared.unionAll(earlier).groupBy("block")).applyInArrow(_removed, _RESULT)
+    done = blocks.groupBy("block").cogroup(shared.unionAll(earlier).groupBy("block")).applyInArrow(_removed(name_bits), _RESULT)
 
     none = F.lit(hashlib.sha256(b"").hexdigest())
     whole = F.col("n_bytes") >= LENGTH
