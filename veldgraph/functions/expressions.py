@@ -72,7 +72,8 @@ def literal(term: Literal) -> Typed:
     return Typed(F.lit(v), "str", datatype=d, constant=v)
 
 
-_NULL = F.lit(None).cast("boolean")
+def _null() -> Column:
+    return F.lit(None).cast("boolean")
 
 
 class Compiler:
@@ -92,7 +93,7 @@ class Compiler:
                 return (x.column != 0) & ~F.isnan(x.column.cast("double"))
             case "str":
                 return F.length(x.column) > 0
-        return _NULL
+        return _null()
 
     def text(self, x: Typed) -> Column:
         """The lexical form."""
@@ -137,7 +138,7 @@ class Compiler:
         if {a.kind, b.kind} == {"time", "date"}:
             return op(x.cast("timestamp_ntz"), y.cast("timestamp_ntz"))
         if a.kind != b.kind:
-            return _NULL
+            return _null()
         return op(x, y)
 
     def number(self, e) -> Column:
