@@ -22,7 +22,7 @@ BUCKET_BITS = 18
 DIMENSIONS = 8
 EPOCHS = 6
 RATE = 0.1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Character n-grams are taken over the bytes of the text, white space included.
 GRAMS = (3, 4)
 
