@@ -558,12 +558,16 @@ def pairs_of(catalog: Catalog, table: ClassTable) -> Column:
         d = schema[s.name].dataType
         item = d.elementType if s.many and isinstance(d, T.ArrayType) else d
 
-        def text(c, ref=ref, item=item):
+        def text(c):
             return F.concat(F.lit(ref.prefix), c.cast("string")) if ref else F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if kind_of(item)[0] == "time" else c.cast("string")
 
         datatype = "" if ref else kind_of(item)[1]
         if s.many:
-            many.append(F.transform(s.column, lambda c, p=p, ref=ref, datatype=datatype, text=text: one(p, text(c), ref is not None, datatype)))
+
+            def each(c):
+                return one(p, text(c), ref is not None, datatype)
+
+            many.append(F.transform(s.column, each))
         else:
             singles.append(one(p, text(s.column), ref is not None, datatype))
     whole = F.array(*singles)

@@ -35,7 +35,11 @@ def foreign_edges(catalog: Catalog, names: list[str] | None = None, include_keys
                 continue
             cls = catalog.classes[s.ref]
             if s.many:
-                fans.append(F.transform(s.column, lambda x, i, s=s, cls=cls: edge(F.concat(F.lit(cls.prefix), x.cast("string")), cls, s.name, F.array(F.lit(s.name), i.cast("string")), "foreign")))
+
+                def each(x, i):
+                    return edge(F.concat(F.lit(cls.prefix), x.cast("string")), cls, s.name, F.array(F.lit(s.name), i.cast("string")), "foreign")
+
+                fans.append(F.transform(s.column, each))
             else:
                 singles.append(edge(F.concat(F.lit(cls.prefix), s.column.cast("string")), cls, s.name, F.array(F.lit(s.name)), "foreign"))
         if not singles and not fans:
