@@ -567,12 +567,12 @@ def pairs_of(catalog: Catalog, table: ClassTable) -> Column:
             def each(c):
                 return one(p, text(c), ref is not None, datatype)
 
-            many.append(F.transform(s.column, each))
+            many.append(F.transform(F.coalesce(s.column, F.array()), each))
         else:
             singles.append(one(p, text(s.column), ref is not None, datatype))
     whole = F.array(*singles)
     if many:
-        whole = F.concat(whole, *[F.coalesce(m, F.array().cast("array<struct<p:string,o:string,is_iri:boolean,datatype:string>>")) for m in many])
+        whole = F.concat(whole, *many)
     return F.filter(whole, lambda x: x["o"].isNotNull())
 
 

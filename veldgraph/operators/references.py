@@ -39,7 +39,7 @@ def foreign_edges(catalog: Catalog, names: list[str] | None = None, include_keys
                 def each(x, i):
                     return edge(F.concat(F.lit(cls.prefix), x.cast("string")), cls, s.name, F.array(F.lit(s.name), i.cast("string")), "foreign")
 
-                fans.append(F.transform(s.column, each))
+                fans.append(F.transform(F.coalesce(s.column, F.array()), each))
             else:
                 singles.append(edge(F.concat(F.lit(cls.prefix), s.column.cast("string")), cls, s.name, F.array(F.lit(s.name)), "foreign"))
         if not singles and not fans:
