@@ -1,0 +1,31 @@
+import pytest
+
+import corpus_pipeline
+from veldgraph.llm import queries
+from veldgraph.llm.near_dedup import near_classes
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_matches_its_sql(name, same):
+    same(queries.QUERIES[name], queries.SQL[name])
+
+
+def test_pipeline_stages(spark, sf):
+    """Each stage keeps rows of its input, whole, and takes effect."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sizes = [docs.count()]
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf).persist()
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns, name
+            assert out.join(docs, docs.columns, "left_anti").count() == 0, name
+        if name == "near dedup":
+            assert near_classes(out).where("class_size > 1").count() == 0
+        sizes.append(out.count())
+        docs = out
+    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] and sizes[4] != sizes[3] and sizes[5] == sizes[4]
+
+
+def test_run_gives_the_last_stage(spark, sf):
+    a = corpus_pipeline.run(spark, sf)
+    assert a.count() > 0 and a.columns == ["doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows"]

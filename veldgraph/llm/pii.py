@@ -26,7 +26,7 @@ MALE = ("James", "Robert", "Michael", "David", "William", "Richard", "Joseph", "
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Mme", "Madame", "Frau", "Sra", "Señora")
 MALE_TITLES = ("Mr", "Monsieur", "Herr", "Sr", "Señor")
 
-_NAME = r"[^\W\d_][^\W\d_]+"
+_NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]+"
 _FIRST = "|".join((*FEMALE, *MALE))
 _TITLE = "|".join((*FEMALE_TITLES, *MALE_TITLES))
 #: One pattern for all kinds; an earlier alternative wins where two begin at one place.
