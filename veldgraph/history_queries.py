@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .operators import history
 from .operators.lower import export_ntriples, import_ntriples, results_json
 from .operators.references import foreign_edges
+from .sources import objects
 from .sources.tables import NAMESPACE, catalog
 
 _FIELDS = ["event_type", "value", "k"]
@@ -73,6 +74,29 @@ def ntriples_round_trip(spark, sf_dir):
     return t.groupBy("s").agg(F.max(F.when(F.col("p") == NAMESPACE + "name", F.col("o"))).alias("name"), F.max(F.when(F.col("p") == NAMESPACE + "region", F.col("o"))).alias("region"))
 
 
+def object_turtle(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    return objects.object_turtle(c, c.classes["Region"])
+
+
+def construct_text(spark, sf_dir):
+    """A constructed graph as lines of text."""
+    from .operators.lower import query
+
+    c = catalog(spark, sf_dir)
+    return objects.graph_text(query(spark, c, "CONSTRUCT { ?n :inside ?r ; :size 1 } WHERE { ?n a :Nation ; :region ?r }"))
+
+
+def term_json(spark, sf_dir):
+    """Terms of all suppliers' triples as JSON, counted by shape."""
+    from .operators.lower import triples
+
+    c = catalog(spark, sf_dir)
+    t = triples(c, c.classes["Supplier"])
+    j = F.to_json(objects.term_struct(F.col("o"), F.col("is_iri"), F.col("datatype"), F.lit("")))
+    return t.groupBy("p", F.get_json_object(j, "$.type").alias("type"), F.get_json_object(j, "$.datatype").alias("datatype")).agg(F.count("*").alias("n"))
+
+
 def results_bindings(spark, sf_dir):
     from .operators.lower import query
 
@@ -91,6 +115,9 @@ QUERIES = {
     "foreign_refs_with_ids": foreign_refs_with_ids,
     "ntriples_export": ntriples_export,
     "ntriples_round_trip": ntriples_round_trip,
+    "object_turtle": object_turtle,
+    "construct_text": construct_text,
+    "term_json": term_json,
     "results_bindings": results_bindings,
 }
 
@@ -130,5 +157,8 @@ SQL = {
     "foreign_refs_with_ids": f"{_C} UNION ALL {_NA} UNION ALL {_ids('customer', 'Customer', 'c_custkey')} UNION ALL {_ids('nation', 'Nation', 'n_nationkey')}",
     "ntriples_export": f"""SELECT '<{NAMESPACE}Nation/' || n_nationkey || '> ' || unnest(['<http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <{NAMESPACE}Nation>', '<{NAMESPACE}name> "' || n_name || '"', '<{NAMESPACE}region> <{NAMESPACE}Region/' || n_regionkey || '>']) || ' .' AS value FROM nation""",
     "ntriples_round_trip": f"SELECT '{NAMESPACE}Nation/' || n_nationkey AS s, n_name AS name, '{NAMESPACE}Region/' || n_regionkey AS region FROM nation",
+    "object_turtle": f"""SELECT '{NAMESPACE}Region/' || r_regionkey AS uri, '<{NAMESPACE}Region/' || r_regionkey || '>' || chr(10) || '  <http://veldgraph.example/name> "' || r_name || '" ;' || chr(10) || '  <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <{NAMESPACE}Region> .' AS turtle FROM region""",
+    "construct_text": f"""SELECT '<{NAMESPACE}Nation/' || n_nationkey || '> ' || unnest(['<{NAMESPACE}inside> <{NAMESPACE}Region/' || n_regionkey || '>', '<{NAMESPACE}size> "1"^^<http://www.w3.org/2001/XMLSchema#integer>']) || ' .' AS value FROM nation""",
+    "term_json": f"""SELECT unnest(['{NAMESPACE}name', '{NAMESPACE}acctbal', '{NAMESPACE}nation', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type']) AS p, unnest(['literal', 'literal', 'uri', 'uri']) AS type, unnest([NULL, 'http://www.w3.org/2001/XMLSchema#double', NULL, NULL]) AS datatype, (SELECT count(*) FROM supplier) AS n""",
     "results_bindings": """SELECT '{"name":{"type":"literal","value":"' || r_name || '"}}' AS binding FROM region""",
 }
