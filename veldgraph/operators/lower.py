@@ -9,6 +9,7 @@ wherever both sides are surely bound. Catalyst plans the rest.
 from __future__ import annotations
 
 
+import tempfile
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -60,6 +61,14 @@ def _vars_of(e) -> set[str]:
     return set()
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, kept in the folder that all executors share."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veldgraph-"))
+    return df.checkpoint()
+
+
 def _conjuncts(e) -> list:
     return [x for a in e.args for x in _conjuncts(a)] if isinstance(e, A.Call) and e.name == "&&" else [e]
 
@@ -414,7 +423,8 @@ class Lowering:
         if many:
             grown = pairs
             while True:
-                grown = grown.select("s", F.col("o").alias("m")).join(step.withColumnsRenamed({"s": "m"}), "m").select("s", "o").join(pairs, ["s", "o"], "left_anti").distinct().checkpoint()
+                grown = grown.select("s", F.col("o").alias("m")).join(step.withColumnsRenamed({"s": "m"}), "m").select("s", "o").join(pairs, ["s", "o"], "left_anti").distinct()
+                grown = _cut(grown)
                 if grown.isEmpty():
                     break
                 pairs = pairs.union(grown)
