@@ -6,16 +6,19 @@ depends on their order as an edit distance does. Documents that share a sketch
 are candidates; a banded alignment of their words decides.
 
 Copies with the same words are one document from the start. In a bucket of
-documents that share a sketch each is aligned with the bucket's leaders only,
-not with every other: the near copies of one text settle with one leader.
-Documents that fit no leader come together again where they share two such
-sketches, and there choose new leaders, ever more of them, until each one has
-been aligned with every leader of its bucket or been a leader itself.
+documents that share a sketch each is aligned with the bucket's first document
+only, not with every other, so work is linear in the bucket: the near copies of
+one text settle with one leader. Where several documents fit no leader (texts
+that share a passage, say) they get finer sketches of more k-mers, and more of
+them, so that alike documents still meet and unlike ones meet less, until
+no open documents of different classes share a bucket, or a level of fresh
+sketches brings no two classes together any more.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +26,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import alike
-from .common import joined, mix64, slices, span_hashes, stash, word_bounds
+from .common import ceil_div, joined, mix64, slices, span_hashes, stash, word_bounds
 
-#: Words of a k-mer, k-mers of a sketch, sketches of a document.
+#: Words of a k-mer; k-mers of a sketch at the first level; the next level takes twice, further ones four times as many.
 K = 5
 KEPT = 3
-SKETCHES = 16
 #: Least share of words that align.
 SIMILARITY = 0.8
 #: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Open documents that a task sketches anew.
+OPEN_TEXTS = 500
 
-_rng = np.random.default_rng(11)
-_MULTIPLIERS = _rng.integers(1 << 62, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def kept_at(level: int) -> int:
+    return KEPT * min(max(1, 2 * level), 4)
+
+
+def n_sketches(level: int) -> int:
+    """As many as let two documents with a k-mer similarity of 0.8 meet in eight sketches on average, and in three more at each further level."""
+    return math.ceil((3 if level else 8) / SIMILARITY ** kept_at(level))
 
 
 def _fold(raw: np.ndarray) -> np.ndarray:
@@ -67,8 +78,14 @@ def _labelled(kmers: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix64(kmers + nth * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def sketch(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Number of words, digest of the words, and the sketches (rows x SKETCHES) of texts.
+def _least_of(g: np.ndarray, table: np.ndarray, kept: int) -> np.ndarray:
+    """Places (kept x rows) of each row's smallest hashes; ``table`` has a row's places, padded by the number of places."""
+    values = np.append(g, np.uint64(0xFFFFFFFFFFFFFFFF))[table]
+    return np.take_along_axis(table, np.argpartition(values, kept - 1, axis=1)[:, :kept], axis=1).T.copy()
+
+
+def sketch(column: pa.Array, level: int = 0) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Number of words, digest of the words, and the sketches (rows x n_sketches) of texts.
 
     Fewer than K words, but not none, are one k-mer; a text without words has
     the sketches of no k-mer.
@@ -93,41 +110,58 @@ def sketch(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         kmers = kmers * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, h[np.minimum(word, len(h) - 1)] if len(h) else 0, np.uint64(i))
     labelled = _labelled(kmers, row)
 
-    bands = np.zeros((n, SKETCHES), np.uint64)
+    kept, count = kept_at(level), n_sketches(level)
+    multipliers = np.random.default_rng(11 + level).integers(1 << 62, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    bands = np.zeros((n, count), np.uint64)
     full = np.flatnonzero(many)
     if len(full):
         begins = first[full]
         short = np.repeat(np.arange(len(full)), many[full])
         top = np.uint64(0xFFFFFFFFFFFFFFFF)
-        for s in range(SKETCHES):
-            g = labelled * _MULTIPLIERS[s]
+        # Many k-mers a sketch: rows side by side, padded, if that is not too wide.
+        width = max(kept, int(many.max()))
+        table = None
+        if kept > KEPT and len(full) * width < 4 * len(labelled) + 10_000:
+            table = np.full((len(full), width), len(labelled), np.int64)
+            table[short, np.arange(len(short)) - begins[short]] = np.arange(len(short))
+        for s in range(count):
+            g = labelled * multipliers[s]
             g ^= g >> np.uint64(29)
-            places = np.full((KEPT, len(full)), len(labelled), np.int64)
-            for j in range(KEPT):
-                least = np.minimum.reduceat(g, begins)
-                hit = np.flatnonzero(g == least[short])
-                hit = hit[g[hit] != top]
-                # equal hashes in a row: the first place counts
-                of = short[hit]
-                keep = np.ones(len(hit), bool)
-                keep[1:] = of[1:] != of[:-1]
-                hit, of = hit[keep], of[keep]
-                places[j, of] = hit
-                g[hit] = top
+            if table is not None:
+                places = _least_of(g, table, kept)
+            else:
+                places = np.full((kept, len(full)), len(labelled), np.int64)
+                for j in range(kept):
+                    least = np.minimum.reduceat(g, begins)
+                    hit = np.flatnonzero(g == least[short])
+                    hit = hit[g[hit] != top]
+                    # equal hashes in a row: the first place counts
+                    of = short[hit]
+                    keep = np.ones(len(hit), bool)
+                    keep[1:] = of[1:] != of[:-1]
+                    hit, of = hit[keep], of[keep]
+                    places[j, of] = hit
+                    g[hit] = top
             places.sort(axis=0)
-            code = np.full(len(full), np.uint64(s + 1))
+            code = np.full(len(full), np.uint64((level << 20) + s + 1))
             padded = np.append(labelled, np.uint64(0))
-            for j in range(KEPT):
+            for j in range(kept):
                 code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + padded[places[j]])
             bands[full, s] = code
     return n_words, digests, bands
 
 
-def _sketches(batches):
-    for b in slices(batches, 1, SLICE_BYTES):
-        _, digests, bands = sketch(b.column(1))
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, SKETCHES, dtype=np.int32)), pa.array(bands.astype(np.int64).ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), flat], names=["doc_id", "digest", "bands"])
+def _sketches(level: int):
+    def run(batches):
+        for b in slices(batches, 1, SLICE_BYTES):
+            n_words, digests, bands = sketch(b.column(1), level)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(bands.astype(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(digests, pa.binary()), flat], names=["doc_id", "n_words", "digest", "bands"])
+
+    return run
+
+
+_SKETCHED = "doc_id long, n_words long, digest binary, bands array<long>"
 
 
 def _semi(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -137,7 +171,7 @@ def _semi(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Adds ``ok`` to (doc_id, leader) pairs."""
+    """Adds ``ok`` to (doc_id, leader, a, b) pairs."""
 
     def run(batches):
         cached: tuple = (None, None)
@@ -148,83 +182,91 @@ def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                 if leader != cached[0]:
                     cached = leader, words_of(c[i].as_py())
                 ok.append(alike(words_of(a[i].as_py()), cached[1], similarity))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("leader"), pa.array(ok, pa.bool_())], names=["doc_id", "leader", "ok"])
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in ("doc_id", "leader", "a", "b")] + [pa.array(ok, pa.bool_())], names=["doc_id", "leader", "a", "b", "ok"])
 
     both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("leader_text")), "leader")
-    return both.select("doc_id", "leader", "text", "leader_text").mapInArrow(run, "doc_id long, leader long, ok boolean")
+    return both.select("doc_id", "leader", "a", "b", "text", "leader_text").mapInArrow(run, "doc_id long, leader long, a long, b long, ok boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes with an edge (u, v).
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), each
-    written to the shared folder, until the edges stay the same.
+    written to the shared folder, until only stars are left.
     """
 
     def oriented(df):
         return df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
-    def mark(df):
-        r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
+    def stars(df):
+        """Whether each edge leads from a node without others to a node that has none of its own."""
+        ends = df.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(df.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out > 0 and into > 0)").isEmpty()
 
     edges = stash(oriented(edges), "edges")
-    before = mark(edges)
-    while before[0]:
+    while not stars(edges):
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = oriented(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = stash(oriented(small), "edges")
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
+def _buckets(sketched: DataFrame, similarity: float) -> DataFrame:
+    """(key, doc_id, root, leader, leader_root) of the sketches that several documents of like length have.
+
+    A document is in two length cells, of grids that are half a cell apart: if
+    two texts share none, one is too long for the other's words to align.
+    """
+    place = F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double")) / (2 * math.log(1 / similarity) + 1e-9)
+    cells = F.array(F.floor(place) * 2, F.floor(place + 0.5) * 2 + 1)
+    members = sketched.select("doc_id", "root", F.explode(F.array_distinct("bands")).alias("band"), cells.alias("cells")).select("doc_id", "root", "band", F.explode("cells").alias("cell")).select("doc_id", "root", F.xxhash64("band", "cell").alias("key"))
+    leaders = members.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("other"), F.min_by("root", "doc_id").alias("leader_root")).where("leader <> other").select("key", "leader", "leader_root")
+    return stash(members.join(leaders, "key").select("key", "doc_id", "root", "leader", "leader_root"), "members")
+
+
 def _links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Verified (u, v) links among the members (key, doc_id) of all buckets."""
+    """Verified (u, v) links among the members (key, doc_id, leader) of all buckets."""
     spark = members.sparkSession
-    tried: DataFrame | None = None
-    found: list[DataFrame] = []
-    fan, refined = 1, False
+    links: DataFrame | None = None
+    labels: DataFrame | None = None  # (node, root)
+    level = 0
     while True:
-        # Only buckets with two documents at least have anything to settle.
-        leaders = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(fan))).groupBy("key", "salt").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("other"))
-        if fan == 1:
-            leaders = leaders.where("leader <> other")
-        meets = stash(members.join(leaders.select("key", "leader"), "key").where("doc_id <> leader"), "meets")
-        if meets.isEmpty():
-            break
-        ordered = meets.select(F.greatest("doc_id", "leader").alias("doc_id"), F.least("doc_id", "leader").alias("leader")).distinct()
-        fresh = ordered if tried is None else ordered.join(tried, ["doc_id", "leader"], "left_anti")
-        done = stash(_aligned(fresh, texts, similarity), "aligned")
-        found.append(done.where("ok").select(F.col("doc_id").alias("u"), F.col("leader").alias("v")))
-        tried = done if tried is None else tried.unionByName(done)
-        judged = meets.select("key", "doc_id", "leader", F.greatest("doc_id", "leader").alias("hi"), F.least("doc_id", "leader").alias("lo")).join(
-            tried.select(F.col("doc_id").alias("hi"), F.col("leader").alias("lo"), "ok"), ["hi", "lo"]
-        )
-        # Open: neither a leader of the bucket nor like one of its leaders.
-        open_ = judged.groupBy("key", "doc_id").agg(F.max("ok").alias("ok")).where("not ok").select("key", "doc_id")
-        open_ = open_.join(leaders.select("key", F.col("leader").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        if not refined:
-            # Documents that share two open sketches share far more than a passage.
-            keys = open_.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("ks"))  # SKETCHES at most
-            pair = F.expr("explode(flatten(transform(ks, (x, i) -> transform(slice(ks, i + 2, size(ks)), y -> xxhash64(x, y)))))")
-            open_, refined = keys.select(pair.alias("key"), "doc_id"), True
+        # Documents with one root are linked already.
+        pairs = members.where("doc_id <> leader and root <> leader_root").select("doc_id", "leader", F.col("root").alias("a"), F.col("leader_root").alias("b")).distinct()
+        done = stash(_aligned(pairs, texts, similarity).groupBy("doc_id", "leader", "a", "b").agg(F.max("ok").alias("ok")), "aligned")
+        found = done.where("ok")
+        if level and found.isEmpty():
+            break  # a whole level of fresh sketches has brought no two classes together
+        new = found.select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
+        links = new if links is None else links.union(new)
+        # Each root goes on to the smallest root it was linked to, one step a level; `components` completes them at the end.
+        onward = found.select(F.greatest("a", "b").alias("root"), F.least("a", "b").alias("next")).groupBy("root").agg(F.min("next").alias("next"))
+        if labels is None:
+            labels = onward.toDF("node", "root").join(onward.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
         else:
-            fan *= 8
-        members = stash(open_, "open")
+            labels = labels.union(onward.select("root", "root")).groupBy("node").agg(F.min("root").alias("root")).join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        labels = stash(labels, "labels")
+        # Open: documents that fit no leader in a bucket where another such document of another class is.
+        failed = members.join(done.where("not ok").select("doc_id", "leader"), ["doc_id", "leader"]).select("key", "doc_id", "root")
+        if not level:  # no roots were known yet
+            failed = failed.drop("root").join(labels.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        failed = stash(failed, "failed")
+        mixed = failed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        open_ = stash(failed.join(mixed, "key", "left_semi").select("doc_id").distinct(), "open")
+        level += 1
+        n = open_.count()
+        if not n:
+            break
+        # Read anew only for the open documents: their texts are few, and each task should have some.
+        again = _semi(texts, open_).coalesce(max(spark.sparkContext.defaultParallelism, ceil_div(n, OPEN_TEXTS)))
+        anew = again.mapInArrow(_sketches(level), _SKETCHED).join(labels.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        members = _buckets(stash(anew, "sketches"), similarity)
         if members.isEmpty():
             break
-    if not found:
-        return spark.createDataFrame([], "u long, v long")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    return links
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -240,13 +282,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     left out; other columns are ignored; an empty table gives an empty result.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    sketched = stash(base.mapInArrow(_sketches, "doc_id long, digest binary, bands array<long>"), "sketches")
-    copies = sketched.groupBy("digest").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
+    sketched = stash(base.mapInArrow(_sketches(0), _SKETCHED), "sketches")
+    copies = sketched.groupBy("digest").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("n_words").alias("n_words"), F.min("doc_id").alias("rep"))
     reps = stash(copies, "representatives")
     same = sketched.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    members = reps.select(F.explode(F.array_distinct("bands")).alias("key"), F.col("rep").alias("doc_id"))
-    shared = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
-    members = stash(members.join(shared, "key").select("key", "doc_id"), "members")
+    members = _buckets(reps.select(F.col("rep").alias("doc_id"), F.col("rep").alias("root"), "n_words", "bands"), similarity)
     ids = stash(members.select("doc_id").distinct(), "ids")
     texts = stash(_semi(base, ids), "texts")
     links = _links(members, texts, similarity)
