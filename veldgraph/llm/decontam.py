@@ -120,6 +120,20 @@ def _scanner(shared, size: int, first: bool, last: bool):
     return run
 
 
+def _chunks(items: DataFrame, item_bytes: int) -> list[list[tuple]]:
+    """The benchmark in pieces of bounded size, read by the driver one row at a time."""
+    chunks: list[list[tuple]] = [[]]
+    held = 0
+    for row in items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
+        n = len(row["text"].encode())
+        if held and held + n > item_bytes:
+            chunks.append([])
+            held = 0
+        chunks[-1].append((row["item_id"], row["text"]))
+        held += n
+    return chunks
+
+
 def overlaps(docs: DataFrame, items: DataFrame, size: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, runs (of hit words), items, spans (of the original text).
 
@@ -130,17 +144,7 @@ def overlaps(docs: DataFrame, items: DataFrame, size: int = WINDOW, item_bytes:
     nothing.
     """
     spark = docs.sparkSession
-    # The benchmark is read by the driver in pieces whose size is bounded, not whole.
-    sized = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    chunks: list[list[tuple]] = [[]]
-    held = 0
-    for row in sized.orderBy("item_id", "text").toLocalIterator():
-        n = len(row["text"].encode())
-        if held and held + n > item_bytes:
-            chunks.append([])
-            held = 0
-        chunks[-1].append((row["item_id"], row["text"]))
-        held += n
+    chunks = _chunks(items, item_bytes)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for k, chunk in enumerate(chunks):
         last = k == len(chunks) - 1
@@ -158,7 +162,27 @@ def digest(hits: DataFrame) -> DataFrame:
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated."""
-    spans = digest(overlaps(docs.select("doc_id", "text"), items))
-    return docs.join(spans.where("contaminated").select("doc_id"), "doc_id", "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated.
+
+    With one automaton this is a filter over the rows. A larger benchmark needs
+    several passes, whose hits are counted together by doc_id: rows that share
+    the doc_id of a contaminated row then go too, and rows without one stay.
+    """
+    chunks = _chunks(items, item_bytes)
+    if len(chunks) > 1:
+        hits = digest(overlaps(docs, items, size, item_bytes)).where("contaminated").select("doc_id").distinct()
+        return docs.join(hits, "doc_id", "left_anti")
+    shared, at = docs.sparkSession.sparkContext.broadcast(chunks[0]), docs.columns.index("text")
+
+    def run(batches):
+        automaton = _automaton(shared.value, size)
+        for b in batches:
+            keep = []
+            for text in b.column(at):
+                n, runs, _ = scan(text.as_py(), automaton)
+                hit = sum(last - first for first, last in runs)
+                keep.append(not (hit and 20 * hit >= n))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

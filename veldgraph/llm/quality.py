@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import joined, mix64, slices, span_hashes, word_bounds
 
 #: Labelled documents of each class that training reads at most, the first by a hash of doc_id.
-SAMPLE = 2500
+SAMPLE = 2000
 BUCKET_BITS = 18
 DIMENSIONS = 8
 EPOCHS = 6
@@ -94,12 +94,20 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     if len(set(labels)) < 2:
         return Model(np.zeros((KINDS, size), np.float32), 5.0 if not len(y) or y[0] else -5.0)
     rng = np.random.default_rng(seed)
-    bags = []
-    for text in texts:
-        raw, at = joined(pa.array([text or ""], pa.string()))
-        ids = np.concatenate([buckets[int(a[0]) : int(b[0])] + kind * size for kind, (buckets, a, b) in enumerate(_feature_groups(raw, at))])
-        unique, n = np.unique(ids, return_counts=True)
-        bags.append((unique, (n / max(1, len(ids))).astype(np.float32)))
+    # The documents' features in a few large arrays, which the driver can give back.
+    ids_of, share_of, cut = [], [], [0]
+    for start in range(0, len(texts), 200):
+        some_ids, some_shares = [], []
+        for text in texts[start : start + 200]:
+            raw, at = joined(pa.array([text or ""], pa.string()))
+            found = np.concatenate([buckets[int(a[0]) : int(b[0])] + kind * size for kind, (buckets, a, b) in enumerate(_feature_groups(raw, at))])
+            unique, n = np.unique(found, return_counts=True)
+            some_ids.append(unique.astype(np.int32))
+            some_shares.append((n / max(1, len(found))).astype(np.float32))
+            cut.append(cut[-1] + len(unique))
+        ids_of.append(np.concatenate(some_ids))
+        share_of.append(np.concatenate(some_shares))
+    ids_of, share_of = np.concatenate(ids_of), np.concatenate(share_of)
     inner = rng.uniform(-1 / dimensions, 1 / dimensions, (KINDS * size, dimensions)).astype(np.float32)
     outer = rng.uniform(-0.5, 0.5, (2, dimensions)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -110,7 +118,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
         for i in rng.permutation(len(y)):
             lr = rate * (1 - step / steps)
             step += 1
-            ids, share = bags[i]
+            ids, share = ids_of[cut[i] : cut[i + 1]], share_of[cut[i] : cut[i + 1]]
             hidden = share @ inner[ids]
             z = outer @ hidden + bias
             p = np.exp(z - z.max())
