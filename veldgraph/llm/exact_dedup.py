@@ -121,4 +121,5 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay."""
-    return docs.join(exact_groups(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

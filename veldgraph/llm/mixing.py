@@ -257,8 +257,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A row comes floor(taken / size) times, and once more for a share
     taken / size of the doc_ids, by a hash. Rows without words come once.
     """
-    copies = mix(docs, **options).taken().select(
-        F.col("doc_id").alias("mixed_id"),
-        F.expr("if(size = 0, 1, taken div size + if(pmod(xxhash64(doc_id, 4), 1000003) / 1000003D < (taken % size) / double(size), 1, 0))").alias("copies"),
-    ).groupBy("mixed_id").agg(F.max("copies").alias("copies"))
-    return docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("mixed_id"))).where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select(*docs.columns)
+    times = F.expr("if(size = 0, 1, taken div size + if(pmod(xxhash64(doc_id, 4), 1000003) / 1000003D < (taken % size) / double(size), 1, 0))")
+    copies = mix(docs, **options).taken().select(F.col("doc_id").alias("_mixed_id"), times.alias("_copies")).groupBy("_mixed_id").agg(F.max("_copies").alias("_copies"))
+    met = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies["_mixed_id"])).where("_copies > 0")
+    return met.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*[docs[c] for c in docs.columns])

@@ -69,9 +69,16 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write ``docs`` with one folder ``shard=...`` for each shard."""
-    ids = shards(docs, limit).select("doc_id", "shard").dropDuplicates(["doc_id"])
-    docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"])).select(docs["*"], F.concat(F.lit("b"), "shard").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` with one folder for each shard, ``shard=b<bits>`` (``shard_id=...`` if ``docs`` has a column shard)."""
+    name = "shard_id" if "shard" in docs.columns else "shard"
+    ids = shards(docs, limit).select(F.col("doc_id").alias("_shard_of"), F.concat(F.lit("b"), "shard").alias("_shard")).dropDuplicates(["_shard_of", "_shard"])
+    met = docs.withColumn("_h", hash_column()).join(
+        ids.groupBy("_shard_of").agg(F.collect_set("_shard").alias("_shards")), docs["doc_id"].eqNullSafe(F.col("_shard_of"))
+    )
+    # Rows without an id may be in several shards: the one that begins their hash.
+    bits = F.lpad(F.conv(F.col("_h").cast("string"), 10, 2), BITS, "0")
+    own = F.element_at(F.filter("_shards", lambda s: F.startswith(bits, F.substring(s, 2, BITS))), 1)
+    met.select(*[docs[c] for c in docs.columns], own.alias(name)).repartition(name).write.partitionBy(name).parquet(path)
 
 
 #: DuckDB SQL for ``shards`` over documents (ids not null).
