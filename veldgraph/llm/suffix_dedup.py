@@ -59,17 +59,18 @@ class Block:
     def raw(self) -> np.ndarray:
         return self.padded[: self.n]
 
-    def starts(self, length: int) -> np.ndarray:
-        """Positions at which a string of ``length`` lies within one text."""
-        inside = np.zeros(self.n + 1, np.int8)
+    def inside(self, length: int) -> np.ndarray:
+        """Whether a string of ``length`` that starts at a position lies within one text."""
+        edges = np.zeros(self.n + 1, np.int8)
         first, last = self.at[:-1], self.at[1:] - length + 1
         some = last > first
-        np.add.at(inside, first[some], 1)
-        np.add.at(inside, last[some], -1)
-        return np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+        np.add.at(edges, first[some], 1)
+        np.add.at(edges, last[some], -1)
+        return np.cumsum(edges[:-1], dtype=np.int8).view(bool)
 
     def row(self, positions: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.at, positions, "right") - 1
+        """The text of each of sorted positions."""
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(np.searchsorted(positions, self.at)))
 
     def names(self, positions: np.ndarray, length: int, which: int = 0) -> np.ndarray:
         """64-bit names of the strings of ``length`` bytes at the positions."""
@@ -81,8 +82,9 @@ class Block:
         return mix64(h)
 
     def samples(self) -> np.ndarray:
-        p = self.starts(SAMPLE)
-        return p[np.isin(p % COVER, MEMBERS)]
+        member = np.zeros(COVER, bool)
+        member[list(MEMBERS)] = True
+        return np.flatnonzero(np.resize(member, self.n) & self.inside(SAMPLE)) if self.n else np.empty(0, np.int64)
 
 
 _NAMES = "bucket int, block long, n long, data binary"
@@ -123,22 +125,28 @@ def _suffixes(block: Block, ids: np.ndarray, shared: np.ndarray, name_bits: int)
     np.add.at(live, np.maximum(on - (COVER - 1), 0), 1)
     np.add.at(live, on + 1, -1)
     reach = np.cumsum(live[:-1]) > 0
-    starts = block.starts(LENGTH)
-    starts = starts[reach[starts]]
+    starts = np.flatnonzero(reach & block.inside(LENGTH))
     del live, reach
-    h = block.names(starts, LENGTH)
+    h, row = block.names(starts, LENGTH), block.row(starts)
     for bucket in range(SUFFIX_BUCKETS):
         mine = np.flatnonzero((h >> np.uint64(61)) == bucket)
         if not len(mine):
             continue
         at, key = starts[mine], h[mine]
         more = block.names(at, LENGTH, 1)
-        order = np.lexsort((at, more, key))  # positions last: documents stand in doc_id order
+        order = np.argsort(key)
+        ranked = key[order]
+        tied = np.zeros(len(key) + 1, bool)
+        tied[1:-1] = ranked[1:] == ranked[:-1]
+        tied = np.flatnonzero(tied[1:] | tied[:-1])
+        # Equal names by the second name, then by position: documents stand in doc_id order.
+        some = order[tied]
+        order[tied] = some[np.lexsort((at[some], more[some], key[some]))]
         at, key, more = at[order], key[order], more[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
         number = np.cumsum(fresh) - 1
-        doc = ids[block.row(at)]
+        doc = ids[row[mine[order]]]
         repeated = doc > doc[np.flatnonzero(fresh)][number]
         yield key[fresh], more[fresh], at, number, repeated
 
