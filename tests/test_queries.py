@@ -19,8 +19,8 @@ def test_entry_has_rows_and_every_own_query_has_sql(spark):
 
 def test_scan_reads_only_what_a_query_names(spark, sf):
     plan = graph_queries.QUERIES["inline_literal"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(o_orderstatus), IsNotNull(o_totalprice), EqualTo(o_orderstatus,F)]" in plan
-    assert "o_custkey" not in plan
+    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F), IsNotNull(o_totalprice)]" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in plan
 
 
 def test_attribute_optional_needs_no_join(spark, sf):
