@@ -8,6 +8,7 @@ import string
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +289,33 @@ def test_texts_that_share_a_passage_stay_apart(spark):
     assert all(r.class_id == r.doc_id for r in got if len(own[r.doc_id].split()) > 10)
 
 
+def test_each_pair_of_a_bucket_is_settled(spark):
+    """Chains of edited versions: a bucket's leader is like few of the others, which are alike in turn."""
+    rng = random.Random(9)
+    rows = []
+    for chain in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        order = rng.sample(range(7), 7)
+        for version in range(7):
+            rows.append((chain * 10 + order[version], " ".join(w)))
+            w[12 * version : 12 * version + 12] = [f"w{rng.randrange(10**6)}" for _ in range(12)]
+    bands = near_dedup.sketch(pa.array([t for _, t in rows]))[2]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, (i, t) in enumerate(rows):
+        for y, (j, u) in enumerate(rows[:x]):
+            if (bands[x] == bands[y]).any() and near_dedup.alike(t.split(), u.split(), 0.8):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(frame(spark, rows)).collect()}
+    assert got == {i: find(i) for i in root}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]

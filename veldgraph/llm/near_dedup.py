@@ -6,13 +6,13 @@ depends on their order as an edit distance does. Documents that share a sketch
 are candidates; a banded alignment of their words decides.
 
 Copies with the same words are one document from the start. In a bucket of
-documents that share a sketch each is aligned with the bucket's first document
-only, not with every other, so work is linear in the bucket: the near copies of
-one text settle with one leader. Where several documents fit no leader (texts
-that share a passage, say) they get finer sketches of more k-mers, and more of
-them, so that alike documents still meet and unlike ones meet less, until
-no open documents of different classes share a bucket, or a level of fresh
-sketches brings no two classes together any more.
+documents that share a sketch each is first aligned with the bucket's first
+document only: the near copies of one text settle with one leader, in linear
+work. Where documents of different classes are left in a bucket, further
+leaders follow, four times as many each round, and meet all others of other
+classes but the pairs tried before, until each pair of documents in a bucket is
+in one class or was aligned. Work is linear in a bucket of one class and
+quadratic in a bucket of many texts that are unlike.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .alignment import alike
-from .common import ceil_div, joined, mix64, slices, span_hashes, stash, word_bounds
+from .common import joined, mix64, slices, span_hashes, stash, word_bounds
 
-#: Words of a k-mer; k-mers of a sketch at the first level; the next level takes twice, further ones four times as many.
+#: Words of a k-mer; k-mers of a sketch.
 K = 5
 KEPT = 3
 #: Least share of words that align.
@@ -36,18 +36,13 @@ SIMILARITY = 0.8
 #: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 SLICE_BYTES = 1 << 20
-#: Open documents that a task sketches anew.
-OPEN_TEXTS = 500
+#: Leaders of a bucket in one round, as a multiple of the round before.
+MORE_LEADERS = 4
 
 
-
-def kept_at(level: int) -> int:
-    return KEPT * min(max(1, 2 * level), 4)
-
-
-def n_sketches(level: int) -> int:
-    """As many as let two documents with a k-mer similarity of 0.8 meet in eight sketches on average, and in three more at each further level."""
-    return math.ceil((3 if level else 8) / SIMILARITY ** kept_at(level))
+def n_sketches() -> int:
+    """As many as let two documents with a k-mer similarity of 0.8 meet in eight sketches on average."""
+    return math.ceil(8 / SIMILARITY**KEPT)
 
 
 def _fold(raw: np.ndarray) -> np.ndarray:
@@ -78,13 +73,7 @@ def _labelled(kmers: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix64(kmers + nth * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _least_of(g: np.ndarray, table: np.ndarray, kept: int) -> np.ndarray:
-    """Places (kept x rows) of each row's smallest hashes; ``table`` has a row's places, padded by the number of places."""
-    values = np.append(g, np.uint64(0xFFFFFFFFFFFFFFFF))[table]
-    return np.take_along_axis(table, np.argpartition(values, kept - 1, axis=1)[:, :kept], axis=1).T.copy()
-
-
-def sketch(column: pa.Array, level: int = 0) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def sketch(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Number of words, digest of the words, and the sketches (rows x n_sketches) of texts.
 
     Fewer than K words, but not none, are one k-mer; a text without words has
@@ -110,55 +99,43 @@ def sketch(column: pa.Array, level: int = 0) -> tuple[np.ndarray, list[bytes], n
         kmers = kmers * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, h[np.minimum(word, len(h) - 1)] if len(h) else 0, np.uint64(i))
     labelled = _labelled(kmers, row)
 
-    kept, count = kept_at(level), n_sketches(level)
-    multipliers = np.random.default_rng(11 + level).integers(1 << 62, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    count = n_sketches()
+    multipliers = np.random.default_rng(11).integers(1 << 62, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     bands = np.zeros((n, count), np.uint64)
     full = np.flatnonzero(many)
     if len(full):
         begins = first[full]
         short = np.repeat(np.arange(len(full)), many[full])
         top = np.uint64(0xFFFFFFFFFFFFFFFF)
-        # Many k-mers a sketch: rows side by side, padded, if that is not too wide.
-        width = max(kept, int(many.max()))
-        table = None
-        if kept > KEPT and len(full) * width < 4 * len(labelled) + 10_000:
-            table = np.full((len(full), width), len(labelled), np.int64)
-            table[short, np.arange(len(short)) - begins[short]] = np.arange(len(short))
         for s in range(count):
             g = labelled * multipliers[s]
             g ^= g >> np.uint64(29)
-            if table is not None:
-                places = _least_of(g, table, kept)
-            else:
-                places = np.full((kept, len(full)), len(labelled), np.int64)
-                for j in range(kept):
-                    least = np.minimum.reduceat(g, begins)
-                    hit = np.flatnonzero(g == least[short])
-                    hit = hit[g[hit] != top]
-                    # equal hashes in a row: the first place counts
-                    of = short[hit]
-                    keep = np.ones(len(hit), bool)
-                    keep[1:] = of[1:] != of[:-1]
-                    hit, of = hit[keep], of[keep]
-                    places[j, of] = hit
-                    g[hit] = top
+            places = np.full((KEPT, len(full)), len(labelled), np.int64)
+            for j in range(KEPT):
+                least = np.minimum.reduceat(g, begins)
+                hit = np.flatnonzero(g == least[short])
+                hit = hit[g[hit] != top]
+                # equal hashes in a row: the first place counts
+                of = short[hit]
+                keep = np.ones(len(hit), bool)
+                keep[1:] = of[1:] != of[:-1]
+                hit, of = hit[keep], of[keep]
+                places[j, of] = hit
+                g[hit] = top
             places.sort(axis=0)
-            code = np.full(len(full), np.uint64((level << 20) + s + 1))
+            code = np.full(len(full), np.uint64(s + 1))
             padded = np.append(labelled, np.uint64(0))
-            for j in range(kept):
+            for j in range(KEPT):
                 code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + padded[places[j]])
             bands[full, s] = code
     return n_words, digests, bands
 
 
-def _sketches(level: int):
-    def run(batches):
-        for b in slices(batches, 1, SLICE_BYTES):
-            n_words, digests, bands = sketch(b.column(1), level)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(bands.astype(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(digests, pa.binary()), flat], names=["doc_id", "n_words", "digest", "bands"])
-
-    return run
+def _sketches(batches):
+    for b in slices(batches, 1, SLICE_BYTES):
+        n_words, digests, bands = sketch(b.column(1))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(bands.astype(np.int64).ravel()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(digests, pa.binary()), flat], names=["doc_id", "n_words", "digest", "bands"])
 
 
 _SKETCHED = "doc_id long, n_words long, digest binary, bands array<long>"
@@ -228,45 +205,39 @@ def _buckets(sketched: DataFrame, similarity: float) -> DataFrame:
 
 
 def _links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Verified (u, v) links among the members (key, doc_id, leader) of all buckets."""
-    spark = members.sparkSession
+    """Verified (u, v) links among the members (key, doc_id, root, leader, leader_root) of all buckets.
+
+    A document that has led a bucket leaves it, for each pair it was in there is
+    settled. Pairs are (doc_id, leader) with the smaller one as leader.
+    """
     links: DataFrame | None = None
+    tried: DataFrame | None = None
     labels: DataFrame | None = None  # (node, root)
-    level = 0
+    leading = 1
+    pairs = members.where("doc_id <> leader and root <> leader_root").select("doc_id", "leader", F.col("root").alias("a"), F.col("leader_root").alias("b")).distinct()
+    rest = members.where("doc_id <> leader").select("key", "doc_id")
     while True:
-        # Documents with one root are linked already.
-        pairs = members.where("doc_id <> leader and root <> leader_root").select("doc_id", "leader", F.col("root").alias("a"), F.col("leader_root").alias("b")).distinct()
         done = stash(_aligned(pairs, texts, similarity).groupBy("doc_id", "leader", "a", "b").agg(F.max("ok").alias("ok")), "aligned")
         found = done.where("ok")
-        if level and found.isEmpty():
-            break  # a whole level of fresh sketches has brought no two classes together
-        new = found.select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
-        links = new if links is None else links.union(new)
-        # Each root goes on to the smallest root it was linked to, one step a level; `components` completes them at the end.
-        onward = found.select(F.greatest("a", "b").alias("root"), F.least("a", "b").alias("next")).groupBy("root").agg(F.min("next").alias("next"))
-        if labels is None:
-            labels = onward.toDF("node", "root").join(onward.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        else:
-            labels = labels.union(onward.select("root", "root")).groupBy("node").agg(F.min("root").alias("root")).join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        new, failed = found.select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), done.where("not ok").select("doc_id", "leader")
+        links, tried = (new, failed) if links is None else (links.union(new), tried.union(failed))
+        moved = components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("root", "next")
+        labels = moved.toDF("node", "root") if labels is None else labels.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")).union(moved.toDF("node", "root")).distinct()
         labels = stash(labels, "labels")
-        # Open: documents that fit no leader in a bucket where another such document of another class is.
-        failed = members.join(done.where("not ok").select("doc_id", "leader"), ["doc_id", "leader"]).select("key", "doc_id", "root")
-        if not level:  # no roots were known yet
-            failed = failed.drop("root").join(labels.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        failed = stash(failed, "failed")
-        mixed = failed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        open_ = stash(failed.join(mixed, "key", "left_semi").select("doc_id").distinct(), "open")
-        level += 1
-        n = open_.count()
-        if not n:
-            break
-        # Read anew only for the open documents: their texts are few, and each task should have some.
-        again = _semi(texts, open_).coalesce(max(spark.sparkContext.defaultParallelism, ceil_div(n, OPEN_TEXTS)))
-        anew = again.mapInArrow(_sketches(level), _SKETCHED).join(labels.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        members = _buckets(stash(anew, "sketches"), similarity)
-        if members.isEmpty():
-            break
-    return links
+        rooted = rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", "key"), "doc_id")
+        ranked = stash(rooted.join(mixed, "key", "left_semi").distinct().withColumn("place", F.row_number().over(order)), "open")
+        if ranked.isEmpty():
+            return links
+        leaders = ranked.where(F.col("place") <= leading).select("key", F.col("doc_id").alias("l"), F.col("root").alias("l_root"), F.col("place").alias("l_place"))
+        met = ranked.join(leaders, "key").where("root <> l_root and place > l_place")
+        swap = F.col("doc_id") < F.col("l")
+        pairs = met.select(
+            F.greatest("doc_id", "l").alias("doc_id"), F.least("doc_id", "l").alias("leader"), F.when(swap, F.col("l_root")).otherwise(F.col("root")).alias("a"), F.when(swap, F.col("root")).otherwise(F.col("l_root")).alias("b")
+        ).distinct().join(tried, ["doc_id", "leader"], "left_anti")
+        rest = ranked.where(F.col("place") > leading).select("key", "doc_id")
+        leading *= MORE_LEADERS
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -282,7 +253,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     left out; other columns are ignored; an empty table gives an empty result.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    sketched = stash(base.mapInArrow(_sketches(0), _SKETCHED), "sketches")
+    sketched = stash(base.mapInArrow(_sketches, _SKETCHED), "sketches")
     copies = sketched.groupBy("digest").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("n_words").alias("n_words"), F.min("doc_id").alias("rep"))
     reps = stash(copies, "representatives")
     same = sketched.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
