@@ -45,8 +45,8 @@ PATTERN = re.compile(
     """,
     re.X,
 )
-#: Where neither occurs, nothing of PATTERN can.
-_HINT = re.compile("[0-9@]")
+#: Where neither this nor one of the names occurs, nothing of PATTERN can.
+_HINT = re.compile("[0-9@]|AKIA|ASIA|(?i:password|passwd|pwd|token|secret|api_?key)")
 _NAMES = (*FEMALE, *MALE, *FEMALE_TITLES, *MALE_TITLES)
 KINDS = ("email", "cloud_key", "secret", "ip", "iban", "ssn", "card", "phone", "person")
 
