@@ -137,6 +137,15 @@ def test_secrets_without_digits():
         assert pii.replace(text)[0] + " 1" == pii.replace(text + " 1")[0]
 
 
+def test_entities_next_to_numbers():
+    phone, card = "202-555-0143", "4111 1111 1111 1111"
+    for kind, entity in [("phone", phone), ("card", card), ("ssn", "123-45-6789")]:
+        for text in (f"call {entity} 2024 or", f"on 2024 {entity} x", f"call {entity} 22 or", f"7 {entity}", f"2024 {entity} 2024"):
+            assert (kind, entity) in [x[2:] for x in pii.find(text)], text
+            assert entity not in pii.replace(text)[0]
+    assert pii.find("no card 4111 1111 1111 1112 here") == pii.find("1234567890123") == []
+
+
 def test_pseudonymised_table(spark, edge):
     more = frame(spark, [(100, "mail ann.b@x.example.com"), (101, "again ann.b@x.example.com and bob.c@x.example.com"), (101, "again ann.b@x.example.com and bob.c@x.example.com")]).unionByName(edge)
     got = pii.pseudonymised(more).collect()
