@@ -74,8 +74,12 @@ def edit_distance(a: list, b: list, limit: int) -> int:
         band *= 4
 
 
+def allowed(a: int, b: int, similarity: float) -> int:
+    """The largest distance at which texts of ``a`` and ``b`` words are alike."""
+    return int((1 - similarity) * max(a, b) + 1e-9)
+
+
 def alike(a: list, b: list, similarity: float) -> bool:
     """Whether 1 - distance / length of the longer is at least ``similarity``."""
-    longer = max(len(a), len(b))
-    limit = int((1 - similarity) * longer + 1e-9)
+    limit = allowed(len(a), len(b), similarity)
     return edit_distance(a, b, limit) <= limit

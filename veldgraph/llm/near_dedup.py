@@ -5,14 +5,19 @@ occurrence-labelled k-mers of words and keeps them in text order, so that it
 depends on their order as an edit distance does. Documents that share a sketch
 are candidates; a banded alignment of their words decides.
 
-Copies with the same words are one document from the start. In a bucket of
-documents that share a sketch each is first aligned with the bucket's first
-document only: the near copies of one text settle with one leader, in linear
-work. Where documents of different classes are left in a bucket, further
-leaders follow, four times as many each round, and meet all others of other
-classes but the pairs tried before, until each pair of documents in a bucket is
-in one class or was aligned. Work is linear in a bucket of one class and
-quadratic in a bucket of many texts that are unlike.
+Copies with the same words are one document from the start. Then, in a bucket of
+documents that share a sketch:
+
+1. Each is aligned with the bucket's first document, its leader. The near copies
+   of one text settle here, in linear work.
+2. Each pair that is left (neither member is the leader, not both are like it) is
+   settled in the first bucket that the two share, unless the metric decides it:
+   the distances of the two from the leader differ by more than a link allows.
+   A bucket's open documents are cut into chunks, and two chunks at a time meet
+   in a task, so that no task holds a whole bucket.
+
+No pair that shares a sketch is left undecided. Work is linear in a bucket of one
+class and quadratic in the texts of a bucket that are like nothing else in it.
 """
 
 from __future__ import annotations
@@ -22,27 +27,31 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .alignment import alike
+from .alignment import alike, allowed, edit_distance
 from .common import joined, mix64, slices, span_hashes, stash, word_bounds
 
-#: Words of a k-mer; k-mers of a sketch.
+#: Words of a k-mer; k-mers of a sketch. More k-mers of a sketch part texts that
+#: share passages only; more sketches make up for what that costs in recall.
 K = 5
-KEPT = 3
+KEPT = 6
+#: Sketches that two texts with a k-mer similarity of SIMILARITY share on average.
+MEETINGS = 7
 #: Least share of words that align.
 SIMILARITY = 0.8
 #: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 SLICE_BYTES = 1 << 20
-#: Leaders of a bucket in one round, as a multiple of the round before.
-MORE_LEADERS = 4
+#: Documents, and bytes of text, of a chunk of a bucket.
+CHUNK_ROWS = 128
+CHUNK_BYTES = 16 << 20
 
 
 def n_sketches() -> int:
-    """As many as let two documents with a k-mer similarity of 0.8 meet in eight sketches on average."""
-    return math.ceil(8 / SIMILARITY**KEPT)
+    """27: of pairs with a k-mer similarity of just SIMILARITY about one in 2,600 shares no sketch (one in 500 of texts of 20 words)."""
+    return math.ceil(MEETINGS / SIMILARITY**KEPT)
 
 
 def _fold(raw: np.ndarray) -> np.ndarray:
@@ -74,7 +83,7 @@ def _labelled(kmers: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def sketch(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Number of words, digest of the words, and the sketches (rows x n_sketches) of texts.
+    """Bytes, digest of the words, and the sketches (rows x n_sketches) of texts.
 
     Fewer than K words, but not none, are one k-mer; a text without words has
     the sketches of no k-mer.
@@ -102,43 +111,41 @@ def sketch(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     count = n_sketches()
     multipliers = np.random.default_rng(11).integers(1 << 62, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     bands = np.zeros((n, count), np.uint64)
-    full = np.flatnonzero(many)
-    if len(full):
-        begins = first[full]
-        short = np.repeat(np.arange(len(full)), many[full])
-        top = np.uint64(0xFFFFFFFFFFFFFFFF)
-        for s in range(count):
-            g = labelled * multipliers[s]
-            g ^= g >> np.uint64(29)
-            places = np.full((KEPT, len(full)), len(labelled), np.int64)
-            for j in range(KEPT):
-                least = np.minimum.reduceat(g, begins)
-                hit = np.flatnonzero(g == least[short])
-                hit = hit[g[hit] != top]
-                # equal hashes in a row: the first place counts
-                of = short[hit]
-                keep = np.ones(len(hit), bool)
-                keep[1:] = of[1:] != of[:-1]
-                hit, of = hit[keep], of[keep]
-                places[j, of] = hit
-                g[hit] = top
-            places.sort(axis=0)
-            code = np.full(len(full), np.uint64(s + 1))
-            padded = np.append(labelled, np.uint64(0))
-            for j in range(KEPT):
-                code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + padded[places[j]])
-            bands[full, s] = code
-    return n_words, digests, bands
+    # The KEPT smallest of a row lie under a bound that its number of k-mers gives; the few rows for which
+    # too few do are taken whole.
+    wanted = np.minimum(many, KEPT)
+    part = np.minimum((3.0 * KEPT + 8) / np.maximum(many, 1), 1.0)
+    bound = np.where(part < 1, (part * 2.0**63).astype(np.uint64) << np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))[row]
+    padded = np.append(labelled, np.uint64(0))
+    for s in range(count):
+        g = labelled * multipliers[s]
+        g ^= g >> np.uint64(29)
+        g *= np.uint64(0xD6E8FEB86659FD93)
+        low = g <= bound
+        if len(few := np.flatnonzero(np.bincount(row[low], minlength=n) < wanted)):
+            low[np.isin(row, few)] = True
+        hit = np.flatnonzero(low)
+        of = row[hit]
+        held = np.bincount(of, minlength=n)
+        order = np.lexsort((g[hit], of))
+        best = hit[order][np.arange(len(hit)) - (np.cumsum(held) - held)[of] < KEPT]
+        best.sort()  # rows in turn, each in text order
+        begin = np.cumsum(wanted) - wanted
+        code = np.full(n, np.uint64(s + 1))
+        for j in range(KEPT):
+            code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + padded[np.where(wanted > j, np.append(best, 0)[np.minimum(begin + j, len(best))], len(labelled))])
+        bands[:, s] = np.where(many > 0, code, np.uint64(0))
+    return np.diff(at), digests, bands
 
 
 def _sketches(batches):
     for b in slices(batches, 1, SLICE_BYTES):
-        n_words, digests, bands = sketch(b.column(1))
+        n_bytes, digests, bands = sketch(b.column(1))
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(bands.astype(np.int64).ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(digests, pa.binary()), flat], names=["doc_id", "n_words", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(digests, pa.binary()), flat], names=["doc_id", "n_bytes", "digest", "bands"])
 
 
-_SKETCHED = "doc_id long, n_words long, digest binary, bands array<long>"
+_SKETCHED = "doc_id long, n_bytes long, digest binary, bands array<long>"
 
 
 def _semi(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -147,22 +154,40 @@ def _semi(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
+def _loose(of: int, leader: int, similarity: float) -> int:
+    """Beyond this distance from its leader a text is like no text that is like the leader (the triangle inequality)."""
+    reach = (1 - similarity) * leader / similarity  # how far from the leader, at most, a text like it can be
+    return int(reach + (1 - similarity) * max(of, leader / similarity) + 1e-9)
+
+
 def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Adds ``ok`` to (doc_id, leader, a, b) pairs."""
+    """Adds to (doc_id, leader) pairs: ok (they are alike), low and high (bounds of their distance, high null beyond the loose bound)."""
+    names = ["doc_id", "leader", "ok", "low", "high"]
 
     def run(batches):
         cached: tuple = (None, None)
         for b in batches:
-            ok = []
-            leaders, a, c = b.column("leader").to_pylist(), b.column("text"), b.column("leader_text")
-            for i, leader in enumerate(leaders):
+            ok, low, high = [], [], []
+            a, c = b.column("text"), b.column("leader_text")
+            for i, leader in enumerate(b.column("leader").to_pylist()):
                 if leader != cached[0]:
                     cached = leader, words_of(c[i].as_py())
-                ok.append(alike(words_of(a[i].as_py()), cached[1], similarity))
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in ("doc_id", "leader", "a", "b")] + [pa.array(ok, pa.bool_())], names=["doc_id", "leader", "a", "b", "ok"])
+                mine, other = words_of(a[i].as_py()), cached[1]
+                most = _loose(len(mine), len(other), similarity)
+                d = edit_distance(mine, other, most)
+                ok.append(d <= most and d <= allowed(len(mine), len(other), similarity))
+                low.append(d)
+                high.append(d if d <= most else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("leader"), pa.array(ok, pa.bool_()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=names)
 
     both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("leader_text")), "leader")
-    return both.select("doc_id", "leader", "a", "b", "text", "leader_text").mapInArrow(run, "doc_id long, leader long, a long, b long, ok boolean")
+    # Rows that share a doc_id are one document: the bounds hold for all its texts.
+    return (
+        both.select("doc_id", "leader", "text", "leader_text")
+        .mapInArrow(run, "doc_id long, leader long, ok boolean, low long, high long")
+        .groupBy("doc_id", "leader")
+        .agg(F.max("ok").alias("ok"), F.min("ok").alias("near"), F.min("low").alias("low"), F.when(F.count("high") == F.count("*"), F.max("high")).alias("high"))
+    )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,70 +208,111 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stash(oriented(edges), "edges")
     while not stars(edges):
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = oriented(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Minima are written, so that the joins that follow are of plain tables, whose hot nodes Spark can split.
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stash(oriented(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
+        low = stash(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = stash(oriented(small), "edges")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def _buckets(sketched: DataFrame, similarity: float) -> DataFrame:
-    """(key, doc_id, root, leader, leader_root) of the sketches that several documents of like length have.
-
-    A document is in two length cells, of grids that are half a cell apart: if
-    two texts share none, one is too long for the other's words to align.
-    """
-    place = F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double")) / (2 * math.log(1 / similarity) + 1e-9)
-    cells = F.array(F.floor(place) * 2, F.floor(place + 0.5) * 2 + 1)
-    members = sketched.select("doc_id", "root", F.explode(F.array_distinct("bands")).alias("band"), cells.alias("cells")).select("doc_id", "root", "band", F.explode("cells").alias("cell")).select("doc_id", "root", F.xxhash64("band", "cell").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("other"), F.min_by("root", "doc_id").alias("leader_root")).where("leader <> other").select("key", "leader", "leader_root")
-    return stash(members.join(leaders, "key").select("key", "doc_id", "root", "leader", "leader_root"), "members")
-
-
-def _links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Verified (u, v) links among the members (key, doc_id, root, leader, leader_root) of all buckets.
-
-    A document that has led a bucket leaves it, for each pair it was in there is
-    settled. Pairs are (doc_id, leader) with the smaller one as leader.
-    """
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    labels: DataFrame | None = None  # (node, root)
-    leading = 1
-    pairs = members.where("doc_id <> leader and root <> leader_root").select("doc_id", "leader", F.col("root").alias("a"), F.col("leader_root").alias("b")).distinct()
-    rest = members.where("doc_id <> leader").select("key", "doc_id")
-    while True:
-        done = stash(_aligned(pairs, texts, similarity).groupBy("doc_id", "leader", "a", "b").agg(F.max("ok").alias("ok")), "aligned")
-        found = done.where("ok")
-        new, failed = found.select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), done.where("not ok").select("doc_id", "leader")
-        links, tried = (new, failed) if links is None else (links.union(new), tried.union(failed))
-        moved = components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("root", "next")
-        labels = moved.toDF("node", "root") if labels is None else labels.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")).union(moved.toDF("node", "root")).distinct()
-        labels = stash(labels, "labels")
-        rooted = rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", "key"), "doc_id")
-        ranked = stash(rooted.join(mixed, "key", "left_semi").distinct().withColumn("place", F.row_number().over(order)), "open")
-        if ranked.isEmpty():
-            return links
-        leaders = ranked.where(F.col("place") <= leading).select("key", F.col("doc_id").alias("l"), F.col("root").alias("l_root"), F.col("place").alias("l_place"))
-        met = ranked.join(leaders, "key").where("root <> l_root and place > l_place")
-        swap = F.col("doc_id") < F.col("l")
-        pairs = met.select(
-            F.greatest("doc_id", "l").alias("doc_id"), F.least("doc_id", "l").alias("leader"), F.when(swap, F.col("l_root")).otherwise(F.col("root")).alias("a"), F.when(swap, F.col("root")).otherwise(F.col("l_root")).alias("b")
-        ).distinct().join(tried, ["doc_id", "leader"], "left_anti")
-        rest = ranked.where(F.col("place") > leading).select("key", "doc_id")
-        leading *= MORE_LEADERS
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(key, nth, doc_id, leader) of the sketches that several documents have; ``nth`` is the number of the hash function."""
+    members = reps.select(F.col("rep").alias("doc_id"), F.posexplode("bands").alias("nth", "key"))
+    leaders = members.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("other")).where("leader <> other").select("key", "leader")
+    return stash(members.join(leaders, "key").select("key", "nth", "doc_id", "leader"), "members")
+
+
+_TILE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _settle(similarity: float):
+    """Links between the documents of two chunks of a bucket (or within one, if both are the same)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, side, nth = t.column("doc_id").to_pylist(), np.asarray(t.column("side")), t.column("nth")[0].as_py()
+        words = [words_of(x.as_py()) for x in t.column("text")]
+        sizes = np.array([len(w) for w in words])
+        bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(len(ids), -1)
+        low = np.asarray(t.column("low"))
+        high = np.array([np.inf if x is None else x for x in t.column("high").to_pylist()])
+        root = {r: r for r in t.column("root").to_pylist()}
+        of = t.column("root").to_pylist()
+
+        def top(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out: list[tuple[int, int]] = []
+        one_chunk = bool(t.column("within")[0].as_py())
+        for i in range(len(ids)):
+            if not one_chunk and side[i]:
+                continue
+            other = np.arange(i + 1, len(ids)) if one_chunk else np.flatnonzero(side)
+            limit = (1 - similarity) * np.maximum(sizes[i], sizes[other]) + 1e-9
+            open_ = (np.abs(sizes[i] - sizes[other]) <= limit) & (low[i] - high[other] <= limit) & (low[other] - high[i] <= limit)
+            other = other[open_]
+            if len(other):  # the bucket that two documents share first decides about them
+                other = other[~(bands[other, :nth] == bands[i, :nth]).any(axis=1)]
+            for j in other.tolist():
+                a, b = top(of[i]), top(of[j])
+                if a != b and alike(words[i], words[j], similarity):
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[i], ids[j]))
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())}, _TILE)
+
+    return run
+
+
+def _links(members: DataFrame, reps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Verified (u, v) links among the members (key, nth, doc_id, leader) of all buckets."""
+    met = stash(_aligned(members.where("doc_id <> leader").select("doc_id", "leader").distinct(), texts, similarity), "aligned")
+    links = met.where("ok").select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
+    labels = stash(components(links), "labels")
+
+    # A document is near (like the leader), open otherwise; an open one within the loose bound may be like near ones.
+    follow = members.where("doc_id <> leader").join(met.select("doc_id", "leader", "near", "low", "high"), ["doc_id", "leader"])
+    bytes_of = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("n_bytes").alias("bytes"))
+    state = stash(follow.join(bytes_of, "doc_id").select("key", "nth", "doc_id", "near", "low", "high", (~F.col("near") & F.col("high").isNotNull()).alias("ring"), "bytes"), "state")
+    count = lambda which: F.count(F.when(which, 1))
+    chunks = lambda which: F.greatest(F.ceil(count(which) / CHUNK_ROWS), F.ceil(F.sum(F.when(which, F.col("bytes"))) / CHUNK_BYTES), F.lit(1)).cast("int")
+    mixed = stash(
+        state.groupBy("key")
+        .agg(count(~F.col("near")).alias("n_open"), count(F.col("ring")).alias("n_ring"), count(F.col("near")).alias("n_near"), chunks(~F.col("near")).alias("open_chunks"), chunks(F.col("near")).alias("near_chunks"))
+        .where("n_open > 1 or n_ring > 0 and n_near > 0")
+        .select("key", F.expr("n_ring > 0").alias("with_near"), "open_chunks", "near_chunks"),
+        "mixed",
+    )
+    at = lambda n: F.pmod(F.xxhash64("doc_id", "key"), F.col(n)).cast("int")
+    placed = (
+        state.join(mixed, "key")
+        .where("not near or with_near")
+        .join(labels.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+        .select("key", "nth", "doc_id", "near", "ring", "low", "high", F.coalesce("root", "doc_id").alias("root"), "with_near", "open_chunks", "near_chunks", F.when(F.col("near"), at("near_chunks")).otherwise(at("open_chunks")).alias("chunk"))
+    )
+    # A task for each two chunks of open documents, and for each chunk of open ones within the loose bound with each of near ones.
+    tile = lambda kind, first, second, side: f"named_struct('kind', '{kind}', 'first', {first}, 'second', {second}, 'side', {side})"
+    tiles = F.expr(
+        f"""if(near, transform(sequence(0, open_chunks - 1), c -> {tile('near', 'c', 'chunk', 1)}),
+               concat(transform(sequence(0, chunk), c -> {tile('open', 'c', 'chunk', 'if(c = chunk, 0, 1)')}),
+                      if(chunk + 1 < open_chunks, transform(sequence(chunk + 1, open_chunks - 1), c -> {tile('open', 'chunk', 'c', 0)}), array()),
+                      if(with_near and ring, transform(sequence(0, near_chunks - 1), c -> {tile('near', 'chunk', 'c', 0)}), array())))"""
+    )
+    dealt = placed.withColumn("tile", F.explode(tiles)).select("key", "nth", "doc_id", "low", "high", "root", "tile.*", F.expr("tile.kind = 'open' and tile.first = tile.second").alias("within"))
+    full = dealt.join(texts, "doc_id").join(reps.select(F.col("rep").alias("doc_id"), "bands"), "doc_id")
+    more = full.groupBy("key", "kind", "first", "second").applyInArrow(_settle(similarity), "u long, v long")
+    return links.unionAll(stash(more, "settled"))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per doc_id: doc_id, class_id (the smallest doc_id of its class), class_size.
 
     Two texts are linked if at least ``similarity`` of their words align
-    (1 - distance / words of the longer) and they share a sketch: of texts whose
-    5-word shingles have a Jaccard similarity of 0.8 all but about one pair in
-    100,000 do. Classes are the connected components; copies count. Words are
+    (1 - distance / words of the longer) and they share a sketch (see
+    ``n_sketches``). Classes are the connected components; copies count. Words are
     compared without the case of A-Z and white space, so texts that are null,
     empty or blank form one class. Rows that share a doc_id are one document,
     linked through all their texts. Rows without a doc_id have no class and are
@@ -254,20 +320,25 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     sketched = stash(base.mapInArrow(_sketches, _SKETCHED), "sketches")
-    copies = sketched.groupBy("digest").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("n_words").alias("n_words"), F.min("doc_id").alias("rep"))
+    copies = sketched.groupBy("digest").agg(F.min_by("bands", "doc_id").alias("bands"), F.max("n_bytes").alias("n_bytes"), F.min("doc_id").alias("rep"))
     reps = stash(copies, "representatives")
-    same = sketched.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    members = _buckets(reps.select(F.col("rep").alias("doc_id"), F.col("rep").alias("root"), "n_words", "bands"), similarity)
+    members = _buckets(reps)
     ids = stash(members.select("doc_id").distinct(), "ids")
     texts = stash(_semi(base, ids), "texts")
-    links = _links(members, texts, similarity)
-    roots = components(links.union(same))
-    classed = sketched.select("doc_id").distinct().join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
-    sizes = classed.groupBy("class_id").agg(F.count("*").alias("class_size"))
+    links = _links(members, reps, texts, similarity)
+
+    of = stash(sketched.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").select("doc_id", "rep"), "copies")
+    first = of.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+    # rows that share a doc_id tie the classes of their texts
+    ties = of.join(first.where("rep <> last").select("doc_id", F.col("rep").alias("v")), "doc_id").select(F.col("rep").alias("u"), "v")
+    roots = components(links.unionAll(ties))
+    classed = stash(first.select("doc_id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id")), "classes")
+    sizes = stash(classed.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")
     return classed.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, with the smallest doc_id of their class; rows without one stay."""
-    dropped = stash(near_classes(docs, similarity).where("doc_id <> class_id").select("doc_id"), "dropped")
-    return _semi(docs, dropped, "left_anti")
+    dropped = stash(near_classes(docs, similarity).where("doc_id <> class_id").select(F.col("doc_id").alias("_dropped")), "dropped")
+    few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
