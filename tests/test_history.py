@@ -8,11 +8,12 @@ from veldgraph.errors import VeldgraphError
 from veldgraph.operators import history as h
 from veldgraph.operators.history import Delta, Stage
 
-V = [
-    {"id": "P", "name": "A", "owner": {"pid": "1", "role": "r", "team": "t"}, "tasks": [{"tid": "T1", "status": "todo"}]},
-    {"id": "P", "name": "A", "text": "first", "owner": {"pid": "1", "role": "lead", "team": "e"}, "tasks": [{"tid": "T1", "status": "todo"}, {"tid": "T2", "title": "old", "status": "todo"}], "notes": ["k"]},
-    {"id": "P", "name": "A", "text": "first", "owner": {"pid": "2", "role": "lead", "team": "e"}, "tasks": [{"tid": "T1", "status": "doing"}, {"tid": "T2", "title": "new", "status": "todo"}, {"tid": "T3", "status": "todo"}], "notes": ["k", "s"]},
-    {"id": "P", "name": "A", "text": "second", "owner": {"pid": "2", "role": "lead", "team": "e"}, "tasks": [{"tid": "T1", "status": "done"}, {"tid": "T2", "title": "new", "status": "todo"}, {"tid": "T3", "status": "review"}], "notes": ["k", "s", "b"]},
+# A garden in four seasons.
+SEASONS = [
+    {"plot": "G7", "beds": [{"bed": "b1", "crop": "rye"}, {"bed": "b2", "crop": "peas"}], "water": {"tank": 300, "pump": "off"}},
+    {"plot": "G7", "beds": [{"bed": "b1", "crop": "rye"}, {"bed": "b2", "crop": "beans"}], "water": {"tank": 120, "pump": "off"}, "fence": True},
+    {"plot": "G7", "beds": [{"bed": "b1", "crop": "clover", "rows": 4}], "water": {"tank": 120, "pump": "on"}, "fence": True},
+    {"plot": "G7", "beds": [{"bed": "b1", "crop": "clover", "rows": 6}, {"bed": "b9", "crop": "kale"}], "water": {"tank": 500, "pump": "on"}},
 ]
 
 
@@ -24,16 +25,17 @@ def test_diff_kinds():
     assert h.diff({"o": {"pid": 1}}, {"o": {"pid": 2}}, treat_changed_identifier_as_new_object=False, identifiers=["pid"]) == [Delta(("o", "pid"), "update", 1, 2)]
 
 
-def test_blame_series():
-    stages = [Stage({"change_id": i}, V[i], h.diff(V[i - 1], V[i], identifiers=["pid", "tid"])) for i in (1, 2, 3)]
-    value, blame = h.apply_deltas(V[0], stages)
-    assert value == V[3]
+def test_blame_of_the_garden():
+    stages = [Stage({"change_id": i}, SEASONS[i], h.diff(SEASONS[i - 1], SEASONS[i], treat_missing_as_null=True, identifiers=["bed"])) for i in (1, 2, 3)]
+    value, blame = h.apply_deltas(SEASONS[0], stages)
+    assert h.equals(value, SEASONS[3], True)
     who = {p: m["change_id"] for p, m in h.blame_paths(value, blame)}
-    assert who[()] == 1 and who["owner", "role"] == 2 and who["tasks", "1", "title"] == 2 and who["text",] == 3 and who["tasks", "0", "status"] == 3
-    assert ("name",) not in who
+    assert [who["beds", "0", k] for k in ("crop", "rows")] == [2, 3] and who["beds", "1", "crop"] == 3
+    assert [who["water", k] for k in ("tank", "pump")] == [3, 2] and who["fence",] == 3
+    assert ("plot",) not in who and ("beds", "0", "bed") not in who
     assert [p for p, _ in h.blame_paths(value, blame)][0] == ()
-    text = h.format_blame(value, blame)
-    assert all(line[72] == " " for line in text.split("\n")) and "cid=  3" in text
+    lines = h.format_blame(value, blame).split("\n")
+    assert all(line[72] == " " for line in lines) and any("cid=  3" in line and "kale" in line for line in lines)
 
 
 def test_history_uses_the_running_value():

@@ -22,7 +22,7 @@ GRAPH: dict[str, tuple[str, str]] = {
     "filter_range": ("SELECT ?o ?t WHERE { ?o a :Order ; :totalPrice ?t . FILTER(?t >= 1000 && ?t < 50000.5) }", "SELECT o_orderkey AS o, o_totalprice AS t FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 50000.5"),
     "filter_in": ("SELECT ?o ?s WHERE { ?o a :Order ; :status ?s . FILTER(?s IN ('F', 'P')) }", "SELECT o_orderkey AS o, o_orderstatus AS s FROM orders WHERE o_orderstatus IN ('F', 'P')"),
     "filter_not_in": ("SELECT ?c ?s WHERE { ?c a :Customer ; :segment ?s . FILTER(?s NOT IN ('BUILDING', 'MACHINERY') || ?c = <" + N + "Customer/1>) }", "SELECT c_custkey AS c, c_mktsegment AS s FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') OR c_custkey = 1"),
-    "filter_regex": ("SELECT ?p ?n WHERE { ?p a :Part ; :name ?n ; :type ?t . FILTER(REGEX(?t, '^[A-M]') && REGEX(?n, '1$', 'i')) }", "SELECT p_partkey AS p, p_name AS n FROM part WHERE regexp_matches(p_type, '^[A-M]') AND regexp_matches(p_name, '1$', 'i')"),
+    "filter_regex": ("SELECT ?p ?n WHERE { ?p a :Part ; :name ?n ; :type ?t . FILTER(REGEX(?t, '^[A-M]') && REGEX(?n, 'A.*E', 'i')) }", "SELECT p_partkey AS p, p_name AS n FROM part WHERE regexp_matches(p_type, '^[A-M]') AND regexp_matches(p_name, 'A.*E', 'i')"),
     "filter_date": ('SELECT ?o WHERE { ?o a :Order ; :orderDate ?d . FILTER(?d >= "1997-01-01T00:00:00"^^xsd:dateTime) }', "SELECT o_orderkey AS o FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00'"),
     "filter_error": ("SELECT ?c WHERE { ?c a :Customer ; :name ?n ; :acctbal ?b . FILTER(?n > 5 || ?b > 5000) }", "SELECT c_custkey AS c FROM customer WHERE c_acctbal > 5000"),
     "values_one": ("SELECT ?c ?s WHERE { ?c a :Customer ; :segment ?s . VALUES ?s { 'BUILDING' 'FURNITURE' } }", "SELECT c_custkey AS c, c_mktsegment AS s FROM customer WHERE c_mktsegment IN ('BUILDING', 'FURNITURE')"),

@@ -41,18 +41,22 @@ def blame_latest(spark, sf_dir):
     e = _events(spark, sf_dir)
     d = history.flat_history(e, _FIELDS)
     writers = history.latest_writer(d, F.struct("seq", "new"))
-    return writers.select("object", "path", F.col("writer.seq").alias("seq"), F.col("writer.new").alias("new")).where("path <> 'value'")
+    return writers.select("object", "path", F.col("writer.seq").alias("seq"), F.col("writer.new").alias("new"))
 
 
 def _snapshots(spark, sf_dir):
+    """Each customer's latest order of two spans of years: (status, priority) before 1994 and since 1997."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    before = o.where("o_orderkey % 5 <> 0").selectExpr("o_orderkey", "o_orderstatus AS status", "if(o_orderkey % 2 = 0, o_orderpriority, null) AS priority")
-    after = o.where("o_orderkey % 7 <> 0").selectExpr("o_orderkey", "if(o_orderkey % 3 = 0, 'X', o_orderstatus) AS status", "if(o_orderkey % 4 = 0, null, o_orderpriority) AS priority")
-    return before, after
+
+    def latest(span):
+        newest = o.where(span).groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus", "o_orderpriority")).alias("o"))
+        return newest.selectExpr("o_custkey", "nullif(o.o_orderstatus, 'P') AS status", "nullif(o.o_orderpriority, '4-NOT SPECIFIED') AS priority")
+
+    return latest("o_orderdate < timestamp'1994-01-01'"), latest("o_orderdate >= timestamp'1997-01-01'")
 
 
 def _diff(missing: bool):
-    return lambda spark, sf_dir: history.diff_tables(*_snapshots(spark, sf_dir), "o_orderkey", ["status", "priority"], missing)
+    return lambda spark, sf_dir: history.diff_tables(*_snapshots(spark, sf_dir), "o_custkey", ["status", "priority"], missing)
 
 
 def foreign_refs(spark, sf_dir):
@@ -127,12 +131,12 @@ SELECT object, seq, event_id, 'event_type' AS path, event_type AS now FROM ({_E}
 _FIRST = f"SELECT object, min(seq) AS first_seq FROM ({_E}) GROUP BY object"
 _KEPT = _LONG + f" JOIN ({_FIRST}) f USING (object) WHERE NOT (path = 'value' AND event_id % 3 = 0 AND seq <> first_seq)"
 _REJECTED = f"SELECT object, path, count(*) AS n, max(seq) AS last FROM ({_KEPT}) WHERE i > 1 AND now <> old GROUP BY object, path"
-_BEFORE = "SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS priority FROM orders WHERE o_orderkey % 5 <> 0"
-_AFTER = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS priority FROM orders WHERE o_orderkey % 7 <> 0"
+_LATEST = "SELECT o_custkey, nullif(o_orderstatus, 'P') AS status, nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority FROM orders WHERE {span} QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
+_BEFORE, _AFTER = _LATEST.format(span="o_orderdate < TIMESTAMP '1994-01-01'"), _LATEST.format(span="o_orderdate >= TIMESTAMP '1997-01-01'")
 
 
 def _diff_sql(missing: bool) -> str:
-    one = lambda f: f"SELECT coalesce(a.o_orderkey, b.o_orderkey) AS object, '{f}' AS path, CASE WHEN b.{f} IS NOT NULL AND a.{f} IS NULL THEN 'add' WHEN b.{f} <> a.{f} THEN 'update' WHEN b.{f} IS NULL AND a.{f} IS NOT NULL AND {str(missing).lower()} THEN CASE WHEN b.o_orderkey IS NULL THEN 'remove' ELSE 'update' END END AS op, a.{f} AS old, b.{f} AS new FROM ({_BEFORE}) a FULL JOIN ({_AFTER}) b USING (o_orderkey)"
+    one = lambda f: f"SELECT coalesce(a.o_custkey, b.o_custkey) AS object, '{f}' AS path, CASE WHEN b.{f} IS NOT NULL AND a.{f} IS NULL THEN 'add' WHEN b.{f} <> a.{f} THEN 'update' WHEN b.{f} IS NULL AND a.{f} IS NOT NULL AND {str(missing).lower()} THEN CASE WHEN b.o_custkey IS NULL THEN 'remove' ELSE 'update' END END AS op, a.{f} AS old, b.{f} AS new FROM ({_BEFORE}) a FULL JOIN ({_AFTER}) b USING (o_custkey)"
     return f"SELECT * FROM ({one('status')} UNION ALL {one('priority')}) WHERE op IS NOT NULL"
 
 
@@ -150,7 +154,7 @@ SQL = {
     "history_deltas": f"SELECT object, path, 'update' AS op, count(*) AS n, max(seq) AS last FROM ({_LONG}) WHERE i > 1 AND now <> old GROUP BY object, path",
     "history_rejected": _REJECTED,
     "history_fold": _REJECTED,
-    "blame_latest": f"SELECT object, path, max(seq) AS seq, arg_max(now, seq) AS new FROM ({_LONG}) WHERE i > 1 AND now <> old AND path <> 'value' GROUP BY object, path",
+    "blame_latest": f"SELECT object, path, max(seq) AS seq, arg_max(now, seq) AS new FROM ({_LONG}) WHERE i > 1 AND now <> old GROUP BY object, path",
     "diff_partial": _diff_sql(False),
     "diff_missing_null": _diff_sql(True),
     "foreign_refs": f"{_C} UNION ALL {_NA} UNION ALL {_edges('orders', 'Order', 'o_orderkey', 'customer', 'o_custkey', 'Customer')}",

@@ -8,8 +8,6 @@ wherever both sides are surely bound. Catalyst plans the rest.
 
 from __future__ import annotations
 
-
-import tempfile
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -21,6 +19,7 @@ from ..errors import ResultLimitExceeded, Unscoped, UnsupportedConstruct
 from ..functions.expressions import Compiler, Typed, kind_of, literal
 from ..plans import algebra as A
 from ..plans.parser import parse
+from ..shared import shared_dir
 from ..sources.catalog import Catalog, ClassTable
 
 
@@ -65,7 +64,7 @@ def _cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage, kept in the folder that all executors share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veldgraph-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -47,12 +47,12 @@ _TEXTS_SQL = "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_
 
 
 def _baskets(spark, sf_dir):
-    """A user's events as members of an array, two users in three cut to five."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 3 <> 0 or event_id % 7 = 0")
-    return events.groupBy("user_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), 1, 5), lambda e: F.struct(e["event_type"].alias("kind"))).alias("items"))
+    """A user's events of a day, all of them, as members of an array."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.to_date("ts").cast("string").alias("day"), "event_type")
+    return events.groupBy("user_id", "day").agg(F.collect_list(F.struct(F.col("event_type").alias("kind"))).alias("items"))
 
 
-_BASKETS_SQL = "SELECT user_id, list_slice(list(event_type ORDER BY event_id), 1, 5) AS kinds FROM events WHERE event_id % 3 <> 0 OR event_id % 7 = 0 GROUP BY user_id"
+_BASKETS_SQL = "SELECT user_id, ts::DATE::VARCHAR AS day, list(event_type) AS kinds FROM events GROUP BY ALL"
 
 
 def _sql(shape: str, where: str, fields: str, level: str = "serious", message: str = "broken", source: str = "orders", key: str = "o_orderkey") -> str:
@@ -85,7 +85,7 @@ def allowed_values_batch(spark, sf_dir):
 def allowed_members_batch(spark, sf_dir):
     rule = parse_shapes(UNIQUE)[0].ast
     assert isinstance(rule, UniqueByMember)
-    return solve.allowed_members(_baskets(spark, sf_dir), rule, ["user_id"]).select("user_id", F.array_join("allowed", ",").alias("allowed"))
+    return solve.allowed_members(_baskets(spark, sf_dir), rule, ["user_id", "day"]).select("user_id", "day", F.array_join("allowed", ",").alias("allowed"))
 
 
 def predicate_filter(spark, sf_dir):
@@ -104,7 +104,7 @@ QUERIES = {
     "shacl_equals": _violated(EQUALS, _texts),
     "shacl_disjoint": _violated(DISJOINT, _texts),
     "shacl_not_or_and": _violated(COMBOS),
-    "shacl_unique_member": _violated(UNIQUE, _baskets, ("user_id",)),
+    "shacl_unique_member": _violated(UNIQUE, _baskets, ("user_id", "day")),
     "shacl_cross_reference": cross_reference,
     "violations_by_level": violations_by_level,
     "scope_peers": scope_peers,
@@ -120,11 +120,11 @@ SQL = {
     "shacl_equals": _sql("Equals", "(first IS NULL) <> (second IS NULL) OR first <> second", "first,second", "error", source=f"({_TEXTS_SQL})"),
     "shacl_disjoint": _sql("Disjoint", "first = second", "first,second", "unlikely", source=f"({_TEXTS_SQL})"),
     "shacl_not_or_and": _sql("Combos", _COMBO_WHERE, "o_orderpriority,o_orderstatus", message="status and priority exclude each other"),
-    "shacl_unique_member": _sql("Unique", f"len(list_filter(kinds, lambda k: k NOT IN ({_KIND_LIST}) OR len(list_filter(kinds, lambda j: j = k)) > 2)) > 0", "items", source=f"({_BASKETS_SQL})", key="user_id"),
+    "shacl_unique_member": _sql("Unique", f"len(list_filter(kinds, lambda k: k NOT IN ({_KIND_LIST}) OR len(list_filter(kinds, lambda j: j = k)) > 2)) > 0", "items", source=f"({_BASKETS_SQL})", key="user_id, day"),
     "shacl_cross_reference": "SELECT 'http://veldgraph.example/Reach' AS shape, 'serious' AS enforcement_level, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey",
     "violations_by_level": "SELECT 'serious' AS enforcement_level, true AS is_blocking, count(*) AS n, count(*) AS objects FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'critical', true, count(*), count(*) FROM orders WHERE o_orderpriority <> '1-URGENT' UNION ALL SELECT 'unlikely', false, count(*), count(*) FROM orders",
     "scope_peers": "SELECT a.s_suppkey AS s_suppkey, b.s_suppkey AS peer FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey",
     "allowed_values_batch": f"SELECT o_orderkey, o_orderstatus, p AS o_orderpriority FROM (SELECT o_orderkey, o_orderstatus, unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS p FROM orders) WHERE NOT ({_COMBO_WHERE.replace('o_orderpriority', 'p')})",
-    "allowed_members_batch": f"SELECT user_id, array_to_string(list_filter([{_KIND_LIST}], lambda v: len(list_filter(kinds, lambda k: k = v)) < 2), ',') AS allowed FROM ({_BASKETS_SQL})",
+    "allowed_members_batch": f"SELECT user_id, day, array_to_string(list_filter([{_KIND_LIST}], lambda v: len(list_filter(kinds, lambda k: k = v)) < 2), ',') AS allowed FROM ({_BASKETS_SQL})",
     "predicate_filter": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')",
 }
