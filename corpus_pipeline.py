@@ -14,27 +14,48 @@ from veldgraph.llm.common import stash, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on ``labels``, does not reject."""
+    """Documents that the classifier, trained on ``labels``, does not reject.
+
+    Repeated rows stand or fall each for itself; null and empty texts with the
+    classifier's bias; rows without a doc_id are judged like others. With no
+    labels all stay. An empty table stays empty.
+    """
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the smallest doc_id."""
+    """One document of each near-duplicate class: the one with the smallest doc_id.
+
+    Null, empty and blank texts are one class. Rows that share a doc_id are one
+    document and stay or go together; rows without one stay.
+    """
     return near_dedup.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages make up less than a twentieth."""
+    """Documents without a 13-word window of a benchmark item, and of which short items make up less than a twentieth.
+
+    Each row is judged by its own text, whatever its doc_id; null and empty
+    texts stay. An empty benchmark takes nothing away.
+    """
     return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them: rows repeat, or go.
+
+    Rows without words (null, empty, blank) come once. A null source is a source
+    of its own. Rows that share doc_id, source and text are as one in number.
+    """
     return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of each document: doc_id, n_bytes, shard, depth, shard_bytes, shard_rows."""
+    """The shard of each row: doc_id, n_bytes, shard, depth, shard_bytes, shard_rows.
+
+    Rows that share a doc_id share a shard, and so do rows without one that
+    share a text; a null text has 0 bytes. An empty table has no shards.
+    """
     return sharding.shards(docs)
 
 

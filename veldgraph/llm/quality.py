@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import joined, mix64, slices, span_hashes, word_bounds
 
-#: Labelled documents of each class that training reads at most, the first by a hash of doc_id.
+#: Labelled documents of each class that training reads at most, the first by a hash of doc_id, whole.
 SAMPLE = 2000
+#: Features (distinct in a document) of the sample at most; the documents beyond are left out. 8 bytes each.
+SAMPLE_FEATURES = 32_000_000
 BUCKET_BITS = 18
 DIMENSIONS = 8
 EPOCHS = 6
@@ -83,31 +85,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(*joined(column)), -700, 700)))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, dimensions: int = DIMENSIONS, seed: int = 7) -> Model:
-    """Train on the given texts; classes weigh alike whatever their numbers.
+def _features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A document's distinct features, and the share of each."""
+    raw, at = joined(pa.array([text or ""], pa.string()))
+    found = np.concatenate([buckets[int(a[0]) : int(b[0])] + (kind << BUCKET_BITS) for kind, (buckets, a, b) in enumerate(_feature_groups(raw, at))])
+    unique, n = np.unique(found, return_counts=True)
+    return unique.astype(np.int32), (n / max(1, len(found))).astype(np.float32)
+
+
+def train(rows, epochs: int = EPOCHS, rate: float = RATE, dimensions: int = DIMENSIONS, seed: int = 7) -> Model:
+    """Train on (text, label) rows; classes weigh alike whatever their numbers.
 
     With no rows, or one class only, the model gives that class (class 1 for no
     rows) to every text.
     """
-    y = np.asarray(labels, np.int64)
     size = 1 << BUCKET_BITS
+    labels, cut = [], [0]
+    ids_of, share_of = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.float32)
+    for text, label in rows:
+        unique, share = _features(text)
+        if cut[-1] and cut[-1] + len(unique) > SAMPLE_FEATURES:
+            break
+        while cut[-1] + len(unique) > len(ids_of):
+            ids_of, share_of = np.resize(ids_of, 2 * len(ids_of)), np.resize(share_of, 2 * len(share_of))
+        labels.append(label)
+        cut.append(cut[-1] + len(unique))
+        ids_of[cut[-2] : cut[-1]], share_of[cut[-2] : cut[-1]] = unique, share
+    y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
         return Model(np.zeros((KINDS, size), np.float32), 5.0 if not len(y) or y[0] else -5.0)
     rng = np.random.default_rng(seed)
-    # The documents' features in a few large arrays, which the driver can give back.
-    ids_of, share_of, cut = [], [], [0]
-    for start in range(0, len(texts), 200):
-        some_ids, some_shares = [], []
-        for text in texts[start : start + 200]:
-            raw, at = joined(pa.array([text or ""], pa.string()))
-            found = np.concatenate([buckets[int(a[0]) : int(b[0])] + kind * size for kind, (buckets, a, b) in enumerate(_feature_groups(raw, at))])
-            unique, n = np.unique(found, return_counts=True)
-            some_ids.append(unique.astype(np.int32))
-            some_shares.append((n / max(1, len(found))).astype(np.float32))
-            cut.append(cut[-1] + len(unique))
-        ids_of.append(np.concatenate(some_ids))
-        share_of.append(np.concatenate(some_shares))
-    ids_of, share_of = np.concatenate(ids_of), np.concatenate(share_of)
     inner = rng.uniform(-1 / dimensions, 1 / dimensions, (KINDS * size, dimensions)).astype(np.float32)
     outer = rng.uniform(-0.5, 0.5, (2, dimensions)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -141,13 +148,13 @@ def held_out(column: str = "doc_id"):
     return F.expr(f"coalesce(crc32(cast(cast({column} as string) as binary)) % 3 = 1, false)")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts outside the held-out fold.
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame | None:
+    """A bounded sample of labelled texts outside the held-out fold: doc_id, text, label; None without one.
 
     Of a document with several labels, or several rows, one is used; labels
-    other than 0 and 1 are left out.
+    other than 0 and 1 are left out. Only ids and labels come to the driver.
     """
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(f"doc_id is not null and quality in (0, 1)").where(~held_out())
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out())
     picked = None
     for q in (0, 1):
         # orderBy + limit keeps at most `sample` rows a task; no full sort
@@ -155,12 +162,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
         picked = one if picked is None else picked.unionAll(one)
     chosen = {r["doc_id"]: r["quality"] for r in picked.orderBy("doc_id", "quality").collect()}
     if not chosen:
-        return [], []
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(k,) for k in chosen], "doc_id long")  # 2 * sample rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return [r["text"] or "" for r in rows], [chosen[r["doc_id"]] for r in rows]
+        return None
+    ids = docs.sparkSession.createDataFrame(list(chosen.items()), "_id long, label int")  # 2 * sample rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model trained in one task on the executors, over the sample in order of a hash of doc_id."""
+    rows = training_rows(docs, labels, sample)
+    if rows is None:
+        return train([])
+
+    def run(batches):
+        model = train((t.as_py(), y.as_py()) for b in batches for t, y in zip(b.column("text"), b.column("label")))
+        yield pa.RecordBatch.from_pydict({"bias": pa.array([model.bias], pa.float64()), "weights": pa.array([model.weights.tobytes()], pa.binary())})
+
+    got = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(run, "bias double, weights binary").collect()
+    if not got:
+        return train([])
+    return Model(np.frombuffer(got[0]["weights"], np.float32).reshape(KINDS, 1 << BUCKET_BITS), got[0]["bias"])
 
 
 def _scorer(shared):
@@ -179,19 +200,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     doc_id are scored and count as not held out. Repeated rows each get a row.
     Only the text enters a score. An empty table gives an empty result.
     """
-    model = train(*training_rows(docs, labels, sample))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scorer(shared), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.expr("cast(if(score >= 0.5, 1, 0) as int)").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier does not reject."""
-    spark = docs.sparkSession
-    model = train(*training_rows(docs, labels))
-    shared = spark.sparkContext.broadcast(model)
-    columns = docs.columns
-    at = columns.index("text")
+    """The rows of ``docs``, all columns, that the classifier does not reject.
+
+    Null and empty texts stand or fall with the bias alone, and each repeated
+    row for itself. Other columns are carried along whatever their names.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    at = docs.columns.index("text")
 
     def keep(batches):
         for b in slices(batches, at, SLICE_BYTES):
