@@ -26,7 +26,11 @@ SHARE = 1.5
 CAP = 2.0
 SEED = 20
 #: Documents whose word offsets are summed in one window.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
+#: Output shards whose slots one task draws and permutes.
+TASK_SHARDS = 64
+#: The table of sources (names and sizes) is held by the driver and each task; more raise an error.
+MAX_SOURCES = 100_000
 
 
 class Permutation:
@@ -123,37 +127,53 @@ class Stream:
         return n, 0
 
 
-def shard_counts(slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEED):
-    """For each output shard, multinomial draws of its slots from what is left of the quotas.
+def _drawn(left: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """A multinomial draw of ``n`` slots from open quotas; draws beyond a quota are drawn again from the others."""
+    drawn = np.zeros(len(left), np.int64)
+    while (room := n - int(drawn.sum())) > 0:
+        p = (left - drawn).astype(float)
+        drawn = np.minimum(drawn + rng.multinomial(room, p / p.sum()), left)
+    return drawn
 
-    Draws beyond a quota are drawn again from the others, so that the totals
-    come out exact. Yields (shard, source number, first slot, count).
+
+def n_shards(slots: list[int], shard_slots: int = SHARD_SLOTS) -> int:
+    return ceil_div(sum(slots), shard_slots)
+
+
+def shard_counts(slots: list[int], shard_slots: int = SHARD_SLOTS, first: int = 0, last: int | None = None, seed: int = SEED):
+    """For the output shards first..last - 1, multinomial draws of their slots by source; over all shards they add up to ``slots``.
+
+    Shards are the leaves of a binary tree. At each node the slots of its left
+    half are drawn from the node's own; the draw depends on the seed and the
+    node alone, so that any task finds its shards by walking down to them.
+    Yields (shard, source number, first slot, count).
     """
-    rng = np.random.default_rng(seed)
-    left, done = np.array(slots, np.int64), np.zeros(len(slots), np.int64)
-    shard = 0
-    while left.sum():
-        room = min(shard_slots, int(left.sum()))
-        drawn = np.zeros(len(slots), np.int64)
-        while room:
-            p = (left - drawn).astype(float)
-            drawn = np.minimum(drawn + rng.multinomial(room, p / p.sum()), left)
-            room = min(shard_slots, int(left.sum())) - int(drawn.sum())
-        for s in np.flatnonzero(drawn):
-            yield shard, int(s), int(done[s]), int(drawn[s])
-        left, done, shard = left - drawn, done + drawn, shard + 1
+    total = n_shards(slots, shard_slots)
+    last = total if last is None else last
+    open_ = [(0, total, np.array(slots, np.int64), np.zeros(len(slots), np.int64))]
+    while open_:
+        begin, end, own, done = open_.pop()
+        if begin >= end or end <= first or begin >= last:
+            continue
+        if end - begin == 1:
+            for s in np.flatnonzero(own):
+                yield begin, int(s), int(done[s]), int(own[s])
+            continue
+        middle = (begin + end) // 2
+        left = _drawn(own, (middle - begin) * shard_slots, np.random.default_rng((seed, begin, end)))
+        open_ += [(middle, end, own - left, done + left), (begin, middle, left, done)]
 
 
 def _count_words(batches):
-    for b in slices(batches, 2, 8 << 20):
-        raw, at = joined(b.column(2))
+    for b in slices(batches, 3, 8 << 20):
+        raw, at = joined(b.column(3))
         _, _, rows = word_bounds((raw == 0x20) | ((raw >= 0x09) & (raw <= 0x0D)), at)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(rows), pa.int64())], names=["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(rows), pa.int64())], names=["doc_id", "source", "h", "size"])
 
 
 @dataclass
 class Mix:
-    #: doc_id, source, size, s (source's number), start (word offset in the source's stream)
+    #: doc_id, source, h (hash of the text), size, s (source's number), start (word offset in the source's stream)
     placed: DataFrame
     #: s, source, source_size, target
     sources: DataFrame
@@ -168,19 +188,23 @@ class Mix:
             "*", f"greatest(start - block * {b}, 0) as at", f"least(start + size, (block + 1) * {b}) - greatest(start, block * {b}) as length"
         )
 
-    def taken(self) -> DataFrame:
-        """Per document: doc_id, size, source_size, target, taken."""
+    def taken_rows(self) -> DataFrame:
+        """Per document: s, doc_id, source, h, size, taken."""
         cut = "greatest(least(length, words - at), 0)"
+        own = ["s", "doc_id", "source", "h", "size"]
         used = (
             self.pieces()
             .join(self.slots.select("s", "block", "words"), ["s", "block"], "left")
-            .groupBy("s", "start", "doc_id", "size")
+            .groupBy(*own, "start")
             .agg(F.sum(F.expr(f"coalesce({cut}, 0)")).cast("long").alias("taken"))
-            .select("s", "doc_id", "size", "taken")
+            .select(*own, "taken")
         )
-        none = self.placed.where("size = 0").select("s", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
-        # one row a source
-        return used.unionAll(none).join(F.broadcast(self.sources), "s").select("doc_id", "size", "source_size", "target", "taken")
+        return used.unionAll(self.placed.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken")))
+
+    def taken(self) -> DataFrame:
+        """Per document: doc_id, size, source_size, target, taken."""
+        # one row a source, MAX_SOURCES at most
+        return self.taken_rows().join(F.broadcast(self.sources.drop("source")), "s").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> Mix:
@@ -188,14 +212,17 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, wei
 
     A null text has no words; documents without words are placed nowhere and
     take nothing. A null source is a source of its own. Repeated rows and
-    doc_ids are documents of their own; of rows that agree in doc_id and size it
-    is left open which is placed first. Other columns are ignored. An empty
-    table gives an empty mix. Only the table of sources (one row each) comes to
-    the driver.
+    doc_ids are documents of their own; only of rows that agree in doc_id, source
+    and text is it left open which is placed first. Other columns are ignored.
+    An empty table gives an empty mix. Only the table of sources (one row each,
+    MAX_SOURCES at most) comes to the driver.
     """
     spark = docs.sparkSession
-    sized = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(_count_words, "doc_id long, source string, size long"), "sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").cast("long").alias("size"), F.count("*").alias("rows")).collect()
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    sized = stash(columns.select("doc_id", "source", F.xxhash64("text").alias("h"), "text").mapInArrow(_count_words, "doc_id long, source string, h long, size long"), "sizes")
+    per_source = sized.groupBy("source").agg(F.sum("size").cast("long").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
+    if len(per_source) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = {r["source"]: r["size"] for r in per_source}
     goal = targets(sizes, weights, share, cap)
     streams = [Stream(i, s, sizes[s], goal[s], block) for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))]
@@ -203,38 +230,44 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, wei
 
     # Word offsets in two steps, so that no window holds a whole source.
     chunks = max(1, ceil_div(sum(r["rows"] for r in per_source), CHUNK_ROWS))
-    numbered = sized.join(F.broadcast(sources.select("s", F.col("source").alias("name"))), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks)))
+    numbered = sized.join(F.broadcast(sources.select("s", F.col("source").alias("name"))), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "h"), F.lit(chunks)))
     w = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = numbered.groupBy("s", "chunk").agg(F.sum("size").alias("in_chunk")).select("s", "chunk", F.coalesce(F.sum("in_chunk").over(w), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("s", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "chunk").orderBy("doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         numbered.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(before, ["s", "chunk"])
-        .select("doc_id", "source", "size", "s", (F.col("before") + F.col("inside")).cast("long").alias("start"))
+        .select("doc_id", "source", "h", "size", "s", (F.col("before") + F.col("inside")).cast("long").alias("start"))
     )
 
-    plans = {x.number: x.slots() for x in streams}
-    drawn = list(shard_counts([plans[x.number][0] for x in streams], shard_slots))
-    ranges = spark.createDataFrame(drawn, "shard long, s int, first long, n long")
-    flat = ranges.select("shard", "s", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
+    plans = [x.slots() for x in streams]
+    counts = [n for n, _ in plans]
+    shards = n_shards(counts, shard_slots)
+
+    def drawn(numbers):
+        """The slots of the shards that the task with one of the given numbers draws, a shard at a time."""
+        for number in numbers:
+            held: list[tuple] = []
+            for row in shard_counts(counts, shard_slots, number * TASK_SHARDS, min(shards, (number + 1) * TASK_SHARDS)):
+                if held and held[0][0] != row[0]:
+                    yield held
+                    held = []
+                held.append(row)
+            if held:
+                yield held
 
     def permuted(batches):
-        for b in batches:
-            s, slot = b.column("s").to_numpy(), b.column("slot").to_numpy()
-            epoch, at, words = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
-            for number in np.unique(s):
-                x, mine = streams[number], s == number
-                epoch[mine], place = slot[mine] // x.blocks, slot[mine] % x.blocks
-                got = np.zeros(len(place), np.int64)
-                for e in np.unique(epoch[mine]):
-                    in_pass = epoch[mine] == e
-                    got[in_pass] = x.permutation(int(e))(place[in_pass])
-                at[mine] = got
-                n, cut = plans[number]
-                words[mine] = np.minimum(x.block, x.size - got * x.block) - np.where(slot[mine] == n - 1, cut, 0)
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("s"), b.column("slot"), pa.array(epoch), pa.array(at), pa.array(words)], names=["shard", "s", "slot", "epoch", "block", "words"])
-
-    slots = flat.repartition(max(2, min(len(drawn) or 1, spark.sparkContext.defaultParallelism)), "shard", "s").mapInArrow(permuted, "shard long, s int, slot long, epoch long, block long, words long")
+        for ranges in drawn(x for b in batches for x in b.column(0).to_pylist()):
+            for shard, number, first, n in ranges:
+                x, slot = streams[number], np.arange(first, first + n)
+                epoch, place, at = slot // x.blocks, slot % x.blocks, np.zeros(n, np.int64)
+                for e in np.unique(epoch):
+                    at[epoch == e] = x.permutation(int(e))(place[epoch == e])
+                words = np.minimum(x.block, x.size - at * x.block) - np.where(slot == plans[number][0] - 1, plans[number][1], 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.full(n, number, np.int32)), pa.array(slot), pa.array(epoch), pa.array(at), pa.array(words)], names=["shard", "s", "slot", "epoch", "block", "words"])
+
+    tasks = max(1, ceil_div(shards, TASK_SHARDS))
+    slots = spark.range(0, tasks if shards else 0, 1, tasks).mapInArrow(permuted, "shard long, s int, slot long, epoch long, block long, words long")
     return Mix(placed, sources, slots, block)
 
 
@@ -255,9 +288,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """Whole documents in the mix's numbers: each row as often as its words were taken.
 
     A row comes floor(taken / size) times, and once more for a share
-    taken / size of the doc_ids, by a hash. Rows without words come once.
+    taken / size of the rows, by a hash. Rows without words come once. Rows that
+    agree in doc_id, source and text share evenly what was taken of them.
     """
-    times = F.expr("if(size = 0, 1, taken div size + if(pmod(xxhash64(doc_id, 4), 1000003) / 1000003D < (taken % size) / double(size), 1, 0))")
-    copies = mix(docs, **options).taken().select(F.col("doc_id").alias("_mixed_id"), times.alias("_copies")).groupBy("_mixed_id").agg(F.max("_copies").alias("_copies"))
-    met = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies["_mixed_id"])).where("_copies > 0")
-    return met.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*[docs[c] for c in docs.columns])
+    # The text itself is not in the shuffle of the mix; rows are found again by its hash.
+    each = mix(docs, **options).taken_rows().groupBy("doc_id", "source", "h", "size").agg((F.sum("taken") / F.count("*")).alias("taken"))
+    more = "if(pmod(xxhash64(doc_id, h, 4), 1000003) / 1000003D < taken / size - floor(taken / size), 1, 0)"
+    times = stash(each.select("doc_id", "source", "h", F.expr(f"if(size = 0, 1, cast(floor(taken / size) as int) + {more})").alias("times")), "times")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("d"), docs["source"].cast("string").alias("o"), F.xxhash64(docs["text"].cast("string")).alias("t"))
+    met = rows.join(times, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("o").eqNullSafe(F.col("source")) & (F.col("t") == F.col("h"))).where("times > 0")
+    return met.select("row", F.explode(F.expr("sequence(1, times)")).alias("nth")).select("row.*")

@@ -40,15 +40,8 @@ def _directory(sizes: DataFrame, bits: int, least: int, limit: int) -> DataFrame
     )
 
 
-def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Per row: doc_id, n_bytes, shard, depth, shard_bytes, shard_rows.
-
-    ``shard`` is the shard's hash prefix in bits (the empty string if all rows
-    fit in one shard). A null text has 0 bytes. Rows with the same doc_id share
-    a shard, and so do rows without an id and with the same text; only where one
-    such id alone exceeds the limit is a shard larger than it. Repeated rows
-    give repeated rows; other columns are ignored; an empty table has no shards.
-    """
+def _placed(docs: DataFrame, limit: int) -> DataFrame:
+    """Per row: doc_id, n_bytes, h, shard, depth, shard_bytes, shard_rows."""
     rows = stash(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_column().alias("h")), "sizes")
     total = int(rows.agg(F.sum("n_bytes")).first()[0] or 0)
     done, least, bits = [], 0, min(BITS, bits_for(ceil_div(total, limit) + 1) + 3)
@@ -65,20 +58,27 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     for more in done[1:]:
         out = out.unionByName(more)
     shard = F.expr(f"if(depth = 0, '', substring(lpad(conv(cast(shiftright(h, {BITS} - depth) as string), 10, 2), depth, '0'), 1, depth))")
-    return out.select("doc_id", "n_bytes", shard.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows")
+    return out.select("doc_id", "n_bytes", "h", shard.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows")
+
+
+def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Per row: doc_id, n_bytes, shard, depth, shard_bytes, shard_rows.
+
+    ``shard`` is the shard's hash prefix in bits (the empty string if all rows
+    fit in one shard). A null text has 0 bytes. Rows with the same doc_id share
+    a shard, and so do rows without an id and with the same text; only where one
+    such id alone exceeds the limit is a shard larger than it. Repeated rows
+    give repeated rows; other columns are ignored; an empty table has no shards.
+    """
+    return _placed(docs, limit).drop("h")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Write ``docs`` with one folder for each shard, ``shard=b<bits>`` (``shard_id=...`` if ``docs`` has a column shard)."""
     name = "shard_id" if "shard" in docs.columns else "shard"
-    ids = shards(docs, limit).select(F.col("doc_id").alias("_shard_of"), F.concat(F.lit("b"), "shard").alias("_shard")).dropDuplicates(["_shard_of", "_shard"])
-    met = docs.withColumn("_h", hash_column()).join(
-        ids.groupBy("_shard_of").agg(F.collect_set("_shard").alias("_shards")), docs["doc_id"].eqNullSafe(F.col("_shard_of"))
-    )
-    # Rows without an id may be in several shards: the one that begins their hash.
-    bits = F.lpad(F.conv(F.col("_h").cast("string"), 10, 2), BITS, "0")
-    own = F.element_at(F.filter("_shards", lambda s: F.startswith(bits, F.substring(s, 2, BITS))), 1)
-    met.select(*[docs[c] for c in docs.columns], own.alias(name)).repartition(name).write.partitionBy(name).parquet(path)
+    of = _placed(docs, limit).select(F.col("h").alias("of"), F.concat(F.lit("b"), "shard").alias("place")).dropDuplicates(["of"])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), hash_column().alias("h"))
+    rows.join(of, F.col("h") == F.col("of")).select("row.*", F.col("place").alias(name)).repartition(name).write.partitionBy(name).parquet(path)
 
 
 #: DuckDB SQL for ``shards`` over documents (ids not null).
