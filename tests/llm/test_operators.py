@@ -203,6 +203,44 @@ def test_mixed_blocks_hold_the_words(spark):
     assert copies.columns == docs.columns and abs(copies.count() - 60) < 25
 
 
+def test_each_document_takes_what_its_slots_hold(spark, edge):
+    """``taken`` against the words of the slots themselves, word by word."""
+    docs = frame(spark, [(i, t, "abc"[i % 3]) for i, t in enumerate(texts(60, 25))]).unionByName(edge)
+    m = mixing.mix(docs, block=11, shard_slots=8)
+    blocks_of = defaultdict(Counter)
+    for r in m.slots.collect():
+        blocks_of[r.s, r.block][r.words] += 1
+    want = Counter()
+    for r in m.placed.collect():
+        taken = sum(n for w in range(r.start, r.start + r["size"]) for words, n in blocks_of[r.s, w // 11].items() if w % 11 < words)
+        want[r.doc_id, r["size"], taken] += 1
+    assert Counter((r.doc_id, r["size"], r.taken) for r in m.taken().collect()) == want
+
+
+def test_shards_are_drawn_alike_by_any_task():
+    slots = [1000, 37, 0, 412]
+    whole = list(mixing.shard_counts(slots, 16))
+    assert whole == [row for a in range(0, mixing.n_shards(slots, 16), 5) for row in mixing.shard_counts(slots, 16, a, a + 5)]
+    assert [sum(n for _, s, _, n in whole if s == k) for k in range(4)] == slots
+    at = Counter()
+    for _, s, first, n in whole:
+        assert first == at[s]
+        at[s] += n
+    assert set(Counter(shard for shard, *_ in whole)) == set(range(mixing.n_shards(slots, 16)))
+
+
+def test_mixed_rows_that_share_an_id(spark):
+    docs = frame(spark, [(1, "a b c", "x"), (1, "one two three four five six", "x"), (None, "p q", "y"), (None, "r s", "y"), (2, None, None), (3, "", "x")]).withColumn("_copy", F.lit(1)).withColumn("times", F.lit(2))
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    taken = Counter()
+    for r in mixing.mix(docs).taken_rows().collect():
+        taken[r.doc_id, r["size"]] += r.taken
+    rows = Counter((r.doc_id, r.text) for r in got.collect())
+    assert rows[2, None] == rows[3, ""] == 1 and all(n <= 2 for n in rows.values())
+    assert rows[1, "a b c"] in (taken[1, 3] // 3, taken[1, 3] // 3 + 1) and rows[1, "one two three four five six"] in (taken[1, 6] // 6, taken[1, 6] // 6 + 1)
+
+
 # 5
 def brute_passages(rows):
     seen, out = {}, Counter()
@@ -373,15 +411,55 @@ def test_decontamination(spark, edge):
                         ids |= {k} - {None}
         names = sorted(map(str, ids))
         want[i, len(d), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(d)] += 1
-    for size in (1 << 17, 40):  # one automaton, and several passes
+    for size in (1 << 24, 40):  # one automaton, and several passes
         hits = decontam.overlaps(docs, bench, item_bytes=size)
         assert Counter(map(tuple, decontam.digest(hits).collect())) == want
         spans = {r.doc_id: r.spans for r in hits.collect()}
         assert [docs.where("doc_id = 301").first().text[s.begin : s.end] for s in spans[301]] == ["SHORT-item", "short item"]
     assert decontam.digest(decontam.overlaps(docs, bench.limit(0))).where("contaminated").count() == 0
     assert decontam.overlaps(empty(spark), bench).count() == 0
-    clean = decontam.clean_documents(docs.where("doc_id is not null"), bench)
-    assert clean.columns == docs.columns and not {300, 301, 302, 304} & {r.doc_id for r in clean.collect()}
+    repeated = docs.unionByName(frame(spark, [(302, "a clean row that shares the id"), (None, " ".join(w)), (400, "own words " * 200 + " ".join(w)), (401, "own words " * 200 + " ".join(w[:12]))]))
+    for size in (1 << 24, 40):  # each row is judged by its own text, in one pass or several
+        clean = decontam.clean_documents(repeated, bench, item_bytes=size)
+        kept = rows_of(clean)
+        assert clean.columns == docs.columns and not {300, 301, 304, 400} & {i for i, _ in kept} and (None, " ".join(w)) not in kept
+        assert [t for i, t in kept if i == 302] == ["a clean row that shares the id"] and 401 in {i for i, _ in kept} and {50, 51, 52} <= {i for i, _ in kept}
+        assert 400 in {i for i, _ in rows_of(decontam.clean_documents(repeated, bench, item_bytes=size, any_window=False))}
+
+
+def test_a_large_benchmark_and_long_texts(spark):
+    """Over a quarter of a MiB of items, many with words in common, against the plain comparison of windows."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(300)]
+    phrase = [rng.choice(vocabulary) for _ in range(9)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.randrange(1, 30))] + phrase + [rng.choice(vocabulary) for _ in range(rng.randrange(1, 20))]) for i in range(2500)]
+    items.append((9000, [rng.choice(vocabulary) for _ in range(20_000)]))
+    windows = defaultdict(set)
+    for i, w in items:
+        for k in range(max(1, len(w) - 12)):
+            windows[tuple(w[k : k + 13])].add(i)
+    docs = []
+    for d in range(60):
+        own = [rng.choice(vocabulary) for _ in range(rng.randrange(400))]
+        for _ in range(d % 4):
+            _, w = rng.choice(items)
+            a = rng.randrange(max(1, len(w) - 8))
+            own[len(own) // 2 : len(own) // 2] = w[a : a + rng.randrange(8, 40)]
+        docs.append((d, own))
+    docs.append((60, [rng.choice(vocabulary) for _ in range(150_000)] + items[-1][1]))
+    assert sum(len(" ".join(w)) for _, w in items) > 1 << 18
+    want = {}
+    for d, w in docs:
+        hit, ids = set(), set()
+        for k in range(len(w) - 12):
+            if own := windows.get(tuple(w[k : k + 13])):
+                hit |= set(range(k, k + 13))
+                ids |= own
+        want[d] = len(w), len(hit), sorted(ids)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for size in (1 << 24, 1 << 17):
+        got = decontam.overlaps(frame(spark, [(d, " ".join(w)) for d, w in docs]), bench, item_bytes=size).collect()
+        assert {r.doc_id: (r.n_words, sum(x["last"] - x["first"] for x in r.runs), list(r["items"])) for r in got} == want
 
 
 # 8
@@ -412,9 +490,12 @@ def test_sharding_uses_no_python(spark, edge):
 
 
 def test_written_shards(spark, edge, tmp_path):
-    docs = edge.drop("block", "h", "digest")
+    docs = edge.withColumn("_h", F.lit(1)).withColumn("_shard_of", F.lit(2))
     sharding.write_shards(docs, f"file://{tmp_path}/out", 2000)
-    assert spark.read.parquet(f"file://{tmp_path}/out").count() == docs.count()
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert back.count() == docs.count() and back.where("doc_id is null").count() == docs.where("doc_id is null").count()
+    want = {r.doc_id: "b" + r.shard for r in sharding.shards(docs, 2000).collect() if r.doc_id is not None}
+    assert {r.doc_id: r.shard for r in back.collect() if r.doc_id is not None} == want
 
 
 # 9
@@ -493,6 +574,39 @@ def test_quality(spark, edge):
 def test_quality_learns_from_no_held_out_label(spark):
     docs = frame(spark, [(i, t) for i, t in enumerate(texts(60, 23))])
     labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
-    texts_, ys = quality.training_rows(docs, labels)
-    by = {t: i for i, t in rows_of(docs)}
-    assert all(zlib.crc32(str(by[t]).encode()) % 3 != 1 for t in texts_) and [by[t] % 2 for t in texts_] == ys
+    rows = quality.training_rows(docs, labels).collect()
+    by = dict(rows_of(docs))
+    assert len(rows) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and by[r.doc_id] == r.text and r.doc_id % 2 == r.label for r in rows)
+
+
+def test_quality_against_the_plain_sum():
+    """A score is the logistic of the mean weight of a text's features, each found by plain Python."""
+    import numpy as np
+
+    from veldgraph.llm.common import span_hashes
+
+    rng = np.random.default_rng(5)
+    model = quality.Model(rng.standard_normal((quality.KINDS, 1 << quality.BUCKET_BITS)).astype(np.float32), 0.25)
+    samples = ["", None, "one", "one  one two\tthree", "ab", "é ü \n x", "word " * 500, *texts(5, 41)]
+    hashed = lambda w: int(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    mask = (1 << 64) - 1
+
+    def mixed(h):
+        h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & mask
+        h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & mask
+        return h ^ (h >> 32)
+
+    def gram(g):
+        code = (int.from_bytes(g, "little") * 2654435761) & 0xFFFFFFFF
+        code ^= code >> 15
+        return ((code * (2246822519 + 2 * len(g))) & 0xFFFFFFFF) >> (32 - quality.BUCKET_BITS)
+
+    for text, score in zip(samples, model.scores(pa.array(samples, pa.string()))):
+        raw = (text or "").encode()
+        words = [hashed(w) for w in raw.split()]
+        top = 64 - quality.BUCKET_BITS
+        found = [(0, h >> top) for h in words] + [(1, mixed(((b - a) * 0x9E3779B97F4A7C15) & mask) >> top) for a, b in zip(words, words[1:])]
+        found += [(2 + k, gram(raw[i : i + n])) for k, n in enumerate(quality.GRAMS) for i in range(len(raw) - n + 1)]
+        want = sum(float(model.weights[x]) for x in found) / max(1, len(found)) + 0.25
+        assert abs(score - 1 / (1 + math.exp(-want))) < 1e-5
