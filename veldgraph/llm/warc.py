@@ -2,8 +2,10 @@
 
 Records are written as gzip members, one a record. The index holds a line for
 each record, sorted by reversed-host URL key and cut into compressed blocks; a
-sparse directory holds each block's first key. A look-up bisects the directory,
-reads the blocks it names and then only the byte ranges of the records.
+sparse directory holds each block's first and last key, and a short table those
+of each span of the directory. A look-up bisects the short table, then the span
+of the directory, then the sorted lines of the blocks that this names, and reads
+only the byte ranges of the records; for many URLs each step is spread over tasks.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +31,12 @@ from .common import ceil_div, shared_dir, stash, text_bytes
 #: Payloads of fewer bytes are always stored.
 REVISIT_MIN_BYTES = 0
 BLOCK_LINES = 1000
-#: Payload bytes that an archive file should hold.
+#: Payload bytes that an archive file holds at most, as a rule (a single record may be larger).
 FILE_BYTES = 32 << 20
-#: Directories up to this many blocks are bisected on the driver.
-DIRECTORY_ROWS = 100_000
+#: Blocks of a span of the directory.
+SPAN_BLOCKS = 64
+#: Spans that the driver and each task hold at most (64 million records a thousand); more raise an error.
+MAX_SPANS = 1_000_000
 #: Bytes that a reader of archive files unpacks at a time.
 PIECE = 8 << 10
 DATE = "1970-01-01T00:00:00Z"
@@ -42,6 +47,11 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _END = "\x00"
 
 
+def target_uri(url: str | None) -> str | None:
+    """A URL as records carry it: what a URI may not hold is quoted."""
+    return None if url is None else quote(url, safe="%:/?#[]@!$&'()*+,;=~-._")
+
+
 def url_key(url: str | None) -> str:
     """``http://m.a.com:80/p?q#f`` -> ``com,a,m)/p?q``; a null URL has the key ``)``."""
     try:
@@ -64,12 +74,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     """One WARC record; a revisit's block holds the HTTP head alone."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    target = quote(url, safe="%:/?#[]@!$&'()*+,;=~-._") if url is not None else None
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", record_id(page_id, digest)),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", target),
+        ("WARC-Target-URI", target_uri(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Profile", PROFILE if revisit else None),
         ("WARC-Refers-To", record_id(refers_to, digest) if revisit else None),
@@ -143,8 +152,16 @@ class Archive:
 
     @property
     def directory(self) -> DataFrame:
+        """span, first_key, last_key, block."""
         return self.spark.read.parquet(f"{self.path}/directory")
 
+    def spans(self) -> list[tuple[str, str, int]]:
+        """(first_key, last_key, span), in order: one for SPAN_BLOCKS blocks."""
+        rows = self.directory.groupBy("span").agg(F.min("first_key").alias("a"), F.max("last_key").alias("b")).limit(MAX_SPANS + 1).collect()
+        if len(rows) > MAX_SPANS:
+            raise ValueError(f"the directory has more than {MAX_SPANS} spans; raise BLOCK_LINES")
+        return sorted((r["a"], r["b"], r["span"]) for r in rows)
+
     def files(self, columns=("path", "content")) -> DataFrame:
         return self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{self.path}/archive").select(*columns)
 
@@ -177,34 +194,38 @@ def _list_members(batches):
             for at, length, data in members(content.as_py()):
                 r = parse(data)
                 rows.append({"key": url_key(r["url"]), "page_id": r["page_id"], "path": path, "at": at, "length": length})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("path", pa.string()), ("at", pa.int64()), ("length", pa.int64())]))
+            yield pa.RecordBatch.from_pylist(rows, _LINE_ARROW)
 
 
-def _pack_lines(batches):
-    held: list[dict] = []
+def _pack_lines(block_lines: int):
+    """Sorted index lines in compressed blocks, with the first and last key of each."""
 
-    def packed():
+    def packed(held: list[dict]) -> pa.RecordBatch:
         lines = "\n".join(json.dumps(x, ensure_ascii=False) for x in held).encode()
         return pa.RecordBatch.from_pydict({"first_key": pa.array([held[0]["key"]]), "last_key": pa.array([held[-1]["key"]]), "lines": pa.array([zlib.compress(lines)], pa.binary())})
 
-    for b in batches:
-        for r in b.to_pylist():
-            held.append(r)
-            if len(held) == BLOCK_LINES:
-                yield packed()
-                held.clear()
-    if held:
-        yield packed()
+    def run(batches):
+        held: list[dict] = []
+        for b in batches:
+            for r in b.to_pylist():
+                held.append(r)
+                if len(held) == block_lines:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
+
+    return run
 
 
 def _unpack_lines(batches):
     for b in batches:
         for lines in b.column("lines"):
             rows = [json.loads(x) for x in zlib.decompress(lines.as_py()).decode().split("\n")]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("path", pa.string()), ("at", pa.int64()), ("length", pa.int64())]))
+            yield pa.RecordBatch.from_pylist(rows, _LINE_ARROW)
 
 
-def write_archive(pages: DataFrame, path: str | None = None, min_bytes: int = REVISIT_MIN_BYTES) -> Archive:
+def write_archive(pages: DataFrame, path: str | None = None, min_bytes: int = REVISIT_MIN_BYTES, block_lines: int = BLOCK_LINES) -> Archive:
     """Write a record for each row of ``pages`` (page_id, url, html), then index the archive.
 
     The payload is the html in UTF-8; a null html is an empty payload. Of rows
@@ -220,18 +241,23 @@ def write_archive(pages: DataFrame, path: str | None = None, min_bytes: int = RE
     digested = rows.mapInArrow(_digests, "page_id long, url string, html string, digest string, n long")
     ids = stash(digested.select("page_id", "digest", "n"), "digests")
     first = ids.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    plan = ids.distinct().join(first, "digest", "left").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first_id", F.expr("first_id is not null and not (page_id <=> first_id)").alias("revisit"))
-    n_files = max(2, ceil_div(text_bytes(rows, "html"), FILE_BYTES))
-    # The join deals the pages out by id and digest, evenly; its partitions become the files.
-    records = digested.join(plan, digested["page_id"].eqNullSafe(plan["p"]) & (digested["digest"] == plan["d"]))
-    out = records.select("page_id", "url", "html", "digest", "first_id", "revisit").mapInArrow(_write_members, "member binary")
+    # One key for the join, by which both sides are dealt out beforehand: its partitions become the files.
+    key = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest")
+    n_files = max(2, ceil_div(2 * text_bytes(rows, "html"), FILE_BYTES))
+    plan = ids.distinct().join(first, "digest", "left").select(key.alias("key"), "first_id", F.expr("first_id is not null and not (page_id <=> first_id)").alias("revisit"))
+    dealt = digested.withColumn("key", key).repartition(n_files, "key")
+    out = dealt.join(plan.repartition(n_files, "key"), "key").select("page_id", "url", "html", "digest", "first_id", "revisit").mapInArrow(_write_members, "member binary")
     # The cast relabels the bytes; the writer stores them as they are.
     out.select(F.col("member").cast("string").alias("member")).write.option("lineSep", _END).text(f"{path}/archive")
     archive = Archive(spark, path)
     lines = stash(archive.files().mapInArrow(_list_members, _LINE), "index-lines")
-    sorted_lines = lines.repartitionByRange(max(2, n_files // 8), "key", "page_id", "path", "at").sortWithinPartitions("key", "page_id", "path", "at")
-    sorted_lines.mapInArrow(_pack_lines, "first_key string, last_key string, lines binary").withColumn("block", F.monotonically_increasing_id()).write.parquet(f"{path}/index")
-    archive.blocks.select("first_key", "last_key", "block").write.parquet(f"{path}/directory")
+    order = ["key", "page_id", "path", "at"]
+    sorted_lines = lines.repartitionByRange(max(2, n_files // 8), *order).sortWithinPartitions(*order)
+    # Blocks are numbered in order of their keys: by partition, then within it.
+    sorted_lines.mapInArrow(_pack_lines(block_lines), "first_key string, last_key string, lines binary").withColumn("block", F.monotonically_increasing_id()).write.parquet(f"{path}/index")
+    part, nth = F.shiftright("block", 33), F.col("block").bitwiseAND((1 << 33) - 1)
+    span = F.shiftleft(part, 33) + F.floor(nth / SPAN_BLOCKS)
+    archive.blocks.select(span.alias("span"), "first_key", "last_key", "block").write.parquet(f"{path}/directory")
     return archive
 
 
@@ -239,43 +265,108 @@ _ROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes
 _ROW_DDL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def _read(content: bytes, at: int, length: int) -> dict:
+def _read(data: bytes) -> dict:
     reader = zlib.decompressobj(31)
-    return parse(reader.decompress(content[at : at + length]) + reader.flush())
+    return parse(reader.decompress(data) + reader.flush())
 
 
-def read_all(archive: Archive) -> DataFrame:
-    """Every record, by way of the index: each file meets its index lines and is read range by range."""
-    files = archive.files()
-    lines = archive.blocks.select("lines").mapInArrow(_unpack_lines, _LINE)
+def _file_system(path: str):
+    """A file system with range reads for a path, and the path in it; None where only Spark reads."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + unquote(path.removeprefix("file:").lstrip("/"))
+    try:
+        return pafs.FileSystem.from_uri(path) if path.split(":")[0] in ("s3", "gs") else None
+    except (OSError, ValueError, pa.ArrowException):
+        return None
+
 
-    def ranges(files_table: pa.Table, lines_table: pa.Table) -> pa.Table:
-        rows = []
+def _fetch(archive: Archive, lines: DataFrame, payload: bool) -> DataFrame:
+    """The records that index lines name, each by a read of its byte range."""
+    fields = _ROW if payload else _ROW.remove(_ROW.get_field_index("payload"))
+    ddl = _ROW_DDL if payload else _ROW_DDL.rpartition(",")[0]
+    record_of = lambda data: {k: v for k, v in _read(data).items() if payload or k != "payload"}
+
+    def ranges(batches):
+        name = opened = None
+        for b in batches:
+            rows = []
+            for path, at, length in zip(*(b.column(k).to_pylist() for k in ("path", "at", "length"))):
+                if path != name:
+                    if opened is not None:
+                        opened.close()
+                    system, place = _file_system(path)
+                    name, opened = path, system.open_input_file(place)
+                rows.append(record_of(opened.read_at(length, at)))
+                if payload and len(rows) == 100:
+                    yield pa.RecordBatch.from_pylist(rows, fields)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, fields)
+
+    if _file_system(archive.path) is not None:
+        return lines.select("path", "at", "length").repartition("path").sortWithinPartitions("path", "at").mapInArrow(ranges, ddl)
+
+    def cut(files_table: pa.Table, lines_table: pa.Table) -> pa.Table:
+        out = []
         for content in files_table.column("content"):
             raw = content.as_py()
-            rows += [_read(raw, at, length) for at, length in zip(lines_table.column("at").to_pylist(), lines_table.column("length").to_pylist())]
-        return pa.Table.from_pylist(rows, _ROW)
+            out += [record_of(raw[at : at + n]) for at, n in zip(lines_table.column("at").to_pylist(), lines_table.column("length").to_pylist())]
+        return pa.Table.from_pylist(out, fields)
 
-    return files.groupBy("path").cogroup(lines.groupBy("path")).applyInArrow(ranges, _ROW_DDL)
+    # A store without range reads: Spark reads the files (of FILE_BYTES), ranges are cut from them.
+    return archive.files().groupBy("path").cogroup(lines.groupBy("path")).applyInArrow(cut, ddl)
 
 
-def lookup(archive: Archive, urls: list[str]) -> DataFrame:
-    """The records of the given URLs (a list that fits the driver): directory, blocks, then byte ranges."""
-    keys = sorted({url_key(u) for u in urls})
-    spark, directory = archive.spark, archive.directory
-    if directory.limit(DIRECTORY_ROWS + 1).count() <= DIRECTORY_ROWS:
-        entries = sorted((r["first_key"], r["last_key"], r["block"]) for r in directory.collect())
-        firsts, lasts = [e[0] for e in entries], [e[1] for e in entries]
-        wanted = {entries[i][2] for k in keys for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))}
-    else:
-        asked = F.broadcast(spark.createDataFrame([(k,) for k in keys], "k string"))
-        wanted = {r["block"] for r in directory.join(asked, F.expr("k between first_key and last_key")).select("block").distinct().collect()}
-    lines = archive.blocks.where(F.col("block").isin(sorted(wanted))).select("lines").mapInArrow(_unpack_lines, _LINE).where(F.col("key").isin(keys))
-    spans = F.broadcast(lines.select("path", "at", "length"))  # lines of the URLs asked for
-    cut = archive.files().join(spans, "path").select(F.expr("substring(content, int(at) + 1, int(length))").alias("member"))
-
-    def unpack(batches):
+def read_all(archive: Archive, payload: bool = True) -> DataFrame:
+    """Every record, by way of the whole index."""
+    return _fetch(archive, archive.blocks.select("lines").mapInArrow(_unpack_lines, _LINE), payload)
+
+
+def _within(firsts: list, lasts: list, key: str) -> range:
+    """Which of sorted ranges may hold a key; a key may go over several."""
+    return range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))
+
+
+_BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("key", pa.string())])
+_LINE_ARROW = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("path", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
+
+
+def lookup(archive: Archive, urls: list[str | None] | DataFrame, payload: bool = True) -> DataFrame:
+    """The records of the given URLs: a list, or a DataFrame with a column ``url`` of any length.
+
+    A URL is asked for once, however often it is given; one that the archive
+    lacks gives nothing; null stands for the records without a target.
+    """
+    asked = urls if isinstance(urls, DataFrame) else archive.spark.createDataFrame([(u,) for u in urls], "url string")
+    shared = archive.spark.sparkContext.broadcast(archive.spans())  # MAX_SPANS at most
+
+    def keys(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(target_uri(u)) for u in b.column("url").to_pylist()], pa.string())], names=["key"])
+
+    def to_spans(batches):
+        spans = shared.value
+        firsts, lasts = [x[0] for x in spans], [x[1] for x in spans]
         for b in batches:
-            yield pa.RecordBatch.from_pylist([_read(x.as_py(), 0, len(x.as_py())) for x in b.column("member")], _ROW)
+            found = [(spans[i][2], k) for k in b.column("key").to_pylist() for i in _within(firsts, lasts, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([k for _, k in found], pa.string())], names=["span", "key"])
 
-    return cut.mapInArrow(unpack, _ROW_DDL)
+    def to_blocks(asked_table: pa.Table, directory_table: pa.Table) -> pa.Table:
+        entries = sorted(zip(*(directory_table.column(c).to_pylist() for c in ("first_key", "last_key", "block"))))
+        firsts, lasts = [e[0] for e in entries], [e[1] for e in entries]
+        found = [(entries[i][2], k) for k in asked_table.column("key").to_pylist() for i in _within(firsts, lasts, k)]
+        return pa.table({"block": [x for x, _ in found], "key": [k for _, k in found]}, _BLOCKS_ARROW)
+
+    def to_lines(asked_table: pa.Table, block_table: pa.Table) -> pa.Table:
+        out = []
+        if asked_table.num_rows:
+            for packed in block_table.column("lines"):
+                lines = [json.loads(x) for x in zlib.decompress(packed.as_py()).decode().split("\n")]
+                held = [x["key"] for x in lines]
+                for k in asked_table.column("key").to_pylist():
+                    out += lines[bisect.bisect_left(held, k) : bisect.bisect_right(held, k)]
+        return pa.Table.from_pylist(out, _LINE_ARROW)
+
+    spans = asked.select(F.col("url").cast("string").alias("url")).mapInArrow(keys, "key string").distinct().mapInArrow(to_spans, "span long, key string")
+    blocks = spans.groupBy("span").cogroup(archive.directory.groupBy("span")).applyInArrow(to_blocks, "block long, key string")
+    lines = blocks.groupBy("block").cogroup(archive.blocks.select("block", "lines").groupBy("block")).applyInArrow(to_lines, _LINE)
+    return _fetch(archive, lines, payload)
