@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from . import decontam, exact_dedup, lm, mixing, near_dedup, pii, quality, sharding, suffix_dedup, warc
 from .common import table
 
@@ -11,12 +13,22 @@ def op1_exact_dedup(spark, sf_dir):
 
 
 def op2_warc_index(spark, sf_dir):
-    archive = warc.write_archive(table(spark, sf_dir, "pages"))
-    return warc.read_all(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    return warc.lookup(warc.write_archive(pages), pages, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def pii_key(spark) -> bytes:
+    """The key of surrogates: the setting ``spark.veldgraph.pii.key`` (hex), else one drawn for this session."""
+    if spark.conf.get(_KEY, None) is None:
+        spark.conf.set(_KEY, secrets.token_hex(32))
+    return bytes.fromhex(spark.conf.get(_KEY))
+
+
+_KEY = "spark.veldgraph.pii.key"
 
 
 def op3_pii_surrogates(spark, sf_dir):
-    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op4_source_mixing(spark, sf_dir):
