@@ -23,6 +23,8 @@ from .common import SPACE_BYTES, ceil_div, stash, text_bytes
 PREFIX = 32
 #: Text bytes a sorted partition should hold.
 PARTITION_BYTES = 32 << 20
+#: Range partitions at most: Spark samples 100 keys of each on the driver, and the edge groups (two a partition) are broadcast.
+MAX_PARTITIONS = 10_000
 
 
 def _normalise(batches):
@@ -98,7 +100,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n"))
-    n_parts = max(2, spark.sparkContext.defaultParallelism, ceil_div(text_bytes(rows), PARTITION_BYTES))
+    n_parts = min(MAX_PARTITIONS, max(2, spark.sparkContext.defaultParallelism, ceil_div(text_bytes(rows), PARTITION_BYTES)))
     keyed = rows.mapInArrow(_normalise, "doc_id long, n long, prefix binary, digest binary, norm binary")
     order = ["prefix", "digest", F.col("n").desc(), F.col("doc_id").asc_nulls_last()]
     runs = stash(
