@@ -26,7 +26,9 @@ SHARE = 1.5
 CAP = 2.0
 SEED = 20
 #: Documents whose word offsets are summed in one window.
-CHUNK_ROWS = 2_000
+CHUNK_ROWS = 500
+#: Chunks whose sums are added up in one window.
+CHUNK_GROUP = 4_096
 #: Output shards whose slots one task draws and permutes.
 TASK_SHARDS = 64
 #: The table of sources (names and sizes) is held by the driver and each task; more raise an error.
@@ -194,7 +196,8 @@ class Mix:
         own = ["s", "doc_id", "source", "h", "size"]
         used = (
             self.pieces()
-            .join(self.slots.select("s", "block", "words"), ["s", "block"], "left")
+            # a hint, for Spark takes what Python makes of a short range for small, and would broadcast it
+            .join(self.slots.select("s", "block", "words").hint("merge"), ["s", "block"], "left")
             .groupBy(*own, "start")
             .agg(F.sum(F.expr(f"coalesce({cut}, 0)")).cast("long").alias("taken"))
             .select(*own, "taken")
@@ -228,11 +231,14 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, wei
     streams = [Stream(i, s, sizes[s], goal[s], block) for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))]
     sources = spark.createDataFrame([(x.number, x.source, x.size, x.target) for x in streams], "s int, source string, source_size long, target double")
 
-    # Word offsets in two steps, so that no window holds a whole source.
+    # Word offsets in steps, so that no window holds a whole source.
     chunks = max(1, ceil_div(sum(r["rows"] for r in per_source), CHUNK_ROWS))
     numbered = sized.join(F.broadcast(sources.select("s", F.col("source").alias("name"))), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "h"), F.lit(chunks)))
-    w = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = numbered.groupBy("s", "chunk").agg(F.sum("size").alias("in_chunk")).select("s", "chunk", F.coalesce(F.sum("in_chunk").over(w), F.lit(0)).alias("before"))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = numbered.groupBy("s", "chunk").agg(F.sum("size").alias("n")).withColumn("span", F.expr(f"chunk div {CHUNK_GROUP}"))
+    spans = sums.groupBy("s", "span").agg(F.sum("n").alias("n")).select("s", "span", F.coalesce(F.sum("n").over(earlier("s", "span")), F.lit(0)).alias("spans"))
+    chunked = sums.select("s", "span", "chunk", F.coalesce(F.sum("n").over(earlier("s", "span", "chunk")), F.lit(0)).alias("chunks"))
+    before = chunked.join(spans, ["s", "span"]).select("s", "chunk", (F.col("spans") + F.col("chunks")).alias("before"))
     inside = Window.partitionBy("s", "chunk").orderBy("doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         numbered.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -278,7 +284,7 @@ def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
     cut = m.pieces().join(words, "doc_id").select("s", "block", "at", "length", F.expr("slice(all, greatest(int(block * %d - start), 0) + 1, int(length))" % m.block).alias("w"))
     blocks = cut.groupBy("s", "block").agg(F.expr("flatten(transform(array_sort(collect_list(struct(at, w))), x -> x.w))").alias("w"))
     return (
-        m.slots.join(blocks, ["s", "block"])
+        m.slots.hint("merge").join(blocks, ["s", "block"])
         .join(F.broadcast(m.sources), "s")
         .select("shard", "source", "slot", "epoch", "block", F.expr("array_join(slice(w, 1, int(words)), ' ')").alias("text"))
     )
