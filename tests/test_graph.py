@@ -1,7 +1,9 @@
+import json
+
 import pytest
 
-from veldgraph.errors import ParseError, ResultLimitExceeded, Unscoped, UnsupportedConstruct, UpdateRejected
-from veldgraph.operators.lower import query
+from veldgraph.errors import ParseError, ResultLimitExceeded, TripleLimitExceeded, Unscoped, UnsupportedConstruct, UpdateRejected
+from veldgraph.operators.lower import Limits, execute, import_ntriples, query
 from veldgraph.plans.parser import parse
 from veldgraph.plans.scope import scope
 from veldgraph.sources.catalog import golden_catalog
@@ -68,3 +70,51 @@ def test_golden_layout(spark):
     assert [tuple(r) for r in found] == [("u:2", "S1")]
     assert sorted(r.t for r in query(spark, c, "SELECT ?t { ?s a <c:Signal> ; :tags ?t }").collect()) == ["a", "b"]
     assert query(spark, c, "ASK { <u:1> :on ?x }").first().answer is False
+
+
+def test_whole_results_as_text(spark, tables):
+    got = json.loads(execute(spark, tables, "SELECT ?n ?r ?none { ?n a :Nation ; :region ?r . OPTIONAL { ?r :brand ?none } }"))
+    assert got["head"] == {"vars": ["n", "r", "none"]} and len(got["results"]["bindings"]) == 25
+    assert all(set(b) == {"n", "r"} and b["r"]["type"] == "uri" and b["r"]["value"].startswith(N + "Region/") for b in got["results"]["bindings"])
+    assert json.loads(execute(spark, tables, "ASK { ?n a :Nation }")) == {"head": {}, "boolean": True}
+    lines = execute(spark, tables, f"DESCRIBE <{N}Nation/4>", "turtle").splitlines()
+    assert len(lines) == 3 and all(x.startswith(f"<{N}Nation/4> <") and x.endswith(" .") for x in lines)
+    with pytest.raises(UnsupportedConstruct):
+        execute(spark, tables, f"DESCRIBE <{N}Nation/4>", "xml")
+
+
+def test_guards_of_whole_results(spark, tables):
+    with pytest.raises(TripleLimitExceeded):
+        execute(spark, tables, "SELECT ?r { ?r a :Region }", limits=Limits(max_triples=9))
+    assert execute(spark, tables, "SELECT ?r { ?r a :Region }", limits=Limits(max_triples=10, max_rows=5))
+    with pytest.raises(ResultLimitExceeded):
+        execute(spark, tables, "SELECT ?r { ?r a :Region }", limits=Limits(max_rows=4))
+    assert (Limits().max_triples, Limits().max_rows) == (500_000, 10_000)
+
+
+def test_joins_on_maybe_unbound_variables_are_equi_joins(spark, tables):
+    for text in (
+        "SELECT ?c ?o ?t { ?c a :Customer . OPTIONAL { ?o a :Order ; :customer ?c ; :status 'P' } ?o a :Order ; :totalPrice ?t ; :priority '5-LOW' . ?c :segment 'NONE' }",
+        "SELECT ?c ?p { ?c a :Customer . OPTIONAL { ?o a :Order ; :customer ?c ; :priority ?p } ?q a :Order ; :customer ?c ; :priority ?p }",
+    ):
+        plan = query(spark, tables, text)._jdf.queryExecution().optimizedPlan().toString()
+        assert " OR isnull" not in plan and "isnull(" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_a_malformed_line(spark):
+    lines = spark.createDataFrame([("<a:s> <a:p> <a:o> .",), ("<a:s> <a:p> oops",), ("# note",), ("",)], "value string")
+    with pytest.raises(Exception, match="not a triple"):
+        import_ntriples(lines).collect()
+    assert import_ntriples(lines, "DROPMALFORMED").count() == 1
+    assert [r._corrupt_record for r in import_ntriples(lines, "PERMISSIVE").collect()] == [None, "<a:s> <a:p> oops"]
+
+
+def test_negated_paths():
+    from veldgraph.plans import algebra as A
+
+    def path(text):
+        return parse(f"SELECT ?s {{ ?s {text} ?o }}", {"": "n:"}).node.node.triples[0].p
+
+    assert path("!:a") == A.Negated(("n:a",), None) and path("!(:a|^:b)") == A.Negated(("n:a",), ("n:b",)) and path("!^:b") == A.Negated(None, ("n:b",))
+    with pytest.raises(ParseError):
+        path("!(:a|")

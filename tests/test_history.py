@@ -70,6 +70,47 @@ def test_diff_then_patch_gives_the_target():
         assert not trace.failed and h.equals(got, b, True)
 
 
+def test_lists_align_by_identifier():
+    a = {"rows": [{"no": 1, "x": 1}, {"no": 2, "x": 2}, {"no": 3, "x": 3}]}
+    b = {"rows": [{"no": 1, "x": 1}, {"no": 9, "x": 0}, {"no": 3, "x": 5}]}
+    found = h.diff(a, b, identifiers=["no"])
+    assert found == [Delta(("rows", "1"), "remove", {"no": 2, "x": 2}), Delta(("rows", "1"), "add", None, {"no": 9, "x": 0}), Delta(("rows", "2", "x"), "update", 3, 5)]
+    assert h.patch(a, found)[0] == b
+    turned = {"rows": a["rows"][::-1]}
+    assert h.diff(a, turned, identifiers=["no"]) == [Delta(("rows",), "update", a["rows"], turned["rows"])]
+    rng = random.Random(8)
+    for _ in range(200):
+        x, y = ([{"no": n, "v": rng.randrange(3)} for n in rng.sample(range(6), rng.randrange(5))] for _ in range(2))
+        got, trace = h.patch({"l": x}, h.diff({"l": x}, {"l": y}, identifiers=["no"]))
+        assert got == {"l": y} and not trace.failed
+
+
+def test_blame_moves_with_list_members():
+    base = {"l": [{"no": 1, "v": 0}, {"no": 2, "v": 0}]}
+    steps = [{"l": [{"no": 1, "v": 0}, {"no": 2, "v": 7}]}, {"l": [{"no": 0, "v": 0}, {"no": 1, "v": 0}, {"no": 2, "v": 7}]}, {"l": [{"no": 2, "v": 7}]}]
+    stages, value = [], base
+    for i, s in enumerate(steps):
+        stages.append(Stage({"change_id": i}, s, h.diff(value, s, identifiers=["no"])))
+        value = s
+    value, blame = h.apply_deltas(base, stages[:2])
+    assert value == steps[1] and h.blame_info(("l", "2", "v"), blame) == {"change_id": 0} and h.blame_info(("l", "0", "no"), blame) == {"change_id": 1} and h.blame_info(("l", "1", "no"), blame) is None
+    value, blame = h.apply_deltas(base, stages)
+    assert value == steps[2] and h.blame_info(("l", "0", "v"), blame) == {"change_id": 0}
+    assert base["l"][1]["v"] == 0
+
+
+def test_patch_with_missing_as_null():
+    deltas = [Delta(("a",), "update", None, 1), Delta(("b",), "update", 2, None), Delta(("c",), "remove", 3)]
+    assert h.patch({}, deltas)[1].failed == [("a",), ("b",), ("c",)]
+    assert h.patch({}, deltas, treat_missing_as_null=True) == ({"a": 1}, h.Trace(added=[("a",)], updated=[()]))
+
+
+def test_stages_are_of_one_class():
+    with pytest.raises(VeldgraphError):
+        h.compute_history([Stage({}, {}, class_id="A"), Stage({}, {}, class_id="B")])
+    assert json.loads(h.diff_json('{"a": 1}', '{"a": 2}')) == [{"path": ["a"], "op": "update", "old": 1, "new": 2}]
+
+
 def test_flat_and_folded_agree(spark):
     rng = random.Random(3)
     rows = [(o, s, rng.choice([None, "x", "y"]), rng.choice([None, 1, 2]), rng.choice([None, ["a"], ["b"], ["a", "b"]])) for o in range(8) for s in range(12)]

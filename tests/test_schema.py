@@ -111,3 +111,16 @@ def test_templates():
     for bad in ("{{ x", "{% if x %}", "{{ x | nope }}", "{% endfor %}"):
         with pytest.raises(ParseError):
             e.render(bad, {"x": 1})
+
+
+def test_template_options(spark):
+    text = "a\n  {% if x %}\nb\n  {% endif %}\nc\n"
+    assert Environment().render(text, {"x": 1}) == "a\n  \nb\n  \nc"
+    assert Environment(trim_blocks=True, lstrip_blocks=True, keep_trailing_newline=True).render(text, {"x": 1}) == "a\nb\nc\n"
+    assert Environment().render("[{{ x }}]", {}) == "[]" and Environment(undefined="chainable").render("[{{ x.y.z }}]", {}) == "[]"
+    for options, bad in ((dict(undefined="strict"), "{{ x }}"), ({}, "{{ x.y }}"), (dict(fuel=5), "{% for i in l %}{{ i }}{% endfor %}")):
+        with pytest.raises(ParseError):
+            Environment(**options).render(bad, {"l": list(range(9))})
+    assert Environment(fuel=50).render("{% for i in l %}{{ i }}{% endfor %}", {"l": [1, 2]}) == "12"
+    df = spark.createDataFrame([(1, "x"), (2, None)], "id int, name string")
+    assert [r.m for r in df.select(Environment().column("{{ id }}{{ name | default('?') }}", "id", "name").alias("m")).collect()] == ["1x", "2?"]

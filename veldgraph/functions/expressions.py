@@ -7,7 +7,10 @@ comparison makes Spark cast one kind to another.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from datetime import UTC, datetime
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import UnsupportedConstruct
-from ..plans.algebra import XSD, Call, Exists, Iri, Literal, Var
+from ..plans.algebra import RDF, XSD, Call, Exists, Iri, Literal, Var
 
 
 @dataclass(frozen=True)
@@ -26,6 +29,8 @@ class Typed:
     prefix: str | None = None
     datatype: str = ""
     constant: object = None
+    #: Language tag of a literal.
+    lang: str = ""
 
 
 def kind_of(data_type: T.DataType) -> tuple[str, str]:
@@ -59,17 +64,49 @@ def literal(term: Literal) -> Typed:
         if d in _INTEGERS:
             n = int(v)
             return Typed(F.lit(n) if abs(n) < 1 << 63 else F.lit(v).cast("decimal(38,0)"), "num", datatype=d, constant=n)
-        if d in (XSD + "decimal", XSD + "double", XSD + "float"):
+        if d == XSD + "decimal":
+            n = Decimal(v)
+            digits, exponent = len(n.as_tuple().digits), n.as_tuple().exponent
+            if isinstance(exponent, int) and max(digits, -exponent) <= 38 and exponent <= 0:
+                return Typed(F.lit(n), "num", datatype=d, constant=float(v))
             return Typed(F.lit(float(v)), "num", datatype=d, constant=float(v))
-    except ValueError:
+        if d in (XSD + "double", XSD + "float"):
+            return Typed(F.lit(float(v)), "num", datatype=d, constant=float(v))
+    except (ValueError, InvalidOperation):
         return Typed(F.lit(None).cast("double"), "num", datatype=d)
     if d == XSD + "boolean":
         return Typed(F.lit(v in ("true", "1")), "bool", datatype=d, constant=v)
     if d == XSD + "dateTime":
-        return Typed(F.lit(v.removesuffix("Z")).try_cast("timestamp_ntz"), "time", datatype=d, constant=v)
+        return Typed(F.lit(_in_utc(v)).try_cast("timestamp_ntz"), "time", datatype=d, constant=v)
     if d == XSD + "date":
         return Typed(F.lit(v).try_cast("date"), "date", datatype=d, constant=v)
-    return Typed(F.lit(v), "str", datatype=d, constant=v)
+    return Typed(F.lit(v), "str", datatype=d, constant=v, lang=term.lang)
+
+
+_ZONE = re.compile(r"(Z|[+-]\d\d:\d\d)$")
+
+
+def _in_utc(text: str) -> str:
+    """A dateTime's text without its zone, moved to UTC."""
+    if not _ZONE.search(text):
+        return text
+    try:
+        return datetime.fromisoformat(text).astimezone(UTC).replace(tzinfo=None).isoformat()
+    except ValueError:
+        return text
+
+
+def _zone(x: Typed) -> str:
+    """The zone that a dateTime constant names; columns of times have none."""
+    found = _ZONE.search(x.constant) if x.kind == "time" and isinstance(x.constant, str) else None
+    return found[0] if found else ""
+
+
+def _duration(zone: str) -> str:
+    if zone in ("Z", "+00:00", "-00:00"):
+        return "PT0S"
+    hours, minutes = int(zone[1:3]), int(zone[4:6])
+    return ("-" if zone[0] == "-" else "") + "PT" + (f"{hours}H" if hours else "") + (f"{minutes}M" if minutes else "")
 
 
 def _null() -> Column:
@@ -322,8 +359,8 @@ _FUNCTIONS = {
     "MINUTES": _part(F.minute),
     "SECONDS": _part(F.second),
     "NOW": lambda c: Typed(F.localtimestamp(), "time"),
-    "TZ": lambda c, a: Typed(F.when(c.typed(a).column.isNotNull(), F.lit("")), "str"),
-    "TIMEZONE": lambda c, a: Typed(F.lit(None).cast("string"), "str"),
+    "TZ": lambda c, a: Typed(F.when((x := c.typed(a)).column.isNotNull(), F.lit(_zone(x) if x.kind == "time" else None)), "str"),
+    "TIMEZONE": lambda c, a: Typed(F.lit(_duration(z) if (z := _zone(c.typed(a))) else None).cast("string"), "str", datatype=XSD + "dayTimeDuration"),
     "MD5": _string(F.md5),
     "SHA1": _string(F.sha1),
     "SHA256": _string(lambda s: F.sha2(s, 256)),
@@ -340,12 +377,12 @@ _FUNCTIONS = {
     "ISBLANK": lambda c, a: Typed(F.when(c.typed(a).column.isNotNull(), F.lit(False)), "bool"),
     "ISLITERAL": _is("num", "str", "bool", "time", "date", "any"),
     "ISNUMERIC": _is("num"),
-    "LANG": lambda c, a: Typed(F.when((x := c.typed(a)).column.isNotNull(), F.lit("") if x.kind != "iri" else F.lit(None).cast("string")), "str"),
+    "LANG": lambda c, a: Typed(F.when((x := c.typed(a)).column.isNotNull(), F.lit(x.lang) if x.kind != "iri" else F.lit(None).cast("string")), "str"),
     "LANGMATCHES": lambda c, a, b: Typed(F.when(c.string(b) == "*", c.string(a) != "").otherwise((F.lower(c.string(a)) == F.lower(c.string(b))) | F.startswith(F.lower(c.string(a)), F.concat(F.lower(c.string(b)), F.lit("-")))), "bool"),
     "DATATYPE": _datatype,
     "IRI": lambda c, a: Typed(c.text(c.typed(a)), "iri"),
     "URI": lambda c, a: Typed(c.text(c.typed(a)), "iri"),
     "STRDT": lambda c, a, d: c.cast(d.value, c.typed(a)),
-    "STRLANG": lambda c, a, tag: Typed(c.string(a), "str"),
+    "STRLANG": lambda c, a, tag: Typed(c.string(a), "str", datatype=RDF + "langString", lang=tag.value.lower()),
     "BNODE": lambda c, *a: Typed(F.concat(F.lit("_:"), F.md5(c.string(a[0])) if a else F.expr("uuid()")), "iri"),
 }

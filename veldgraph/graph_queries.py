@@ -64,6 +64,18 @@ GRAPH: dict[str, tuple[str, str]] = {
     "path_inverse": ("SELECT ?n ?c WHERE { ?n a :Nation . ?n ^:nation ?c . ?c a :Customer }", "SELECT c_nationkey AS n, c_custkey AS c FROM customer JOIN nation ON n_nationkey = c_nationkey"),
     "path_alternative": (f"SELECT ?x WHERE {{ <{N}Nation/3> (:name|:region/:name) ?x }}", "SELECT n_name AS x FROM nation WHERE n_nationkey = 3 UNION ALL SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 3"),
     "path_plus": (f"SELECT ?x WHERE {{ <{N}Customer/5> (:nation|:region)+ ?x }}", f"SELECT '{N}Nation/' || c_nationkey AS x FROM customer WHERE c_custkey = 5 UNION ALL SELECT '{N}Region/' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 5"),
+    "path_star": (f"SELECT ?x WHERE {{ <{N}Customer/5> (:nation|:region)* ?x }}", f"SELECT '{N}Customer/5' AS x UNION ALL SELECT '{N}Nation/' || c_nationkey FROM customer WHERE c_custkey = 5 UNION ALL SELECT '{N}Region/' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 5"),
+    "path_zero_or_one": (f"SELECT ?x WHERE {{ <{N}Nation/3> :region? ?x }}", f"SELECT '{N}Nation/3' AS x UNION ALL SELECT '{N}Region/' || n_regionkey FROM nation WHERE n_nationkey = 3"),
+    "path_both_ends": ("SELECT ?a ?b WHERE { ?a (:nation/:region)+ ?b }", f"SELECT '{N}Customer/' || c_custkey AS a, '{N}Region/' || n_regionkey AS b FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT '{N}Supplier/' || s_suppkey, '{N}Region/' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
+    "path_backward": (f"SELECT ?x WHERE {{ ?x (:nation|:region)+ <{N}Region/1> }}", f"SELECT '{N}Nation/' || n_nationkey AS x FROM nation WHERE n_regionkey = 1 UNION ALL SELECT '{N}Customer/' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT '{N}Supplier/' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1"),
+    "path_negated": (f"SELECT ?x WHERE {{ <{N}Nation/3> !(:name|a) ?x }}", f"SELECT '{N}Region/' || n_regionkey AS x FROM nation WHERE n_nationkey = 3"),
+    "minus_optional": ("SELECT ?c ?p WHERE { ?c a :Customer ; :segment 'BUILDING' . OPTIONAL { ?o a :Order ; :customer ?c ; :status 'P' ; :priority ?p } MINUS { VALUES ?p { '1-URGENT' '2-HIGH' } } }", "SELECT c_custkey AS c, o_orderpriority AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE c_mktsegment = 'BUILDING' AND (o_orderpriority IS NULL OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH'))"),
+    "filter_decimal": ("SELECT ?o ?t WHERE { ?o a :Order ; :totalPrice ?t . FILTER(?t >= 1000.10 && ?t * 2 < 60000.5) }", "SELECT o_orderkey AS o, o_totalprice AS t FROM orders WHERE o_totalprice >= 1000.10 AND o_totalprice * 2 < 60000.5"),
+    "tagged_literals": ("SELECT ?r (LANG(STRLANG(?r, 'en-GB')) AS ?g) (LANG('oui'@fr) AS ?f) (LANGMATCHES(LANG('oui'@fr-BE), 'fr') AS ?m) WHERE { ?x a :Region ; :name ?r }", "SELECT r_name AS r, 'en-gb' AS g, 'fr' AS f, true AS m FROM region"),
+    "zoned_times": (
+        'SELECT ?o (TZ("2020-01-01T00:00:00-05:30"^^xsd:dateTime) AS ?z) (TIMEZONE("2020-01-01T00:00:00-05:30"^^xsd:dateTime) AS ?i) (TZ(?d) AS ?none) WHERE { ?o a :Order ; :orderDate ?d . FILTER(?d >= "1997-06-01T02:00:00+02:00"^^xsd:dateTime) }',
+        "SELECT o_orderkey AS o, '-05:30' AS z, '-PT5H30M' AS i, '' AS none FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01 00:00:00'",
+    ),
     "variable_predicate": (f"SELECT ?p ?o WHERE {{ <{N}Order/7> ?p ?o }}", f"SELECT p, o FROM (SELECT unnest(['http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '{N}status', '{N}priority', '{N}customer', '{N}orderDate']) AS p, unnest(['{N}Order', o_orderstatus, o_orderpriority, '{N}Customer/' || o_custkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')]) AS o FROM orders WHERE o_orderkey = 7) UNION ALL SELECT '{N}totalPrice', o_totalprice::VARCHAR FROM orders WHERE o_orderkey = 7"),
     "type_variable": ("SELECT ?t (COUNT(*) AS ?n) WHERE { ?x a ?t ; :acctbal ?b } GROUP BY ?t", f"SELECT '{N}Customer' AS t, count(*) AS n FROM customer UNION ALL SELECT '{N}Supplier', count(*) FROM supplier"),
     "multivalued_slot": ("SELECT ?e ?x WHERE { ?e a :Embedding ; :vector ?x ; :label 3 }", "SELECT vec_id AS e, unnest(embedding) AS x FROM embeddings WHERE label = 3"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import history
-from .operators.lower import export_ntriples, import_ntriples, results_json
+from .operators.lower import export_ntriples, import_ntriples, results_json, solutions
 from .operators.references import foreign_edges
 from .sources import objects
 from .sources.tables import NAMESPACE, catalog
@@ -102,10 +102,8 @@ def term_json(spark, sf_dir):
 
 
 def results_bindings(spark, sf_dir):
-    from .operators.lower import query
-
     c = catalog(spark, sf_dir)
-    return results_json(c, query(spark, c, "SELECT ?name ?none WHERE { ?x a :Region ; :name ?name . OPTIONAL { ?y :brand ?none . FILTER(?none = 'NONE') } }"))
+    return results_json(solutions(spark, c, "SELECT ?name ?none WHERE { ?x a :Region ; :name ?name . OPTIONAL { ?y :brand ?none . FILTER(?none = 'NONE') } }"))
 
 
 QUERIES = {

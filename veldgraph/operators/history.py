@@ -43,14 +43,15 @@ class Stage:
     value: object
     deltas: list[Delta] = field(default_factory=list)
     rejected_paths: list[Path] = field(default_factory=list)
+    class_id: str = ""
 
     def to_json(self) -> str:
-        return json.dumps({"meta": self.meta, "value": self.value, "deltas": [{"path": list(d.path), "op": d.op, "old": d.old, "new": d.new} for d in self.deltas], "rejected_paths": [list(p) for p in self.rejected_paths]})
+        return json.dumps({"class_id": self.class_id, "meta": self.meta, "value": self.value, "deltas": [{"path": list(d.path), "op": d.op, "old": d.old, "new": d.new} for d in self.deltas], "rejected_paths": [list(p) for p in self.rejected_paths]})
 
     @classmethod
     def from_json(cls, text: str) -> Stage:
         d = json.loads(text)
-        return cls(d["meta"], d["value"], [Delta(tuple(x["path"]), x["op"], x.get("old"), x.get("new")) for x in d.get("deltas", [])], [tuple(p) for p in d.get("rejected_paths", [])])
+        return cls(d["meta"], d["value"], [Delta(tuple(x["path"]), x["op"], x.get("old"), x.get("new")) for x in d.get("deltas", [])], [tuple(p) for p in d.get("rejected_paths", [])], d.get("class_id", ""))
 
 
 def _same(a, b) -> bool:
@@ -63,8 +64,11 @@ def diff(source, target, treat_missing_as_null: bool = False, treat_changed_iden
     A slot that ``target`` lacks is unchanged, or with ``treat_missing_as_null``
     becomes null (a key of one of the ``mappings`` slots is removed). Lists are
     always whole: a shorter one loses its tail. An inlined object whose
-    identifier changes is replaced as one. Lists of objects whose identifiers
-    changed places are replaced as one too.
+    identifier changes is replaced as one. Lists whose members all have an
+    identifier of their own align by it: what is gone is removed (from the end),
+    what is new is inserted at its place, and what both have is compared under
+    its place in ``target``; if members changed their order the list is replaced
+    as one.
     """
     ids, maps = frozenset(identifiers), frozenset(mappings)
     out: list[Delta] = []
@@ -72,6 +76,9 @@ def diff(source, target, treat_missing_as_null: bool = False, treat_changed_iden
     def identity(x):
         return next((x[i] for i in ids if i in x), None) if isinstance(x, dict) else None
 
+    def keyed(names) -> bool:
+        return all(isinstance(x, str | int) for x in names) and len(set(names)) == len(names)
+
     def walk(a, b, path: Path):
         if isinstance(a, dict) and isinstance(b, dict):
             if path and treat_changed_identifier_as_new_object and identity(a) is not None and identity(b) is not None and identity(a) != identity(b):
@@ -90,9 +97,20 @@ def diff(source, target, treat_missing_as_null: bool = False, treat_changed_iden
                     out.append(Delta((*path, k), "add", None, b[k]))
         elif isinstance(a, list) and isinstance(b, list):
             mine, theirs = [identity(x) for x in a], [identity(x) for x in b]
-            moved = [x for x in mine if x is not None and x in theirs and mine.index(x) != theirs.index(x)]
-            if moved:
-                out.append(Delta(path, "update", a, b))
+            if a and b and keyed(mine) and keyed(theirs):
+                stay = [x for x in mine if x in theirs]
+                if stay != [x for x in theirs if x in mine]:
+                    out.append(Delta(path, "update", a, b))
+                    return
+                for i in range(len(a) - 1, -1, -1):
+                    if mine[i] not in theirs:
+                        out.append(Delta((*path, str(i)), "remove", a[i], None))
+                for i, x in enumerate(theirs):
+                    if x not in mine:
+                        out.append(Delta((*path, str(i)), "add", None, b[i]))
+                for i, x in enumerate(theirs):
+                    if x in mine:
+                        walk(a[mine.index(x)], b[i], (*path, str(i)))
                 return
             for i, (x, y) in enumerate(zip(a, b)):
                 walk(x, y, (*path, str(i)))
@@ -132,9 +150,18 @@ def navigate(value, path: Path, default=_MISSING):
     return value
 
 
-def patch(source, deltas: Iterable[Delta], ignore_no_ops: bool = True) -> tuple[object, Trace]:
-    """Apply deltas to a copy; a path that can't be reached is reported as failed."""
-    value, trace = copy.deepcopy(source), Trace()
+def patch(source, deltas: Iterable[Delta], ignore_no_ops: bool = True, treat_missing_as_null: bool = False) -> tuple[object, Trace]:
+    """Apply deltas to a copy; a path that can't be reached is reported as failed.
+
+    With ``treat_missing_as_null`` a slot that is absent counts as null: an
+    update of it writes it, and one to null leaves it absent.
+    """
+    trace = Trace()
+    return _applied(copy.deepcopy(source), deltas, trace, ignore_no_ops, treat_missing_as_null), trace
+
+
+def _applied(value, deltas: Iterable[Delta], trace: Trace, ignore_no_ops: bool = True, treat_missing_as_null: bool = False):
+    """``value`` itself, changed."""
     for d in deltas:
         if not d.path:
             value = copy.deepcopy(d.new)
@@ -143,10 +170,12 @@ def patch(source, deltas: Iterable[Delta], ignore_no_ops: bool = True) -> tuple[
         parent, key = navigate(value, d.path[:-1], None), d.path[-1]
         exists = isinstance(parent, dict) and key in parent
         if d.op == "remove":
-            if isinstance(parent, dict) and key in parent:
+            if exists:
                 trace.deleted += subtree(parent.pop(key), d.path)
             elif isinstance(parent, list) and key.isdigit() and int(key) < len(parent):
                 trace.deleted += subtree(parent.pop(int(key)), d.path)
+            elif treat_missing_as_null and isinstance(parent, dict):
+                continue
             else:
                 trace.failed.append(d.path)
                 continue
@@ -154,21 +183,20 @@ def patch(source, deltas: Iterable[Delta], ignore_no_ops: bool = True) -> tuple[
             continue
         new = copy.deepcopy(d.new)
         if isinstance(parent, dict):
-            if d.op == "update" and key not in parent:
+            if d.op == "update" and not exists and not treat_missing_as_null:
                 trace.failed.append(d.path)
                 continue
-            if exists and ignore_no_ops and _same(parent[key], new):
+            if treat_missing_as_null and not exists and new is None or exists and ignore_no_ops and _same(parent[key], new):
                 continue
             parent[key] = new
         elif isinstance(parent, list) and key.isdigit() and int(key) <= len(parent) - (d.op == "update"):
-            if int(key) < len(parent):
+            exists = d.op == "update"
+            if exists:
                 if ignore_no_ops and _same(parent[int(key)], new):
                     continue
-                exists = True
                 parent[int(key)] = new
             else:
-                exists = False
-                parent.append(new)
+                parent.insert(int(key), new)
         else:
             trace.failed.append(d.path)
             continue
@@ -178,7 +206,7 @@ def patch(source, deltas: Iterable[Delta], ignore_no_ops: bool = True) -> tuple[
             trace.added += subtree(new, d.path)
             if not exists:
                 trace.updated.append(d.path[:-1])
-    return value, trace
+    return value
 
 
 def compute_history(stages: list[Stage]) -> tuple[object, list[Stage]]:
@@ -189,31 +217,82 @@ def compute_history(stages: list[Stage]) -> tuple[object, list[Stage]]:
     """
     if not stages:
         raise VeldgraphError("history needs a stage at least")
-    value, out = stages[0].value, [stages[0]]
+    if len({s.class_id for s in stages}) > 1:
+        raise VeldgraphError("all stages must be of one class")
+    value, out = copy.deepcopy(stages[0].value), [stages[0]]
     for s in stages[1:]:
         rejected = set(map(tuple, s.rejected_paths))
         deltas = [d for d in diff(value, s.value, False, False) if d.path not in rejected]
-        value, trace = patch(value, deltas)
+        trace = Trace()
+        # old values are kept as they were: the running value changes in place
+        deltas = [Delta(d.path, d.op, copy.deepcopy(d.old) if isinstance(d.old, dict | list) else d.old, d.new) for d in deltas]
+        value = _applied(value, deltas, trace)
         if trace.failed:
             raise VeldgraphError(f"paths that can't be patched: {trace.failed}")
-        out.append(Stage(s.meta, s.value, deltas, s.rejected_paths))
+        out.append(Stage(s.meta, s.value, deltas, s.rejected_paths, s.class_id))
     return value, out
 
 
+def diff_json(base: str, current: str, treat_missing_as_null: bool = False, view=None, class_name: str | None = None) -> str:
+    """Deltas between two JSON objects as a JSON list of {path, op, old, new}.
+
+    With a schema view and a class, the identifier and key slots of the class
+    and of all classes it reaches align inlined objects.
+    """
+    ids: set[str] = set()
+    if view is not None and class_name is not None:
+        todo, seen = [class_name], set()
+        while todo:
+            name = todo.pop()
+            if name in seen:
+                continue
+            seen.add(name)
+            for slot in view.slots(name):
+                if slot.identifier or slot.key:
+                    ids.add(slot.name)
+                if slot.inline_mode == "Inline":
+                    todo.append(slot.range)
+    found = diff(json.loads(base), json.loads(current), treat_missing_as_null, identifiers=ids)
+    return json.dumps([{"path": list(d.path), "op": d.op, "old": d.old, "new": d.new} for d in found], ensure_ascii=False)
+
+
+def _shifted(blame: dict[Path, dict], path: Path, by: int) -> dict[Path, dict]:
+    """Blame after a list member at ``path`` was inserted (by 1) or removed (by -1): the members behind it move."""
+    at, i = len(path) - 1, int(path[-1])
+    out = {}
+    for p, m in blame.items():
+        if p[:at] == path[:-1] and len(p) > at and p[at].isdigit() and int(p[at]) >= i + (by < 0):
+            p = (*p[:at], str(int(p[at]) + by), *p[at + 1 :])
+        out[p] = m
+    return out
+
+
 def apply_deltas(base, stages: list[Stage]) -> tuple[object, dict[Path, dict]]:
     """The value after all stages' deltas, and the meta of each node's last writer."""
-    value, blame = base, {}
+    value, blame = copy.deepcopy(base), {}
     for s in stages:
-        value, trace = patch(value, s.deltas)
-        if trace.failed:
-            raise VeldgraphError(f"paths that can't be patched: {trace.failed}")
-        for p in trace.deleted:
-            blame.pop(p, None)
-        for p in [*trace.added, *trace.updated]:
-            blame[p] = s.meta
+        failed = []
+        for d in s.deltas:
+            trace = Trace()
+            in_list = bool(d.path) and isinstance(navigate(value, d.path[:-1], None), list)
+            value = _applied(value, [d], trace)
+            failed += trace.failed
+            for p in trace.deleted:
+                blame.pop(p, None)
+            if in_list and not trace.failed and d.op in ("add", "remove"):
+                blame = _shifted(blame, d.path, 1 if d.op == "add" else -1)
+            for p in [*trace.added, *trace.updated]:
+                blame[p] = s.meta
+        if failed:
+            raise VeldgraphError(f"paths that can't be patched: {failed}")
     return value, blame
 
 
+def blame_info(path: Path, blame: dict[Path, dict]) -> dict | None:
+    """Who last wrote a node; None for one that no stage wrote."""
+    return blame.get(tuple(path))
+
+
 def blame_paths(value, blame: dict[Path, dict]) -> list[tuple[Path, dict]]:
     """The blame of a value's nodes in tree order."""
     return [(p, blame[p]) for p in subtree(value, ()) if p in blame]
@@ -302,3 +381,34 @@ def diff_tables(source: DataFrame, target: DataFrame, key: str, fields: list[str
         .when(F.col("new").isNull() & F.col("old").isNotNull() & F.lit(treat_missing_as_null), F.when(F.col("in_b").isNull(), "remove").otherwise("update"))
     )
     return joined.select("object", "path", op.alias("op"), "old", "new").where("op is not null")
+
+
+def diff_rows(df: DataFrame, key: str, base: str = "base", current: str = "current", treat_missing_as_null: bool = False, identifiers: Iterable[str] = ()) -> DataFrame:
+    """Deltas of JSON objects, row by row: key, path, op, old, new (JSON). A NULL on either side is JSON null."""
+    ids = tuple(identifiers)
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for k, a, b in zip(pdf[key], pdf[base], pdf[current]):
+                for d in diff(json.loads(a or "null"), json.loads(b or "null"), treat_missing_as_null, identifiers=ids):
+                    rows.append((k, list(d.path), d.op, json.dumps(d.old), json.dumps(d.new)))
+            yield pd.DataFrame(rows, columns=[key, "path", "op", "old", "new"])
+
+    return df.select(key, base, current).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, path array<string>, op string, old string, new string")
+
+
+def patched_rows(df: DataFrame, key: str, base: str = "base", current: str = "current", identifiers: Iterable[str] = ()) -> DataFrame:
+    """(key, value, same): each base patched by its deltas to current, and whether that gives current."""
+    ids = tuple(identifiers)
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for k, a, b in zip(pdf[key], pdf[base], pdf[current]):
+                a, b = json.loads(a or "null"), json.loads(b or "null")
+                value, trace = patch(a, diff(a, b, True, identifiers=ids))
+                rows.append((k, json.dumps(value), not trace.failed and equals(value, b, True)))
+            yield pd.DataFrame(rows, columns=[key, "value", "same"])
+
+    return df.select(key, base, current).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, value string, same boolean")

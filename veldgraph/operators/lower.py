@@ -8,6 +8,7 @@ wherever both sides are surely bound. Catalyst plans the rest.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -15,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ResultLimitExceeded, Unscoped, UnsupportedConstruct
+from ..errors import ResultLimitExceeded, TripleLimitExceeded, Unscoped, UnsupportedConstruct
 from ..functions.expressions import Compiler, Typed, kind_of, literal
 from ..plans import algebra as A
 from ..plans.parser import parse
 from ..shared import shared_dir
 from ..sources.catalog import Catalog, ClassTable
+from ..sources.objects import term_struct
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,9 @@ class Info:
     kind: str = "lit"
     prefix: str | None = None
     maybe: bool = False
+    lang: str = ""
+    #: xsd type of a literal, where the column's type does not tell it.
+    datatype: str = ""
 
 
 @dataclass
@@ -44,7 +49,7 @@ class Frame:
         if known.kind == "iri":
             return Typed(F.col(name), "iri", known.prefix)
         kind, datatype = kind_of(self.df.schema[name].dataType)
-        return Typed(F.col(name), kind, datatype=datatype)
+        return Typed(F.col(name), kind, datatype=known.datatype or datatype, lang=known.lang)
 
 
 def _and(conditions: list[Column]) -> Column:
@@ -75,6 +80,8 @@ def _conjuncts(e) -> list:
 class Lowering:
     def __init__(self, catalog: Catalog, spark):
         self.catalog, self.spark, self.fresh = catalog, spark, 0
+        #: Class tables that were scanned.
+        self.read: dict[str, ClassTable] = {}
 
     def name(self) -> str:
         self.fresh += 1
@@ -135,7 +142,7 @@ class Lowering:
         if name in f.info:
             raise UnsupportedConstruct(f"?{name} is bound already")
         x = Compiler(f).typed(e)
-        info = Info("iri", x.prefix, True) if x.kind == "iri" else Info(maybe=True)
+        info = Info("iri", x.prefix, True) if x.kind == "iri" else Info(maybe=True, lang=x.lang, datatype=x.datatype if x.lang or x.datatype.endswith("Duration") else "")
         return Frame(f.df.withColumn(name, x.column), {**f.info, name: info}, self.catalog)
 
     # Joins
@@ -170,6 +177,8 @@ class Lowering:
         if not loose and not conditions:
             df = left.df.join(right.df, shared, how) if shared else left.df.crossJoin(right.df) if not outer else left.df.join(right.df, F.lit(True), "left")
             return Frame(df.select(*info), info, self.catalog)
+        if not conditions and (split := self._split(left, right, loose, how)):
+            return split
         renamed = {n: self.name() for n in shared}
         rdf = right.df.select(*[F.col(n).alias(renamed.get(n, n)) for n in right.info])
         on = []
@@ -189,6 +198,21 @@ class Lowering:
         out = [F.coalesce(F.col(n), F.col(renamed[n])).alias(n) if n in loose and left.info[n].maybe else F.col(n) for n in info]
         return Frame(df.select(*out), info, self.catalog)
 
+    def _split(self, left: Frame, right: Frame, loose: list[str], how: str) -> Frame | None:
+        """A join on one or two maybe-unbound variables as a union of equi-joins: rows that bind the first, and rows that do not.
+
+        An outer join can be split by its left side only.
+        """
+        n = next((n for n in loose if left.info[n].maybe or how == "inner"), None)
+        if n is None or len(loose) > 2:
+            return None
+        mine = left.info[n].maybe
+        side = left if mine else right
+        bound = Frame(side.df.where(F.col(n).isNotNull()), {**side.info, n: replace(side.info[n], maybe=False)}, self.catalog)
+        unbound = Frame(side.df.where(F.col(n).isNull()).drop(n), {k: i for k, i in side.info.items() if k != n}, self.catalog)
+        parts = [self.join(x, right, how) if mine else self.join(left, x, how) for x in (bound, unbound)]
+        return self.union(*parts)
+
     def optional(self, node: A.LeftJoin) -> Frame:
         single = self._slot_chain(node)
         if single:
@@ -240,6 +264,18 @@ class Lowering:
         left, right = self._aligned(left, right, shared)
         if not conditions and not any(left.info[n].maybe or right.info[n].maybe for n in shared) and shared:
             return replace(left, df=left.df.join(right.df.select(*shared), shared, how))
+        loose = [n for n in shared if left.info[n].maybe]
+        if not conditions and len(loose) == 1 and not right.info[loose[0]].maybe:
+            # rows that bind the variable and rows that do not: equi-joins each
+            n = loose[0]
+            bound = Frame(left.df.where(F.col(n).isNotNull()), {**left.info, n: replace(left.info[n], maybe=False)}, self.catalog)
+            unbound = Frame(left.df.where(F.col(n).isNull()), {k: i for k, i in left.info.items() if k != n}, self.catalog)
+            rest = [k for k in shared if k != n]
+            if minus and not rest:
+                done = unbound.df
+            else:
+                done = self._semi(unbound, Frame(right.df.select(*[k for k in right.info if k != n]).distinct(), {k: i for k, i in right.info.items() if k != n}, self.catalog), [], how, minus).df
+            return replace(left, df=self._semi(bound, right, [], how, minus).df.select(*left.info).unionByName(done.select(*left.info)))
         renamed = {n: self.name() for n in shared}
         rdf = right.df.select(*[F.col(n).alias(renamed.get(n, n)) for n in right.info])
         on = [(F.col(n) == F.col(r)) | ((F.col(n).isNull() if left.info[n].maybe else F.lit(False)) | (F.col(r).isNull() if right.info[n].maybe else F.lit(False))) if left.info[n].maybe or right.info[n].maybe else F.col(n) == F.col(r) for n, r in renamed.items()]
@@ -352,7 +388,7 @@ class Lowering:
         frames: list[Frame] = []
         for t in triples:
             p = t.p
-            if isinstance(p, A.Sequence | A.Alternative | A.Inverse | A.Repeat):
+            if isinstance(p, A.Sequence | A.Alternative | A.Inverse | A.Repeat | A.Negated):
                 p = self.simplify(t)
                 if isinstance(p, Frame):
                     frames.append(p)
@@ -404,6 +440,21 @@ class Lowering:
                 return reduce(self.union, [self.hide(self.bgp([A.Triple(t.s, p, t.o)], []), t) for p in parts])
             case A.Repeat(path, least, many):
                 return self.closure(t, path, least, many)
+            case A.Negated(forward, backward):
+                return self.negated(t, forward, backward)
+
+    def negated(self, t: A.Triple, forward: tuple, backward: tuple) -> Frame:
+        """``!(p|^q)``: any predicate but these, forwards, and backwards if one of them is inverse."""
+        parts = []
+        for names, s, o in ((forward, t.s, t.o), (backward, t.o, t.s)):
+            if names is None:
+                continue
+            p = A.Var(self.name(), hidden=True)
+            f = self.bgp([A.Triple(s, p, o)], [])
+            if names:
+                f = replace(f, df=f.df.where(~F.col(p.name).isin(*names)))
+            parts.append(self.hide(f, t))
+        return reduce(self.union, parts)
 
     def hide(self, f: Frame, t: A.Triple) -> Frame:
         keep = [x.name for x in (t.s, t.o) if isinstance(x, A.Var) and x.name in f.info]
@@ -416,13 +467,20 @@ class Lowering:
         edges = self.bgp([A.Triple(s, path, o)], [])
         c = Compiler(edges)
         step = edges.df.select(c.text(edges.typed(s.name)).alias("s"), c.text(edges.typed(o.name)).alias("o")).distinct()
+        # From a constant end the rounds walk outwards; the steps are read once.
+        back = isinstance(t.o, A.Iri) and not isinstance(t.s, A.Iri)
+        near, far = ("o", "s") if back else ("s", "o")
+        if many:
+            step = _cut(step)
         pairs = step
         if isinstance(t.s, A.Iri):
             pairs = pairs.where(F.col("s") == t.s.value)
+        elif back:
+            pairs = pairs.where(F.col("o") == t.o.value)
         if many:
             grown = pairs
             while True:
-                grown = grown.select("s", F.col("o").alias("m")).join(step.withColumnsRenamed({"s": "m"}), "m").select("s", "o").join(pairs, ["s", "o"], "left_anti").distinct()
+                grown = grown.select(near, F.col(far).alias("m")).join(step.withColumnRenamed(near, "m"), "m").select("s", "o").join(pairs, ["s", "o"], "left_anti").distinct()
                 grown = _cut(grown)
                 if grown.isEmpty():
                     break
@@ -473,6 +531,7 @@ class Lowering:
 
     def scan(self, table: ClassTable, subject, key: str | None, triples: list[A.Triple], optional: list[A.Triple]) -> Frame:
         """One pass over a class table: filters, then a column for each variable."""
+        self.read[table.name] = table
         columns: dict[str, Column] = {}
         info: dict[str, Info] = {}
         conditions: list[Column] = []
@@ -609,6 +668,22 @@ def _guarded(df: DataFrame, limit: int | None) -> DataFrame:
     return df
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What ``execute`` allows; None lifts a limit."""
+
+    max_triples: int | None = 500_000
+    max_rows: int | None = 10_000
+
+
+def solutions(spark, catalog: Catalog, text: str, prefixes: dict[str, str] | None = None) -> Frame:
+    """The solutions of a SELECT with what is known of each variable."""
+    q = parse(text, {"": catalog.namespace, **(prefixes or {})})
+    if q.form != "SELECT":
+        raise UnsupportedConstruct(f"{q.form} has no solutions")
+    return Lowering(catalog, spark).lower(q.node)
+
+
 def query(spark, catalog: Catalog, text: str, prefixes: dict[str, str] | None = None, max_rows: int | None = None) -> DataFrame:
     """Run a query of any form.
 
@@ -616,16 +691,48 @@ def query(spark, catalog: Catalog, text: str, prefixes: dict[str, str] | None =
     they are, unbound as NULL. ASK gives one row ``answer``. CONSTRUCT and
     DESCRIBE give distinct N-Triples terms ``s, p, o``.
     """
-    q = parse(text, {"": catalog.namespace, **(prefixes or {})})
-    low = Lowering(catalog, spark)
+    return _guarded(_run(Lowering(catalog, spark), text, prefixes)[1], max_rows)
+
+
+def _run(low: Lowering, text: str, prefixes: dict[str, str] | None) -> tuple[A.Query, DataFrame, Frame | None]:
+    q = parse(text, {"": low.catalog.namespace, **(prefixes or {})})
     if q.form == "SELECT":
-        return _guarded(low.lower(q.node).df, max_rows)
+        f = low.lower(q.node)
+        return q, f.df, f
     if q.form == "ASK":
-        return low.lower(q.node).df.limit(1).agg((F.count("*") > 0).alias("answer"))
+        return q, low.lower(q.node).df.limit(1).agg((F.count("*") > 0).alias("answer")), None
     if q.form == "CONSTRUCT":
-        f = low.lower(q.node)
-        return _guarded(_construct(f, q.template), max_rows)
-    return _guarded(_describe(low, q), max_rows)
+        return q, _construct(low.lower(q.node), q.template), None
+    return q, _describe(low, q), None
+
+
+def execute(spark, catalog: Catalog, text: str, format: str = "json", prefixes: dict[str, str] | None = None, limits: Limits = Limits()) -> str:
+    """Run a query and give the whole result as one text: SPARQL results JSON for SELECT and ASK, Turtle for graphs.
+
+    The result comes to the driver, so by default the tables that the query
+    reads may hold 500,000 triples and the result 10,000 rows.
+    """
+    low = Lowering(catalog, spark)
+    q, df, f = _run(low, text, prefixes)
+    if limits.max_triples is not None:
+        held = sum(_count_triples(t) for t in low.read.values())
+        if held > limits.max_triples:
+            raise TripleLimitExceeded(f"{held} triples, more than {limits.max_triples}")
+    df = _guarded(df, limits.max_rows)
+    if q.form == "ASK":
+        return json.dumps({"head": {}, "boolean": df.first()["answer"]})
+    if q.form == "SELECT":
+        rows = [json.loads(r["binding"]) for r in results_json(f).collect()]
+        return json.dumps({"head": {"vars": df.columns}, "results": {"bindings": rows}}, ensure_ascii=False)
+    if format not in ("turtle", "text/turtle"):
+        raise UnsupportedConstruct(f"graph format {format!r}")
+    return "".join(f"{r['s']} {r['p']} {r['o']} .\n" for r in df.collect())
+
+
+def _count_triples(table: ClassTable) -> int:
+    """Triples of a class: one for each object's class, one for each value of a slot."""
+    each = [F.count(s.column) if not s.many else F.sum(F.size(F.coalesce(s.column, F.array()))) for s in table.slots.values()]
+    return sum(int(x or 0) for x in table.df.agg(F.count("*"), *each).first())
 
 
 def _construct(f: Frame, template: list[A.Triple]) -> DataFrame:
@@ -662,13 +769,19 @@ def _describe(low: Lowering, q: A.Query) -> DataFrame:
     return wanted.select(ntriples_term(F.col("s"), F.lit(True), F.lit("")).alias("s"), F.concat(F.lit("<"), "p", F.lit(">")).alias("p"), ntriples_term(F.col("o"), F.col("is_iri"), F.col("datatype")).alias("o")).distinct()
 
 
-def results_json(catalog: Catalog, df: DataFrame) -> DataFrame:
-    """Rows of a SELECT as SPARQL-results bindings: a JSON object a row, unbound variables left out."""
-    cells = []
-    for f in df.schema.fields:
-        kind, datatype = kind_of(f.dataType)
-        cells.append(F.when(F.col(f.name).isNotNull(), F.struct(F.lit("literal").alias("type"), F.col(f.name).cast("string").alias("value"), F.lit(None if datatype == A.XSD + "string" else datatype).cast("string").alias("datatype"))).alias(f.name))
-    return df.select(F.to_json(F.struct(*cells)).alias("binding"))
+def results_json(f: Frame) -> DataFrame:
+    """Solutions as SPARQL-results bindings (column ``binding``): a JSON object a row, unbound variables left out."""
+    c, cells = Compiler(f), []
+    for name in f.df.columns:
+        x = f.typed(name)
+        term = term_struct(c.text(x), F.lit(x.kind == "iri"), F.lit(x.datatype if x.kind != "iri" else ""), F.lit(x.lang))
+        cells.append(F.when(F.col(name).isNotNull(), term).alias(name))
+    return f.df.select(F.to_json(F.struct(*cells)).alias("binding"))
+
+
+def ask_json(answer: DataFrame) -> DataFrame:
+    """An ASK's answer in the same format (column ``result``)."""
+    return answer.select(F.concat(F.lit('{"head":{},"boolean":'), F.col("answer").cast("string"), F.lit("}")).alias("result"))
 
 
 def export_ntriples(catalog: Catalog, table: ClassTable) -> DataFrame:
@@ -680,24 +793,49 @@ def export_ntriples(catalog: Catalog, table: ClassTable) -> DataFrame:
 _NT = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*$'
 
 
-def import_ntriples(lines: DataFrame) -> DataFrame:
-    """(s, p, o, is_iri, datatype, lang) from lines (column ``value``); blank lines and comments are skipped."""
+_PIECE = r"\\U[0-9A-Fa-f]{8}|\\u[0-9A-Fa-f]{4}|\\.|[^\\]+"
+
+
+def _unescaped(text: Column) -> Column:
+    """A literal's text with its escapes (\\n, \\u00e9, \\U0001F600) replaced."""
+
+    def one(piece: Column) -> Column:
+        code = F.decode(F.unhex(F.lpad(F.substring(piece, 3, 8), 8, "0")), "UTF-32")
+        short = F.translate(F.substring(piece, 2, 1), "tnrbf", "\t\n\r\b\f")
+        return F.when(piece.rlike(r"^\\[uU][0-9A-Fa-f]"), code).when(F.startswith(piece, F.lit("\\")), short).otherwise(piece)
+
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECE), 0), one), "")).otherwise(text)
+
+
+def import_ntriples(lines: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    """(s, p, o, is_iri, datatype, lang) from lines (column ``value``); blank lines and comments are skipped.
+
+    A line that does not parse fails the job (FAILFAST), is left out
+    (DROPMALFORMED), or comes with NULLs and its text in ``_corrupt_record``
+    (PERMISSIVE).
+    """
+    if mode not in ("FAILFAST", "DROPMALFORMED", "PERMISSIVE"):
+        raise ValueError(f"mode {mode!r}")
     text = F.col("value")
-    parts = lines.where(~text.rlike(r"^\s*(#.*)?$")).select(*[F.regexp_extract(text, _NT, i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "t"))])
-    body = F.regexp_extract("t", r'(?s)^"((?:[^"\\]|\\.)*)"', 1)
-    for a, b in reversed(_ESCAPE[1:]):
-        body = F.replace(body, F.lit(b), F.lit(a))
-    body = F.replace(body, F.lit("\\\\"), F.lit("\\"))
+    good = text.rlike(_NT)
+    found = lines.where(~text.rlike(r"^\s*(#.*)?$"))
+    if mode == "DROPMALFORMED":
+        found = found.where(good)
+    bad = F.raise_error(F.concat(F.lit("not a triple: "), text)) if mode == "FAILFAST" else F.lit(None).cast("string")
+    part = lambda i: F.when(good, F.regexp_extract(text, _NT, i)).otherwise(bad)
+    parts = found.select(part(1).alias("s"), part(2).alias("p"), part(3).alias("t"), F.when(~good, text).alias("_corrupt_record"))
+    body = _unescaped(F.regexp_extract("t", r'(?s)^"((?:[^"\\]|\\.)*)"', 1))
     is_iri = ~F.startswith("t", F.lit('"'))
     datatype = F.regexp_extract("t", r"\^\^<([^>]*)>$", 1)
     lang = F.regexp_extract("t", r'"@([A-Za-z0-9-]+)$', 1)
-    return parts.select(
-        F.regexp_replace("s", "^<|>$", "").alias("s"),
-        "p",
-        F.when(is_iri, F.regexp_replace("t", "^<|>$", "")).otherwise(body).alias("o"),
+    whole = F.col("t").isNotNull()
+    out = parts.select(
+        _unescaped(F.regexp_replace("s", "^<|>$", "")).alias("s"),
+        _unescaped(F.col("p")).alias("p"),
+        F.when(is_iri, _unescaped(F.regexp_replace("t", "^<|>$", ""))).when(whole, body).alias("o"),
         is_iri.alias("is_iri"),
-        F.when(is_iri, F.lit("")).when(datatype != "", datatype).when(lang != "", F.lit(A.RDF + "langString")).otherwise(F.lit(A.XSD + "string")).alias("datatype"),
+        F.when(is_iri, F.lit("")).when(datatype != "", datatype).when(lang != "", F.lit(A.RDF + "langString")).when(whole, F.lit(A.XSD + "string")).alias("datatype"),
         lang.alias("lang"),
+        "_corrupt_record",
     )
-
-
+    return out if mode == "PERMISSIVE" else out.drop("_corrupt_record")

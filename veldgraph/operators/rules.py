@@ -191,3 +191,27 @@ def cross_reference_violations(df: DataFrame, shape: Shape, keep: list[str], ref
     other = referenced.select(F.col(key).alias("_key"), F.col(path_name(tail)).alias("_tail"))
     joined = df.join(other, F.col(path_name(head)) == F.col("_key"), "left")
     return joined.where(~F.col(path_name(own)).eqNullSafe(F.col("_tail"))).select(*keep, F.lit(shape.uri).alias("shape"), F.lit(shape.message).alias("message"), F.lit(shape.level).alias("enforcement_level"))
+
+
+def sparql_violations(spark, catalog, shapes: list[Shape], prefixes: dict[str, str] | None = None) -> DataFrame:
+    """Violations of query rules (``sh:sparql``): the rule's SELECT runs over the catalog, each solution's ``$this`` breaks the rule.
+
+    Gives this (the object's IRI) and the columns of ``violations``; the fields
+    are the solutions' ``?path`` values.
+    """
+    from ..functions.expressions import Compiler
+    from .lower import solutions
+
+    made = []
+    for s in shapes:
+        if not s.select:
+            continue
+        f = solutions(spark, catalog, s.select, prefixes)
+        c = Compiler(f)
+        this = c.text(f.typed("this"))
+        path = F.element_at(F.split(c.text(f.typed("path")), "[/#:]"), -1) if "path" in f.info else F.lit(None).cast("string")
+        rows = f.df.select(this.alias("this"), path.alias("path")).groupBy("this").agg(F.array_sort(F.collect_set("path")).alias("fields"))
+        made.append(rows.select("this", F.lit(s.uri).alias("shape"), "fields", F.lit(s.message).alias("message"), F.lit(s.level).alias("enforcement_level"), F.lit(s.level in BLOCKING).alias("is_blocking")))
+    if not made:
+        return spark.createDataFrame([], "this string, shape string, fields array<string>, message string, enforcement_level string, is_blocking boolean")
+    return reduce(DataFrame.unionByName, made)

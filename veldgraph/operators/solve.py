@@ -339,3 +339,9 @@ def peers(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     return a.join(b, attributes).where(F.col(key) != F.col("peer")).select(key, "peer")
 
 
+def scope_peers(df: DataFrame, shapes: list[Shape], key: str) -> DataFrame:
+    """(key, peer) of all query rules together: for each rule the rows that agree in its shared attributes; a pair counts once."""
+    found = [attributes for s in shapes if s.select and (attributes := shared_attributes(s.select))]
+    if not found:
+        return df.select(F.col(key), F.col(key).alias("peer")).limit(0)
+    return reduce(DataFrame.union, [peers(df, key, attributes) for attributes in found]).distinct()

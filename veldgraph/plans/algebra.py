@@ -57,6 +57,14 @@ class Repeat:
     many: bool
 
 
+@dataclass(frozen=True)
+class Negated:
+    """``!(p|^q)``: predicates that are left out, forwards and backwards; None for a direction that is not asked for."""
+
+    forward: tuple | None
+    backward: tuple | None
+
+
 @dataclass(frozen=True)
 class Triple:
     s: Term

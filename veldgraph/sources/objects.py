@@ -77,6 +77,44 @@ def term_struct(value: Column, is_iri: Column, datatype: Column, lang: Column) -
     return F.struct(kind.alias("type"), text.alias("value"), F.when(lang != "", lang).alias("xml:lang"), F.when(~plain, datatype).alias("datatype"))
 
 
+def keys(value) -> list[str]:
+    """The keys of an object or mapping, in order; none of anything else."""
+    return list(value) if isinstance(value, dict) else []
+
+
+def values(value) -> list:
+    """The members of an object, mapping or list; none of a scalar."""
+    return list(value.values()) if isinstance(value, dict) else list(value) if isinstance(value, list) else []
+
+
+def length(value) -> int:
+    """Members of an object, mapping or list; 0 for a scalar or null."""
+    return len(value) if isinstance(value, dict | list) else 0
+
+
+def get(value, key: str):
+    return value.get(key) if isinstance(value, dict) else None
+
+
+def at(value, index: int):
+    return value[index] if isinstance(value, list) and 0 <= index < len(value) else None
+
+
+def node_columns(json_column: Column) -> dict[str, Column]:
+    """The same for a column of JSON text: keys, values (JSON texts) and length."""
+    v = F.try_parse_json(json_column)
+    is_list = F.startswith(F.schema_of_variant(v), F.lit("ARRAY"))
+    members = F.when(is_list, v.try_cast("array<variant>"))
+    pairs = v.try_cast("map<string,variant>")
+    texts = F.coalesce(F.transform(members, lambda x: F.to_json(x)), F.transform(F.map_values(pairs), lambda x: F.to_json(x)), F.array().cast("array<string>"))
+    return {"keys": F.coalesce(F.map_keys(pairs), F.array().cast("array<string>")), "values": texts, "length": F.size(texts)}
+
+
+def sum_as_string(a: Column, b: Column) -> Column:
+    """The sum of two whole numbers as text."""
+    return (a.cast("long") + b.cast("long")).cast("string")
+
+
 def pretty(value, indent: str = "") -> str:
     """An object as an indented tree."""
     if isinstance(value, dict):
