@@ -49,7 +49,7 @@ PLACES = frozenset(
 PARTICLES = ("van", "von", "de", "der", "den", "da", "di", "del", "la", "le", "bin", "ibn", "al", "el", "ten", "zu")
 #: What comes before a name of two words or more: phrases, and labels with a colon or a line's end.
 PHRASES = ("my name is", "mein name ist", "ich heiße", "je m'appelle", "mon nom est", "me llamo", "mi nombre es")
-LABELS = ("name", "full name", "author", "contact", "patient", "customer", "employee", "from", "signed", "autor", "auteur", "nombre", "kontakt", "sincerely", "regards", "dear")
+LABELS = ("name", "full name", "author", "contact", "patient", "customer", "employee", "from", "signed", "autor", "auteur", "nombre", "kontakt", "sincerely", "regards")
 
 _UPPER = "".join(chr(c) for c in range(0x41, 0x530) if chr(c).isupper())
 _LOWER = "".join(chr(c) for c in range(0x61, 0x530) if chr(c).islower())
@@ -57,10 +57,14 @@ _NAME = rf"[{_UPPER}](?:[{_LOWER}]+|[{_UPPER}]+)?(?:['’-][{_UPPER}]?[{_LOWER}{
 _GAP = rf"(?:[ \t]+(?:(?:{'|'.join(PARTICLES)})[ \t]+)*)"
 _RUN = rf"{_NAME}(?:{_GAP}{_NAME})*"
 _EDGE = rf"(?<![\w'’-])"
-_TITLED = re.compile(rf"{_EDGE}(?:{'|'.join((*FEMALE_TITLES, *MALE_TITLES, *TITLES))})\.?[ \t]+(?P<name>{_NAME}(?:{_GAP}{_NAME}){{0,2}})(?!\w)")
+# These begin with what is rare, not with a look behind; ``_begins`` checks that no word is cut.
+_TITLED = re.compile(rf"(?:{'|'.join((*FEMALE_TITLES, *MALE_TITLES, *TITLES))})\.?[ \t]+(?P<name>{_NAME}(?:{_GAP}{_NAME}){{0,2}})(?!\w)")
 _CUED = re.compile(rf"(?i:\b(?:{'|'.join(PHRASES)})[ \t]+|(?:^|(?<=[\s(\[]))(?:{'|'.join(LABELS)})[ \t]*[:,][ \t]*\n?[ \t]*)(?P<name>{_NAME}(?:{_GAP}{_NAME}){{1,2}})(?!\w)", re.M)
-_ADDRESSED = re.compile(rf"{_EDGE}(?P<name>{_NAME}(?:{_GAP}{_NAME}){{1,2}})[ \t]*<(?=[\w.+-]+@)")
-_RUNS = re.compile(rf"{_EDGE}{_NAME}(?:{_GAP}{_NAME})+(?!\w)")
+#: Without this, or a phrase or closing in lower case, nothing of _CUED is there.
+_LABEL = re.compile(rf":[ \t]*\n?[ \t]*[{_UPPER}]")
+_CLOSINGS = (*PHRASES, "sincerely", "regards")
+_ADDRESSED = re.compile(rf"(?P<name>{_NAME}(?:{_GAP}{_NAME}){{1,2}})[ \t]*<(?=[\w.+-]+@)")
+_RUNS = re.compile(rf"{_NAME}(?:{_GAP}{_NAME})+(?!\w)")
 _TOKEN = re.compile(rf"{_NAME}")
 
 
@@ -85,8 +89,9 @@ def _pattern(card_digits: int) -> re.Pattern:
 
 
 PATTERN = _pattern(19)
-#: Where this does not occur, nothing of PATTERN can.
-_HINT = re.compile("[0-9@]|AKIA|ASIA|(?i:password|passwd|pwd|token|secret|api_?key)")
+#: Where none of these occurs, nothing of PATTERN can.
+_DIGIT = re.compile("[0-9@]")
+_HINTS = ("akia", "asia", "password", "passwd", "pwd", "token", "secret", "apikey", "api_key")
 KINDS = ("email", "cloud_key", "secret", "ip", "iban", "ssn", "card", "phone", "person")
 
 _CONSONANTS, _VOWELS = "bcdfghjklmnpqrstvwxz", "aeiouy"
@@ -276,10 +281,22 @@ def is_card(text: str) -> bool:
     return digits[0] in "23456" and luhn_valid(digits)
 
 
-def _people(text: str) -> list[tuple[int, int]]:
-    """Spans of names, titles left out."""
-    spans = [m.span("name") for pattern in (_TITLED, _CUED, _ADDRESSED) for m in pattern.finditer(text) if not PLACES.intersection(m["name"].lower().split())]
+def _begins(text: str, at: int) -> bool:
+    """Whether a word may begin at a place."""
+    return not at or not (text[at - 1].isalnum() or text[at - 1] in "_'’-")
+
+
+def _people(text: str, low: str) -> list[tuple[int, int]]:
+    """Spans of names, titles left out; ``low`` is the text in lower case."""
+    patterns = [_TITLED]
+    if _LABEL.search(text) or any(x in low for x in _CLOSINGS):
+        patterns.append(_CUED)
+    if "<" in text and "@" in text:
+        patterns.append(_ADDRESSED)
+    spans = [m.span("name") for pattern in patterns for m in pattern.finditer(text) if _begins(text, m.start()) and not PLACES.intersection(m["name"].lower().split())]
     for m in _RUNS.finditer(text):
+        if not _begins(text, m.start()):
+            continue
         words = list(_TOKEN.finditer(m[0]))
         i = 0
         while i < len(words) - 1:
@@ -307,7 +324,8 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     if not text:
         return []
     out: list[tuple[int, int, str, str]] = []
-    at = 0 if _HINT.search(text) else len(text)
+    low = text.lower()
+    at = 0 if _DIGIT.search(text) or any(x in low for x in _HINTS) else len(text)
     while m := PATTERN.search(text, at):
         at = m.start() + 1
         while m and m["card"] and not is_card(m[0]):  # fewer digits may be a card, or another kind begins there
@@ -321,7 +339,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         out.append((m.start(), m.end(), m.lastgroup, m[0]))
     taken = list(out)
     i = 0
-    for a, b in _people(text):
+    for a, b in _people(text, low):
         while i < len(taken) and taken[i][1] <= a:
             i += 1
         if i == len(taken) or taken[i][0] >= b:
