@@ -465,6 +465,39 @@ def test_each_pair_of_a_bucket_is_settled(spark):
     assert got == {i: find(i) for i in root}
 
 
+def test_recall_against_all_pairs(spark):
+    """On 1,000 documents: of all pairs of different texts with a 5-word similarity of 0.8, how many are in one class."""
+    docs = [(r.doc_id, near_dedup.words_of(r.text)) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in docs}
+    words = dict(docs)
+    holders = defaultdict(list)
+    for i, s in shingles.items():
+        for x in s:
+            holders[x].append(i)
+    shared = Counter((i, j) for group in holders.values() for a, i in enumerate(group) for j in group[a + 1 :])
+    pairs = [(i, j) for (i, j), n in shared.items() if words[i] != words[j] and n >= 0.8 * len(shingles[i] | shingles[j])]
+    of = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    found = sum(of[i] == of[j] for i, j in pairs)
+    assert len(pairs) > 30 and found >= 0.98 * len(pairs), (found, len(pairs))
+
+
+def test_very_long_texts(spark):
+    """Each operator takes a text of a million words whole."""
+    rng = random.Random(2)
+    w = [rng.choice(VOCAB) + str(rng.randrange(500)) for _ in range(10**6)]
+    other = list(w)
+    for k in range(0, len(w), 5000):
+        other[k] = "edited"
+    docs = frame(spark, [(1, " ".join(w)), (2, " ".join(other)), (3, "short")])
+    assert [r.class_id for r in near_dedup.near_classes(docs).orderBy("doc_id").collect()] == [1, 1, 3]
+    assert [r["size"] for r in mixing.mix(docs).taken().orderBy("doc_id").collect()] == [10**6, 10**6, 1]
+    assert exact_dedup.exact_groups(docs).where("kept").count() == 3 and sharding.shards(docs, 1000).count() == 3
+    removed = {r.doc_id: r.n_removed / r.n_bytes for r in suffix_dedup.repeated_passages(docs).collect()}
+    assert removed[1] == removed[3] == 0 and removed[2] > 0.9
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    assert quality.quality_scores(docs, labels).count() == 3
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
