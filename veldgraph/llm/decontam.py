@@ -31,7 +31,7 @@ _FOLD = bytes(b if b >= 0x80 or chr(b).isdigit() else b | 0x20 if chr(b).isalpha
 
 def words(text: str | None) -> list[bytes]:
     """The lower-cased words of a text; null has none."""
-    return [w for w in (text or "").encode().translate(_FOLD).split(b" ") if w]
+    return (text or "").encode().translate(_FOLD).split()
 
 
 @dataclass
@@ -77,44 +77,48 @@ class Scanner:
                 key = tuple(items.flat[first + at : first + (n if whole else at + self.block)].tolist())
                 owners.setdefault(key, []).append((first + at + self.beside, i, whole))
         self.owners = [(len(key), np.array([x[0] for x in own]), np.array([x[1] for x in own]), np.array([x[2] for x in own])) for key, own in owners.items()]
-        self.automaton = None
+        self.automaton, self.stretch = None, None
         if owners:
             self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
             for number, key in enumerate(owners):
                 self.automaton.add_word(key, number)
             self.automaton.make_automaton()
+            # words of the benchmark in a row, as many as the shortest pattern has
+            self.stretch = re.compile(b"\x01{%d,}" % min(map(len, owners)))
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set, bool]:
         """Number of words, runs [first, last) of hit words, ids of the items hit, whether a window of full size is hit."""
         found = words(text)
         if self.automaton is None or not found:
             return len(found), [], set(), False
-        get = self.items.numbers.get
-        own = tuple(get(w, 0) for w in found)
-        hit, items, full, padded = None, set(), False, None
-        for end, number in self.automaton.iter(own):
-            if padded is None:
-                hit = np.zeros(len(own), bool)
-                padded = np.concatenate((np.full(self.beside, -2, np.int32), np.array(own, np.int32), np.full(self.beside, -2, np.int32)))
-            n, places, of, whole = self.owners[number]
-            start = end - n + 1
-            if whole.any():
-                hit[start : end + 1] = True
-                items.update(self.items.ids[i] for i in of[whole])
-                full |= n >= self.size
-            if not whole.all():
-                places, of = places[~whole], of[~whole]
-                steps = np.arange(1, self.beside + 1)
-                left = self.flat[places[:, None] - steps] == padded[start + self.beside - steps]
-                right = self.flat[places[:, None] + n - 1 + steps] == padded[end + self.beside + steps]
-                before, after = (np.minimum.accumulate(x, axis=1).sum(axis=1) for x in (left, right))
-                for i in np.flatnonzero(before + n + after >= self.size):
-                    hit[start - before[i] : end + after[i] + 1] = True
-                    items.add(self.items.ids[of[i]])
-                    full = True
+        numbers = self.items.numbers
+        hit, items, full = None, set(), False
+        # The automaton would fall back to its root at any word that the benchmark lacks: it is run between them.
+        for m in self.stretch.finditer(bytes(map(numbers.__contains__, found))):
+            own, padded = tuple(map(numbers.__getitem__, found[m.start() : m.end()])), None
+            for end, number in self.automaton.iter(own):
+                if padded is None:
+                    hit = np.zeros(len(found), bool) if hit is None else hit
+                    here = hit[m.start() : m.end()]
+                    padded = np.concatenate((np.full(self.beside, -2, np.int32), np.array(own, np.int32), np.full(self.beside, -2, np.int32)))
+                n, places, of, whole = self.owners[number]
+                start = end - n + 1
+                if whole.any():
+                    here[start : end + 1] = True
+                    items.update(self.items.ids[i] for i in of[whole])
+                if not whole.all():
+                    places, of = places[~whole], of[~whole]
+                    steps = np.arange(1, self.beside + 1)
+                    left = self.flat[places[:, None] - steps] == padded[start + self.beside - steps]
+                    right = self.flat[places[:, None] + n - 1 + steps] == padded[end + self.beside + steps]
+                    before, after = (np.minimum.accumulate(x, axis=1).sum(axis=1) for x in (left, right))
+                    for i in np.flatnonzero(before + n + after >= self.size):
+                        here[start - before[i] : end + after[i] + 1] = True
+                        items.add(self.items.ids[of[i]])
+                        full = True
         if hit is None:
-            return len(own), [], set(), False
-        return len(own), _runs(hit), items - {None}, full
+            return len(found), [], set(), False
+        return len(found), _runs(hit), items - {None}, full
 
 
 def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
