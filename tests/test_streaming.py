@@ -28,4 +28,12 @@ def test_running_history(spark, tmp_path):
     spark.createDataFrame([(o, s, json.dumps(v)) for o, s, v in stages], "object long, seq long, value string").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("object long, seq long, value string").parquet(str(tmp_path / "in"))
     got = run(live.running_history(stream), "deltas")
-    assert sorted((r.object, r.seq, r.path, r.op, r.new) for r in got) == [(1, 2, ["a"], "update", "2"), (1, 3, ["b"], "add", "1")]
+    assert sorted((r.object, r.seq, r.path, r.op, r.new) for r in got) == [(1, 2, [], "late", '{"a": 9}'), (1, 2, ["a"], "update", "2"), (1, 3, ["b"], "add", "1")]
+
+
+def test_running_history_with_rejected_paths(spark, tmp_path):
+    stages = [(1, 1, {"a": 1, "b": 1}, None), (1, 2, {"a": 2, "b": 2}, [["a"]]), (1, 3, {"a": 2}, [])]
+    spark.createDataFrame([(o, s, json.dumps(v), r) for o, s, v, r in stages], "object long, seq long, value string, rejected array<array<string>>").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("object long, seq long, value string, rejected array<array<string>>").parquet(str(tmp_path / "in"))
+    got = run(live.running_history(stream), "partly")
+    assert sorted((r.seq, r.path, r.old, r.new) for r in got) == [(2, ["b"], "1", "2"), (3, ["a"], "1", "2")]

@@ -284,11 +284,12 @@ def load_json(spark, path: str, view: SchemaView, class_name: str):
 
 
 def load_yaml(spark, text: str, view: SchemaView, class_name: str):
-    """Objects of a class from a YAML document (an object or a list of them)."""
+    """Objects of a class from a YAML document (an object or a list of them); what does not fit goes to ``_corrupt_record``."""
     import json
 
     data = yaml.safe_load(text)
     rows = [(json.dumps(x, default=str),) for x in (data if isinstance(data, list) else [data])]
     from pyspark.sql import functions as F
 
-    return spark.createDataFrame(rows, "j string").select(F.from_json("j", view.spark_type(class_name)).alias("v")).select("v.*")
+    schema = view.spark_type(class_name).add("_corrupt_record", T.StringType())
+    return spark.createDataFrame(rows, "j string").select(F.from_json("j", schema, {"mode": "PERMISSIVE"}).alias("v")).select("v.*")

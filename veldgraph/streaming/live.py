@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.history import Stage, diff, patch
+from ..operators.history import diff, patch
 from ..operators.rules import violations
 from ..plans.rules import Shape
 
@@ -34,26 +34,34 @@ _OUT = "object long, seq long, path array<string>, op string, old string, new st
 def running_history(stream: DataFrame) -> DataFrame:
     """Deltas against each object's running value, which is kept as state.
 
-    ``stream``: object long, seq long, value JSON string. Within a batch stages
-    of an object go by seq; a stage that is older than the last one seen is
-    dropped.
+    ``stream``: object long, seq long, value JSON string, and, if stages may be
+    rejected in part, rejected array<array<string>> (paths whose deltas are
+    dropped). Within a batch stages of an object go by seq. A stage that is not
+    newer than the last one seen changes nothing and comes out as a row with the
+    op ``late`` (its value as ``new``); a delta that can't be applied as one
+    with the op ``failed``.
     """
+    partly = "rejected" in stream.columns
 
     def fold(key, batches, state):
         seq, value = state.get if state.exists else (None, None)
         running = json.loads(value) if value is not None else None
         rows = []
         frames = list(batches)
-        for s, text in pd.concat(frames)[["seq", "value"]].sort_values("seq", kind="stable").itertuples(index=False) if frames else ():
+        whole = pd.concat(frames).sort_values("seq", kind="stable") if frames else pd.DataFrame({"seq": [], "value": [], "rejected": []})
+        for s, text, rejected in zip(whole["seq"], whole["value"], whole["rejected"] if partly else [None] * len(whole)):
             if seq is not None and s <= seq:
+                rows.append((key[0], int(s), [], "late", None, text))
                 continue
-            stage = Stage({"seq": int(s)}, json.loads(text))
+            stage = json.loads(text)
             if seq is None:
-                running = stage.value
+                running = stage
             else:
-                deltas = diff(running, stage.value, False, False)
-                running, _ = patch(running, deltas)
-                rows += [(key[0], int(s), list(d.path), d.op, json.dumps(d.old), json.dumps(d.new)) for d in deltas]
+                dropped = {tuple(p) for p in (rejected if rejected is not None else [])}
+                deltas = [d for d in diff(running, stage, False, False) if d.path not in dropped]
+                running, trace = patch(running, deltas)
+                lost = set(trace.failed)
+                rows += [(key[0], int(s), list(d.path), "failed" if d.path in lost else d.op, json.dumps(d.old), json.dumps(d.new)) for d in deltas]
             seq = int(s)
         if seq is not None:
             state.update((seq, json.dumps(running)))
