@@ -1,10 +1,10 @@
 import pytest
 
 import __spark_entry__ as entry
-from veldgraph import graph_queries, history_queries, more_queries, rule_queries
+from veldgraph import graph_queries, history_queries, more_queries, rule_queries, stream_queries
 
-OWN = {**graph_queries.QUERIES, **rule_queries.QUERIES, **history_queries.QUERIES, **more_queries.QUERIES}
-SQL = {**graph_queries.SQL, **rule_queries.SQL, **history_queries.SQL, **more_queries.SQL}
+OWN = {**graph_queries.QUERIES, **rule_queries.QUERIES, **history_queries.QUERIES, **more_queries.QUERIES, **stream_queries.QUERIES}
+SQL = {**graph_queries.SQL, **rule_queries.SQL, **history_queries.SQL, **more_queries.SQL, **stream_queries.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(OWN))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
+from .errors import VeldgraphError
 from .functions.templates import Environment
 from .operators import history, rules, solve
 from .operators.lower import ask_json, export_ntriples, import_ntriples, query, results_json, solutions
@@ -13,8 +15,9 @@ from .operators.references import foreign_references
 from .plans.rules import local_name, parse_shapes
 from .plans.scope import scope
 from .rule_queries import COMBOS
+from .shared import shared_dir
 from .sources import objects
-from .sources.schema import SchemaView
+from .sources.schema import SchemaView, load_json, load_yaml
 from .sources.tables import NAMESPACE, catalog
 
 N = NAMESPACE
@@ -210,11 +213,102 @@ def history_tree(spark, sf_dir):
     return _rows(spark, [("/".join(p), m["change_id"], history.blame_info(p, blame) == m) for p, m in history.blame_paths(value, blame)], "path string, change_id long, found boolean")
 
 
+_SAILORS = [{"badge": "b1", "rank": "cook"}, {"badge": "b2"}]
+
+
+def created_instances(spark, sf_dir):
+    return objects.create_instances(spark, _view(), "Sailor", [*_SAILORS, {"badge": 7, "shoe": "left out"}])
+
+
+def yaml_instances(spark, sf_dir):
+    """Objects from YAML; what does not fit stands in its record."""
+    return load_yaml(spark, "- {code: OSL, depth: 7.5}\n- {code: CPH}\n- {code: X, depth: deep}", _view(), "Port").select("code", "depth", F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
+def json_instances(spark, sf_dir):
+    """Objects of a class from JSON lines in the shared folder."""
+    path = f"{shared_dir(spark)}/veldgraph/ports-{uuid.uuid4().hex}"
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    nation.select(F.to_json(F.struct(F.col("n_name").alias("code"), F.col("n_nationkey").cast("double").alias("depth"))).alias("value")).write.text(path)
+    return load_json(spark, path, _view(), "Port").select("code", "depth")
+
+
+def turtle_import(spark, sf_dir):
+    """A Turtle document as triples: lists, blank nodes, tags, types."""
+    text = '@prefix e: <http://e/> . e:a e:name "A"@en , "B" ; e:n 5 ; e:ok true ; e:to e:b . e:b a e:Thing ; e:d 1.5 .'
+    return objects.import_turtle(spark, text).select("s", "p", "o", "is_iri", F.regexp_extract("datatype", "[^#/]*$", 0).alias("kind"), "lang")
+
+
+def turtle_objects(spark, sf_dir):
+    """Triples turned to a row for each subject."""
+    rows = objects.objects_of(objects.import_turtle(spark, '@prefix e: <http://e/> . e:a e:t "y" , "x" . e:b e:t "z" ; e:u "w" .'), {"http://e/t": "t", "http://e/u": "u"})
+    return rows.select("uri", F.array_join("t", ",").alias("t"), F.array_join("u", ",").alias("u"))
+
+
+def error_kinds(spark, sf_dir):
+    """What each kind of bad query raises."""
+    rows = []
+    for text in ("INSERT DATA { <a> <b> <c> }", "SELECT ?x WHERE { ?x }", "ASK { GRAPH <g> { ?s ?p ?o } }", "ASK { SERVICE <g> { ?s ?p ?o } }", "SELECT ?x { ?x :name ?n }"):
+        try:
+            scope(text, catalog(spark, sf_dir))
+        except VeldgraphError as e:
+            rows.append((text, type(e).__name__))
+    return _rows(spark, rows, "query string, error string")
+
+
+def prefixes_given(spark, sf_dir):
+    return query(spark, catalog(spark, sf_dir), "SELECT ?n { ?r a v:Region ; v:name ?n }", {"v": N})
+
+
+def schema_snapshot(spark, sf_dir):
+    """A schema written as one text and read again."""
+    again = SchemaView.from_snapshot(_view().snapshot())
+    return _rows(spark, [(c, again.identifier(c) or "", len(again.slots(c))) for c in ("Vessel", "Ferry", "Port", "Sailor")], "class string, identifier string, slots int")
+
+
+def pretty_tree(spark, sf_dir):
+    return _rows(spark, list(enumerate(objects.pretty({"a": 1, "b": [True, {"c": "x"}], "d": {}}).split("\n"))), "i int, line string")
+
+
+def node_access(spark, sf_dir):
+    v = {"a": [1, 2], "b": {"c": None}}
+    return _rows(spark, [(",".join(objects.keys(v)), objects.length(v["a"]), objects.at(v["a"], 1), objects.at(v["a"], 2), objects.get(v, "x") is None, len(objects.values(v["b"])), history.navigate(v, ("a", "0")))], "keys string, n int, second int, third int, missing boolean, vals int, first int")
+
+
+def diff_deltas(spark, sf_dir):
+    """Deltas of one object: changed, new, nulled, list tails, map keys."""
+    found = history.diff({"a": 1, "m": {"k": 1}, "l": [1, 2], "z": 1}, {"a": 2, "m": {}, "l": [1], "n": "x"}, treat_missing_as_null=True, mappings=["m"])
+    return _rows(spark, [("/".join(d.path), d.op, json.dumps(d.old), json.dumps(d.new)) for d in found], "path string, op string, old string, new string")
+
+
+def patch_trace(spark, sf_dir):
+    value, t = history.patch({"a": {"b": 1}, "l": [1]}, [history.Delta(("a", "c"), "add", None, [2]), history.Delta(("l", "0"), "update", 1, 3), history.Delta(("x", "y"), "add", None, 1), history.Delta(("a", "b"), "remove", 1)])
+    rows = [(kind, "/".join(p)) for kind in ("added", "deleted", "updated", "failed") for p in getattr(t, kind)]
+    return _rows(spark, [*rows, ("value", json.dumps(value))], "kind string, path string")
+
+
+def blame_lines(spark, sf_dir):
+    meta = {"change_id": 4, "author": "ann", "timestamp": "t1", "source": "app", "ics_id": 9}
+    text = history.format_blame({"a": 1, "b": [2]}, {(): meta, ("b", "0"): meta})
+    return _rows(spark, [(i, x[:72].rstrip(), x[72:]) for i, x in enumerate(text.split("\n"))], "i int, who string, node string")
+
+
+def member_values(spark, sf_dir):
+    """What a member's field may be beside the other members, and a predicate through a reference."""
+    each = " ; ".join(f'sh:property [ sh:path e:pallets ; sh:qualifiedValueShape [ sh:path e:colour ; sh:hasValue "{c}" ] ; sh:qualifiedMaxCount 1 ]' for c in ("red", "green"))
+    head = "@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix e: <http://e/> . "
+    cs = solve.ConstraintSet.from_shacl(head + f'e:Load a sh:NodeShape ; sh:property [ sh:path ( e:pallets e:colour ) ; sh:in ( "red" "green" ) ] ; {each} .')
+    reach = solve.ConstraintSet.from_shacl(head + "e:Reach a sh:NodeShape ; sh:property [ sh:path ( e:track e:line ) ; sh:equals e:own ] .")
+    rows = [("|".join(have), ",".join(cs.solve_member({"pallets": [{"colour": c} for c in have]}, "pallets", "colour")["values"])) for have in ([], ["red"], ["red", "green"])]
+    return _rows(spark, [*rows, ("reference", json.dumps(reach.solve({"own": "L1"}, "track")["predicate"]))], "given string, allowed string")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         results_iris, ask_result, ntriples_corrupt, ntriples_escapes, shacl_sparql, scope_peers_batch, diff_keyed_lists, patch_round_trip, object_nodes, sum_text, template_column,
         schema_slots, schema_managed, schema_enums, tree_references, equality_rules, local_names, solver_predicates, rules_json, plan_view, history_tree,
+        created_instances, yaml_instances, json_instances, turtle_import, turtle_objects, error_kinds, prefixes_given, schema_snapshot, pretty_tree, node_access, diff_deltas, patch_trace, blame_lines, member_values,
     )
 }
 
@@ -245,4 +339,18 @@ UNION ALL SELECT * FROM (VALUES ('Ferry', 'cars', 'integer', 'Primitive', 'Singl
     "tree_references": "SELECT 0 AS i, 'OSL' AS uri, 'Port' AS object_type, 'home' AS slot_name",
     "plan_view": """SELECT * FROM (VALUES ('o', 'customer,status', '', '[{"field": "status", "operator": "eq", "values": ["F"]}]', NULL), ('c', 'name', 'segment', '[]', NULL)) v(star, required, optional, filters, row_limit)""",
     "history_tree": "SELECT * FROM (VALUES ('box', 2, true), ('box/a', 2, true), ('box/b', 1, true), ('box/b/1', 1, true), ('box/c', 2, true), ('k', 1, true)) v(path, change_id, found)",
+    "created_instances": "SELECT * FROM (VALUES ('b1', 'cook'), ('b2', NULL), ('7', NULL)) v(badge, rank)",
+    "yaml_instances": "SELECT code, depth::FLOAT AS depth, corrupt FROM (VALUES ('OSL', 7.5, false), ('CPH', NULL, false), ('X', NULL, true)) v(code, depth, corrupt)",
+    "json_instances": "SELECT n_name AS code, n_nationkey::FLOAT AS depth FROM nation",
+    "turtle_import": "SELECT * FROM (VALUES ('http://e/a', 'http://e/name', 'A', false, 'langString', 'en'), ('http://e/a', 'http://e/name', 'B', false, 'string', ''), ('http://e/a', 'http://e/n', '5', false, 'integer', ''), ('http://e/a', 'http://e/ok', 'true', false, 'boolean', ''), ('http://e/a', 'http://e/to', 'http://e/b', true, '', ''), ('http://e/b', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://e/Thing', true, '', ''), ('http://e/b', 'http://e/d', '1.5', false, 'decimal', '')) v(s, p, o, is_iri, kind, lang)",
+    "turtle_objects": "SELECT * FROM (VALUES ('http://e/a', 'x,y', ''), ('http://e/b', 'z', 'w')) v(uri, t, u)",
+    "error_kinds": "SELECT * FROM (VALUES ('INSERT DATA { <a> <b> <c> }', 'UpdateRejected'), ('SELECT ?x WHERE { ?x }', 'ParseError'), ('ASK { GRAPH <g> { ?s ?p ?o } }', 'UnsupportedConstruct'), ('ASK { SERVICE <g> { ?s ?p ?o } }', 'UnsupportedConstruct'), ('SELECT ?x { ?x :name ?n }', 'Unscoped')) v(query, error)",
+    "prefixes_given": "SELECT r_name AS n FROM region",
+    "schema_snapshot": "SELECT * FROM (VALUES ('Vessel', 'imo', 5), ('Ferry', 'imo', 6), ('Port', 'code', 2), ('Sailor', '', 2)) v(class, identifier, slots)",
+    "pretty_tree": "SELECT * FROM (VALUES (0, 'a: 1'), (1, 'b:'), (2, '  - true'), (3, '  -'), (4, '    c: x'), (5, 'd: {}')) v(i, line)",
+    "node_access": "SELECT 'a,b' AS keys, 2 AS n, 2 AS second, NULL::INTEGER AS third, true AS missing, 1 AS vals, 1 AS first",
+    "diff_deltas": """SELECT * FROM (VALUES ('a', 'update', '1', '2'), ('m/k', 'remove', '1', 'null'), ('l/1', 'remove', '2', 'null'), ('z', 'update', '1', 'null'), ('n', 'add', 'null', '"x"')) v(path, op, old, new)""",
+    "patch_trace": """SELECT * FROM (VALUES ('added', 'a/c'), ('added', 'a/c/0'), ('updated', 'a'), ('updated', 'l/0'), ('failed', 'x/y'), ('deleted', 'a/b'), ('updated', 'a'), ('value', '{"a": {"c": [2]}, "l": [3]}')) v(kind, path)""",
+    "blame_lines": "SELECT * FROM (VALUES (0, 'cid=  4 author=ann ts=t1 src=app ics=9', ' .'), (1, '', '   a: 1'), (2, '', '   b:'), (3, 'cid=  4 author=ann ts=t1 src=app ics=9', '     0: 2')) v(i, who, node)",
+    "member_values": """SELECT * FROM (VALUES ('', 'red,green'), ('red', 'green'), ('red|green', ''), ('reference', '{"fieldId": "line", "predicateTypeId": "equals", "value": "L1"}')) v(given, allowed)""",
 }
