@@ -328,19 +328,30 @@ def fold_history(stages: DataFrame, object_type: str = "long") -> DataFrame:
     """Deltas of every object from (object, seq, value JSON, rejected array<array<string>>), stages in order of seq.
 
     The fold is sequential by nature (each diff is against the running value):
-    one object's stages meet in one task, objects spread over all.
+    objects spread over tasks, and a task goes through its objects' stages as
+    they come, sorted, and holds one running value.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        rows = []
-        todo = [Stage({"seq": int(s)}, json.loads(v), [], [tuple(p) for p in (r if r is not None else [])]) for s, v, r in zip(pdf["seq"], pdf["value"], pdf["rejected"])]
-        for s in compute_history(todo)[1][1:]:
-            for d in s.deltas:
-                rows.append((pdf["object"].iloc[0], s.meta["seq"], list(d.path), d.op, json.dumps(d.old), json.dumps(d.new)))
-        return pd.DataFrame(rows, columns=["object", "seq", "path", "op", "old", "new"])
-
-    return stages.select("object", "seq", "value", "rejected").groupBy("object").applyInPandas(fold, _DELTAS.format(type=object_type))
+    def fold(frames):
+        current, running = _MISSING, None
+        for pdf in frames:
+            rows = []
+            for o, s, v, r in zip(pdf["object"], pdf["seq"], pdf["value"], pdf["rejected"]):
+                stage = json.loads(v)
+                if current is _MISSING or o != current:
+                    current, running = o, stage
+                    continue
+                dropped = {tuple(p) for p in r} if r is not None and len(r) else ()
+                deltas = [d for d in diff(running, stage, False, False) if d.path not in dropped]
+                rows += [(o, s, list(d.path), d.op, json.dumps(d.old), json.dumps(d.new)) for d in deltas]
+                trace = Trace()
+                running = _applied(running, deltas, trace)
+                if trace.failed:
+                    raise VeldgraphError(f"paths that can't be patched: {trace.failed}")
+            yield pd.DataFrame(rows, columns=["object", "seq", "path", "op", "old", "new"])
+
+    ordered = stages.select("object", "seq", "value", "rejected").where("object is not null").repartition("object").sortWithinPartitions("object", "seq")
+    return ordered.mapInPandas(fold, _DELTAS.format(type=object_type))
 
 
 def flat_history(stages: DataFrame, fields: list[str], rejected: str | None = None) -> DataFrame:
