@@ -339,6 +339,6 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, with the smallest doc_id of their class; rows without one stay."""
-    dropped = stash(near_classes(docs, similarity).where("doc_id <> class_id").select(F.col("doc_id").alias("_dropped")), "dropped")
-    few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    dropped = stash(near_classes(docs, similarity).where("doc_id <> class_id").select("doc_id"), "dropped")
+    gone = F.broadcast(dropped) if dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else dropped
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
