@@ -239,6 +239,15 @@ def turtle_import(spark, sf_dir):
     return objects.import_turtle(spark, text).select("s", "p", "o", "is_iri", F.regexp_extract("datatype", "[^#/]*$", 0).alias("kind"), "lang")
 
 
+def turtle_files(spark, sf_dir):
+    """Regions written as Turtle files and read again, beside a file that does not parse."""
+    path = f"{shared_dir(spark)}/veldgraph/turtle-{uuid.uuid4().hex}"
+    c = catalog(spark, sf_dir)
+    objects.object_turtle(c, c.classes["Region"]).select("turtle").write.text(path)
+    spark.createDataFrame([("<a> <b> oops",)], "turtle string").write.mode("append").text(path)
+    return objects.import_turtle_files(spark, path, strict=False).select("s", "p", "o")
+
+
 def turtle_objects(spark, sf_dir):
     """Triples turned to a row for each subject."""
     rows = objects.objects_of(objects.import_turtle(spark, '@prefix e: <http://e/> . e:a e:t "y" , "x" . e:b e:t "z" ; e:u "w" .'), {"http://e/t": "t", "http://e/u": "u"})
@@ -308,7 +317,7 @@ QUERIES = {
     for f in (
         results_iris, ask_result, ntriples_corrupt, ntriples_escapes, shacl_sparql, scope_peers_batch, diff_keyed_lists, patch_round_trip, object_nodes, sum_text, template_column,
         schema_slots, schema_managed, schema_enums, tree_references, equality_rules, local_names, solver_predicates, rules_json, plan_view, history_tree,
-        created_instances, yaml_instances, json_instances, turtle_import, turtle_objects, error_kinds, prefixes_given, schema_snapshot, pretty_tree, node_access, diff_deltas, patch_trace, blame_lines, member_values,
+        created_instances, yaml_instances, json_instances, turtle_import, turtle_files, turtle_objects, error_kinds, prefixes_given, schema_snapshot, pretty_tree, node_access, diff_deltas, patch_trace, blame_lines, member_values,
     )
 }
 
@@ -343,6 +352,7 @@ UNION ALL SELECT * FROM (VALUES ('Ferry', 'cars', 'integer', 'Primitive', 'Singl
     "yaml_instances": "SELECT code, depth::FLOAT AS depth, corrupt FROM (VALUES ('OSL', 7.5, false), ('CPH', NULL, false), ('X', NULL, true)) v(code, depth, corrupt)",
     "json_instances": "SELECT n_name AS code, n_nationkey::FLOAT AS depth FROM nation",
     "turtle_import": "SELECT * FROM (VALUES ('http://e/a', 'http://e/name', 'A', false, 'langString', 'en'), ('http://e/a', 'http://e/name', 'B', false, 'string', ''), ('http://e/a', 'http://e/n', '5', false, 'integer', ''), ('http://e/a', 'http://e/ok', 'true', false, 'boolean', ''), ('http://e/a', 'http://e/to', 'http://e/b', true, '', ''), ('http://e/b', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://e/Thing', true, '', ''), ('http://e/b', 'http://e/d', '1.5', false, 'decimal', '')) v(s, p, o, is_iri, kind, lang)",
+    "turtle_files": f"SELECT '{N}Region/' || r_regionkey AS s, '{N}name' AS p, r_name AS o FROM region UNION ALL SELECT '{N}Region/' || r_regionkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '{N}Region' FROM region",
     "turtle_objects": "SELECT * FROM (VALUES ('http://e/a', 'x,y', ''), ('http://e/b', 'z', 'w')) v(uri, t, u)",
     "error_kinds": "SELECT * FROM (VALUES ('INSERT DATA { <a> <b> <c> }', 'UpdateRejected'), ('SELECT ?x WHERE { ?x }', 'ParseError'), ('ASK { GRAPH <g> { ?s ?p ?o } }', 'UnsupportedConstruct'), ('ASK { SERVICE <g> { ?s ?p ?o } }', 'UnsupportedConstruct'), ('SELECT ?x { ?x :name ?n }', 'Unscoped')) v(query, error)",
     "prefixes_given": "SELECT r_name AS n FROM region",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,20 +27,46 @@ def create_instances(spark: SparkSession, view: SchemaView, class_name: str, obj
     return spark.createDataFrame(rows, "j string").select(F.from_json("j", view.spark_type(name), {"mode": "PERMISSIVE"}).alias("v")).select("v.*")
 
 
-def import_turtle(spark: SparkSession, text: str, max_triples: int | None = None) -> DataFrame:
-    """A Turtle document that fits the driver, as triples; blank nodes are named ``_:b<n>``."""
+def _triples_of(text: str, blanks: str = "") -> list[tuple]:
     rows = []
     for s, p, o in parse_turtle(text).triples():
-        subject = s.value if isinstance(s, Iri) else f"_:{s.label}"
+        subject = s.value if isinstance(s, Iri) else f"_:{blanks}{s.label}"
         if isinstance(o, Literal):
             rows.append((subject, p, o.value, False, o.datatype, o.lang))
         else:
-            rows.append((subject, p, o.value if isinstance(o, Iri) else f"_:{o.label}", True, "", ""))
+            rows.append((subject, p, o.value if isinstance(o, Iri) else f"_:{blanks}{o.label}", True, "", ""))
+    return rows
+
+
+def import_turtle(spark: SparkSession, text: str, max_triples: int | None = None) -> DataFrame:
+    """A Turtle document that fits the driver, as triples; blank nodes are named ``_:b<n>``."""
+    rows = _triples_of(text)
     if max_triples is not None and len(rows) > max_triples:
         raise TripleLimitExceeded(f"{len(rows)} triples, more than {max_triples}")
     return spark.createDataFrame(rows, TRIPLE)
 
 
+def import_turtle_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Turtle files, each read whole by one task, as triples; blank nodes are told apart by file.
+
+    A file that does not parse fails the job, or, unless ``strict``, gives no triples.
+    """
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for file, text in zip(pdf["file"], pdf["value"]):
+                try:
+                    rows += _triples_of(text, hashlib.md5(file.encode()).hexdigest()[:12])
+                except ParseError:
+                    if strict:
+                        raise
+            yield pd.DataFrame(rows, columns=["s", "p", "o", "is_iri", "datatype", "lang"])
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return files.mapInPandas(run, TRIPLE)
+
+
 def check_triples(df: DataFrame, limit: int) -> DataFrame:
     """``df``, if it has at most ``limit`` rows; no more than one beyond is counted."""
     if df.limit(limit + 1).count() > limit:
@@ -128,4 +156,4 @@ def _scalar(v) -> str:
     return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
-__all__ = ["Blank", "check_triples", "create_instances", "graph_text", "import_turtle", "object_turtle", "objects_of", "pretty", "term_struct"]
+__all__ = ["Blank", "check_triples", "create_instances", "graph_text", "import_turtle", "import_turtle_files", "object_turtle", "objects_of", "pretty", "term_struct"]
