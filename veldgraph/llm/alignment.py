@@ -18,9 +18,13 @@ def _banded(a: list, b: list, limit: int) -> int:
     limit = min(limit, n)  # no distance is larger
     width = 2 * limit + 2
     full = (1 << width) - 1
-    at: dict = {}
+    # Where each word stands, in blocks of bits no narrower than the band: a column's cells lie in two of them.
+    block = max(width, 1024)
+    blocks: list[dict] = [{} for _ in range(n // block + 2)]
     for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | (1 << i)
+        at = blocks[i // block]
+        at[x] = at.get(x, 0) | (1 << i % block)
+    last = len(blocks) - 2
     vp = full & ~((1 << (width - limit - 1)) - 1)
     vn = 0
     start = limit + 1 - width
@@ -28,8 +32,11 @@ def _banded(a: list, b: list, limit: int) -> int:
     distance = limit
     worst = limit + m - (n - limit)
     for j, y in enumerate(b):
-        mask = at.get(y, 0)
-        mask = (mask << -start if start < 0 else mask >> start) & full
+        if start < 0:
+            mask = blocks[0].get(y, 0) << -start & full
+        else:
+            k, shift = divmod(start, block)
+            mask = (blocks[k].get(y, 0) >> shift | blocks[k + 1].get(y, 0) << block - shift) & full if k <= last else 0
         start += 1
         d0 = ((((mask & vp) + vp) ^ vp) | mask | vn) & full
         hp = (vn | ~(d0 | vp)) & full
