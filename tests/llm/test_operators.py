@@ -392,6 +392,10 @@ def test_alignment_against_plain_dynamic_programming():
         b = [rng.randrange(3) for _ in range(rng.randrange(14))]
         limit = rng.randrange(14)
         assert alignment.edit_distance(a, b, limit) == min(plain(a, b), limit + 1)
+    a = [rng.randrange(50) for _ in range(1500)]  # masks in several blocks
+    b = [rng.randrange(50) if rng.random() < 0.1 else x for x in a if rng.random() < 0.95]
+    d = plain(a, b)
+    assert alignment.edit_distance(a, b, 1500) == alignment.edit_distance(a, b, d) == alignment.edit_distance(a, b, d - 1) == d
     assert alignment.alike([1] * 10, [1] * 8, 0.8) and not alignment.alike([1] * 10, [1] * 7, 0.8) and alignment.alike([], [], 0.8)
 
 
