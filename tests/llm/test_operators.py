@@ -653,6 +653,35 @@ def test_held_out_scores_beat_the_base(spark):
     assert len(got) > 200 and sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_the_model_learns_from_every_training_document(spark):
+    """Each text goes round three words of its own; only a model that has read it knows which comes next."""
+    encoder = lm._encoding(lm.VOCABULARY)[0]
+    own = [w for w in (encoder.decode([i]) for i in range(2000, 6000)) if re.fullmatch(" [a-z]{5}", w)]
+    docs = frame(spark, [(i, "".join(own[3 * i : 3 * i + 3]) * 4000) for i in range(80)])
+    got = [r for r in lm.lm_scores(docs).collect() if not r.held_out]
+    assert len(got) > 60 and all(r.score > 0.3 * r.base_score for r in got)
+
+
+def test_surroundings():
+    import numpy as np
+
+    from veldgraph.llm.attention import REACH, SLOTS, surroundings
+
+    rng = np.random.default_rng(8)
+    lengths = np.array([1, 30, 0, 7])
+    ids = rng.integers(3, 12, lengths.sum())
+    some, around = surroundings(ids, lengths, 40)
+    want, first = np.zeros((40, 3, SLOTS), int), 0
+    for n in lengths:
+        own = ids[first : first + n]
+        for i in range(n):
+            for j in range(max(0, i - REACH), min(n, i + REACH + 1)):
+                if i != j:
+                    want[own[i], 0 if j == i - 1 else 1 if j == i + 1 else 2, (int(own[j]) * 2654435761 >> 7) % SLOTS] += 1
+        first += n
+    assert list(some) == sorted(set(ids)) and (around == want[some]).all()
+
+
 def test_scores_against_plain_attention():
     """Batched, masked windows against one position after the other in plain Python."""
     import numpy as np

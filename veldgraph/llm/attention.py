@@ -17,6 +17,8 @@ CONTEXT, STRIDE = 32, 24
 WIDTH = 16
 #: Groups of the softmax, classes of a group, and how many of these are no single subwords.
 GROUPS, CLASSES, SHARED = 48, 32, 8
+#: Slots that a subword's neighbours are hashed to, and how far away the last of them are.
+SLOTS, REACH = 96, 10
 #: Windows that are worked on at once, in training and in scoring.
 BATCH = 96
 SCORED_BATCH = 48
@@ -48,17 +50,27 @@ _ALLOWED = np.arange(CONTEXT)[None, :] <= (np.arange(STRIDE) + CONTEXT - STRIDE)
 _DISTANCE = np.clip((np.arange(STRIDE) + CONTEXT - STRIDE)[:, None] - np.arange(CONTEXT)[None, :], 0, CONTEXT - 1)
 
 
-def contexts(ids: np.ndarray, size: int, width: int = 96) -> np.ndarray:
-    """What stands before, after and around each subword in a sample, as a unit vector of hashed shares."""
-    slot = (ids.astype(np.int64) * 2654435761 >> 7) % width
-    parts = []
-    for shifts in ((1,), (-1,), (*range(-10, -1), *range(2, 11))):
-        flat = np.zeros(size * width)
-        for d in shifts:
-            flat += np.bincount(ids * width + np.roll(slot, d), minlength=size * width)
-        parts.append(flat.reshape(size, width))
-    rows = [np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1)) for x in parts]
-    return np.concatenate(rows, axis=1).astype(np.float32)
+def surroundings(ids: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The subwords in sequences that lie end to end, and for each how often each slot stands before, after and around (2 to REACH away) it."""
+    some = np.flatnonzero(np.bincount(ids, minlength=size))
+    local = np.zeros(size, np.int64)
+    local[some] = np.arange(len(some))
+    # REACH places that are no subword follow each sequence: a row and a column more, left out of the result
+    n, width = len(some), SLOTS + 1
+    places = np.arange(len(ids)) + np.repeat(np.arange(len(lengths)) * REACH, lengths)
+    row, slot = (np.full(len(ids) + len(lengths) * REACH, x, np.int64) for x in (n * width, SLOTS))
+    row[places], slot[places] = local[ids] * width, (ids.astype(np.int64) * 2654435761 >> 7) % SLOTS
+    flat = np.zeros((3, (n + 1) * width), np.int64)
+    for d in range(1, REACH + 1):
+        for part, x in ((0, row[d:] + slot[:-d]), (1, row[:-d] + slot[d:])):
+            flat[part if d == 1 else 2] += np.bincount(x, minlength=flat.shape[1])
+    return some, flat.reshape(3, n + 1, width)[:, :n, :SLOTS].transpose(1, 0, 2)
+
+
+def contexts(around: np.ndarray) -> np.ndarray:
+    """What stands before, after and around each subword, as a unit vector of hashed shares."""
+    shares = np.sqrt(around / np.maximum(around.sum(axis=2, keepdims=True), 1))
+    return shares.reshape(len(around), -1).astype(np.float32)
 
 
 def _clustered(x: np.ndarray, weight: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -72,20 +84,21 @@ def _clustered(x: np.ndarray, weight: np.ndarray, n: int, rng: np.random.Generat
     return near
 
 
-def classes_of(counts: np.ndarray, sample: np.ndarray, seed: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The group and the class in it of each subword, and the log share of a subword in its class (counts smoothed by a half).
+def grouped(counts: np.ndarray, some: np.ndarray, around: np.ndarray, seed: int = 9) -> np.ndarray:
+    """The group of each subword by what stands around it: ``around`` that of ``some`` (see ``surroundings``); the others form a group more."""
+    group = np.full(len(counts), GROUPS, np.int64)
+    if len(some):
+        group[some] = _clustered(contexts(around), np.sqrt(np.maximum(counts[some], 1)), min(GROUPS, len(some)), np.random.default_rng(seed))
+    return group
 
-    Subwords of the sample are grouped by what stands around them; the others
-    form a group more. In a group the most frequent subwords are classes of
-    their own, the rest go by falling count into SHARED more.
+
+def classes_of(counts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class in its group of each subword, and the log share of a subword in its class (counts smoothed by a half).
+
+    In a group the most frequent subwords are classes of their own, the rest go
+    by falling count into SHARED more.
     """
-    rng = np.random.default_rng(seed)
     smooth = counts + 0.5
-    seen = np.bincount(sample, minlength=len(counts)) if len(sample) else np.zeros(len(counts))
-    group = np.full(len(counts), GROUPS, np.int64)
-    some = np.flatnonzero(seen)
-    if len(some):
-        group[some] = _clustered(contexts(sample, len(counts))[some], np.sqrt(seen[some]), min(GROUPS, len(some)), rng)
     order = np.lexsort((np.arange(len(counts)), -counts, group))
     rank = np.arange(len(counts)) - np.searchsorted(group[order], group[order])
     single = CLASSES - SHARED
@@ -93,15 +106,19 @@ def classes_of(counts: np.ndarray, sample: np.ndarray, seed: int = 9) -> tuple[n
     of = np.empty(len(counts), np.int64)
     of[order] = np.where(rank < single, rank, single + (rank - single) * SHARED // np.maximum(1, size - single))
     mass = np.bincount(group * CLASSES + of, weights=smooth, minlength=(GROUPS + 1) * CLASSES)
-    return group.astype(np.int32), of.astype(np.int32), np.log(smooth / mass[group * CLASSES + of]).astype(np.float32)
+    return of.astype(np.int32), np.log(smooth / mass[group * CLASSES + of]).astype(np.float32)
 
 
 class Model:
     """``row``: each subword's row of the tables; subwords that no training document has share row 0, whose vector is zero."""
 
-    def __init__(self, counts: np.ndarray, sample: np.ndarray, seed: int = 3):
+    def __init__(self, counts: np.ndarray, sample: np.ndarray, seed: int = 3, group: np.ndarray | None = None):
+        """``group`` of each subword; without it they are grouped by what stands around them in ``sample``."""
         rng = np.random.default_rng(seed)
-        self.group, self.of, self.share = classes_of(counts, sample)
+        if group is None:
+            group = grouped(np.bincount(sample, minlength=len(counts)), *surroundings(sample, np.array([len(sample)]), len(counts)))
+        self.group = group.astype(np.int32)
+        self.of, self.share = classes_of(counts, group)
         # frequent subwords first: their rows lie close together
         rank = np.empty(len(counts), np.int64)
         rank[np.lexsort((np.arange(len(counts)), -counts))] = np.arange(len(counts))
@@ -240,12 +257,13 @@ class Model:
         ends = np.zeros(len(ids), bool)
         ends[np.cumsum(lengths) - 1] = True
         rng = np.random.default_rng(seed)
-        p = self.p
-        m = {k: np.zeros_like(x) for k, x in p.items()}
-        u = {k: np.zeros_like(x) for k, x in p.items()}
-        step, losses, n_rows = 0, [], len(p["embed"])
+        # weights, gradients and moments lie end to end: a step is a few passes over them
+        flat = np.concatenate([x.ravel() for x in self.p.values()])
+        grad, m, u, spare = (np.zeros_like(flat) for _ in range(4))
+        p, g = _views(flat, self.p), _views(grad, self.p)
+        step, losses = 0, []
         steps = epochs * -(-len(w.positions) // BATCH)
-        scale = np.float32(1 / np.sqrt(WIDTH))
+        scale, ones = np.float32(1 / np.sqrt(WIDTH)), np.ones(BATCH * STRIDE, np.float32)
         for _ in range(epochs):
             order = rng.permutation(len(w.positions))
             loss = seen = 0.0
@@ -253,19 +271,19 @@ class Model:
                 pick = order[i : i + BATCH]
                 at, valid = w.positions[pick], w.valid[pick]
                 own = rows[at]
-                x, last = p["embed"][own], p["embed"][own[:, late:]]
-                q, k, v = (last @ p["query"]) * scale, x @ p["key"], x @ p["value"]
+                x = p["embed"].take(own.ravel(), axis=0)
+                last = x.reshape(len(pick), CONTEXT, WIDTH)[:, late:].reshape(-1, WIDTH)
+                q = ((last @ p["query"]) * scale).reshape(len(pick), STRIDE, WIDTH)
+                k, v = ((x @ p[name]).reshape(len(pick), CONTEXT, WIDTH) for name in ("key", "value"))
                 a = q @ k.transpose(0, 2, 1)
                 a += np.where(_ALLOWED, p["near"][_DISTANCE], np.float32(-1e9))
-                a += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-                a -= a.max(axis=2, keepdims=True)
-                np.exp(a, out=a)
-                a /= a.sum(axis=2, keepdims=True)
-                h = np.concatenate((last, a @ v), axis=2).reshape(-1, 2 * WIDTH)
+                if len(early := np.flatnonzero(~valid[:, 0])):  # keys before the sequence; those after it are masked anyway
+                    a[early] += np.where(valid[early], np.float32(0), np.float32(-1e9))[:, None, :]
+                a = _softmax(a.reshape(-1, CONTEXT)).reshape(a.shape)
+                h = np.concatenate((last, (a @ v).reshape(-1, WIDTH)), axis=1)
                 here = at[:, late:].ravel()
                 live = np.flatnonzero(w.scored[pick].ravel() & ~ends[here])
-                target = following[here[live]]
-                live = live[np.argsort(self.group[target], kind="stable")]
+                live = live[np.argsort(self.group[following[here[live]]], kind="stable")]
                 target = following[here[live]]
                 group, of, each = self.group[target], self.of[target], np.arange(len(live))
                 n = np.float32(max(1, len(live)))
@@ -274,48 +292,80 @@ class Model:
                 loss -= float(np.log(np.maximum(z[each, group], 1e-30)).sum())
                 z[each, group] -= 1
                 z /= n
-                g = {"out": hs.T @ z, "bias": z.sum(axis=0), "within": np.zeros_like(p["within"]), "within_bias": np.zeros_like(p["within_bias"])}
+                g["out"][:], g["bias"][:] = hs.T @ z, ones[: len(z)] @ z
                 back = z @ p["out"].T
-                cut = np.searchsorted(group, np.arange(GROUPS + 2))
-                for c in np.flatnonzero(np.diff(cut)):
-                    part = slice(cut[c], cut[c + 1])
-                    z = _softmax(hs[part] @ p["within"][c] + p["within_bias"][c])
-                    mine = np.arange(len(z)), of[part]
-                    loss -= float(np.log(np.maximum(z[mine], 1e-30)).sum())
-                    z[mine] -= 1
-                    z /= n
-                    g["within"][c], g["within_bias"][c] = hs[part].T @ z, z.sum(axis=0)
-                    back[part] += z @ p["within"][c].T
+                size = np.bincount(group, minlength=GROUPS + 1)
+                stop = np.cumsum(size)
+                parts = [(c, slice(stop[c] - size[c], stop[c])) for c in np.flatnonzero(size)]
+                z = p["within_bias"][group]
+                for c, part in parts:
+                    z[part] += hs[part] @ p["within"][c]
+                z = _softmax(z)
+                loss -= float(np.log(np.maximum(z[each, of], 1e-30)).sum())
+                z[each, of] -= 1
+                z /= n
+                g["within"][:], g["within_bias"][:] = 0, 0
+                for c, part in parts:
+                    np.dot(hs[part].T, z[part], out=g["within"][c])
+                    back[part] += z[part] @ p["within"][c].T
+                if parts:
+                    some = np.flatnonzero(size)
+                    g["within_bias"][some] = np.add.reduceat(z, (stop - size)[some])
                 seen += len(live)
                 dh = np.zeros_like(h)
                 dh[live] = back
-                dh = dh.reshape(len(pick), STRIDE, 2 * WIDTH)
-                dlast, dmix = dh[..., :WIDTH], dh[..., WIDTH:]
-                dv = a.transpose(0, 2, 1) @ dmix
+                dlast, dmix = dh[:, :WIDTH], dh[:, WIDTH:].reshape(len(pick), STRIDE, WIDTH)
+                dv = (a.transpose(0, 2, 1) @ dmix).reshape(-1, WIDTH)
                 da = dmix @ v.transpose(0, 2, 1)
-                da -= (da * a).sum(axis=2, keepdims=True)
+                da -= ((da * a).reshape(-1, CONTEXT) @ np.ones(CONTEXT, np.float32)).reshape(len(pick), STRIDE, 1)
                 da *= a
-                g["near"] = np.bincount(_DISTANCE[_ALLOWED], weights=da.sum(axis=0)[_ALLOWED], minlength=CONTEXT).astype(np.float32)
+                g["near"][:] = np.bincount(_DISTANCE[_ALLOWED], weights=da.sum(axis=0)[_ALLOWED], minlength=CONTEXT)
                 dq, dk = ((da @ k) * scale).reshape(-1, WIDTH), (da.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-                dv = dv.reshape(-1, WIDTH)
-                x, last = x.reshape(-1, WIDTH), last.reshape(-1, WIDTH)
-                g["query"], g["key"], g["value"] = last.T @ dq, x.T @ dk, x.T @ dv
-                grads = np.concatenate((dk @ p["key"].T + dv @ p["value"].T, dq @ p["query"].T + dlast.reshape(-1, WIDTH)))
-                where = np.concatenate((own.ravel(), own[:, late:].ravel()))
-                g["embed"] = np.stack([np.bincount(where, weights=grads[:, c], minlength=n_rows) for c in range(WIDTH)], axis=1).astype(np.float32)
+                g["query"][:], g["key"][:], g["value"][:] = last.T @ dq, x.T @ dk, x.T @ dv
+                dx = dk @ p["key"].T
+                dx += dv @ p["value"].T
+                dx.reshape(len(pick), CONTEXT, WIDTH)[:, late:] += (dq @ p["query"].T + dlast).reshape(len(pick), STRIDE, WIDTH)
+                by_row = np.argsort(own.ravel())
+                ranked = own.ravel()[by_row]
+                fresh = np.flatnonzero(np.diff(ranked, prepend=-1))
+                g["embed"][:] = 0
+                g["embed"][ranked[fresh]] = np.add.reduceat(dx[by_row], fresh)
                 g["embed"][0] = 0
                 step += 1
-                lr = np.float32(rate * (1 - step / (steps + 1)))
-                for name, grad in g.items():
-                    m[name] += np.float32(0.1) * (grad - m[name])
-                    u[name] += np.float32(0.01) * (grad * grad - u[name])
-                    p[name] -= lr * (m[name] / np.float32(1 - 0.9**step)) / (np.sqrt(u[name] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+                np.subtract(grad, m, out=spare)
+                spare *= np.float32(0.1)
+                m += spare
+                np.multiply(grad, grad, out=spare)
+                spare -= u
+                spare *= np.float32(0.01)
+                u += spare
+                np.sqrt(u, out=spare)
+                spare *= np.float32(1 / np.sqrt(1 - 0.99**step))
+                spare += np.float32(1e-8)
+                np.divide(m, spare, out=spare)
+                spare *= np.float32(rate * (1 - step / (steps + 1)) / (1 - 0.9**step))
+                flat -= spare
             losses.append(loss / max(1.0, seen))
+        self.p = {k: x.copy() for k, x in p.items()}
         self.tables()
         return losses
 
 
+def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Arrays of the shapes of ``like`` that lie end to end in ``flat``."""
+    stops = np.cumsum([x.size for x in like.values()])
+    return {k: flat[j - x.size : j].reshape(x.shape) for (k, x), j in zip(like.items(), stops)}
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
+    """Of each row. Its maximum is taken off only where exponentials could leave the range."""
+    ones = np.ones(z.shape[1], np.float32)
+    if z.size and z.max() < 60:
+        e = np.exp(z)
+        total = e @ ones
+        if total.min() > 1e-20:
+            e /= total[:, None]
+            return e
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)

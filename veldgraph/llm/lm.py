@@ -2,10 +2,11 @@
 
 Word and subword counts come from every training document: each block of texts
 sends its distinct words once, by bucket of their names, and gets back the
-corpus counts of its words. The attention model (``attention``) learns from a
-share of the training documents, whole, that grows with the corpus: one chunk of
-them starts the model; then, in rounds, each chunk trains a copy in a task of its
-own and the copies are averaged. All texts are scored in overlapping windows.
+corpus counts of its words. The attention model (``attention``) learns from all
+training documents, whole: its groups of subwords from what stands around them
+anywhere; its weights from chunks, one of which starts the model; then, in rounds,
+every chunk trains a copy in a task of its own and the copies are averaged. All
+texts are scored in overlapping windows.
 """
 
 from __future__ import annotations
@@ -31,9 +32,6 @@ from .common import ceil_div, distinct, release, span_hashes, stash, text_bytes,
 VOCABULARY = os.environ.get("VELDGRAPH_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the pattern that cuts texts for this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Share of the training documents from which the attention weights are learnt (all of them, if they have fewer bytes than MIN_TRAIN_BYTES).
-TRAIN_SHARE = 0.06
-MIN_TRAIN_BYTES = 4 << 20
 #: Text bytes of a chunk, and how often each chunk is gone through.
 CHUNK_BYTES = 6 << 20
 ROUNDS = 1
@@ -43,8 +41,13 @@ START_SUBWORDS = 3_000_000
 SEQUENCE = 1 << 18
 #: Arrays of weights that one task adds up.
 FAN_IN = 64
-#: Subwords that are scored at once.
-SCORED = 200_000
+#: Subwords that are scored at once, and that are made training sequences at once.
+SCORED, LEARNT = 200_000, 1_000_000
+#: Subwords whose surroundings are one row, and how many subwords a task reads before it sends its sums.
+RANGE = 1024
+SUMMED = 64_000_000
+#: What a row without a bucket holds: subword counts, surroundings of a range of subwords, a training sequence.
+TOKENS, AROUND, SEQUENCES = -1, -2, -3
 
 _FOLD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -107,35 +110,73 @@ def _unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
-_SENT = "bucket int, block long, n long, data binary, counts binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("counts", pa.binary())])
+_SENT = "bucket int, block long, n long, data binary, counts binary, chunk long, place long, k long, ids binary"
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("counts", pa.binary()), ("chunk", pa.int64()), ("place", pa.int64()), ("k", pa.int64()), ("ids", pa.binary())])
 _COUNTED = "bucket int, block long, n long, counts binary, distinct long, total long"
 _COUNTED_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64())])
 
 
-def _send_counts(bits: int, n_more: int, path: str):
-    """A block's distinct words with their training counts, by bucket; bucket -1 holds its subword counts."""
+def _send_counts(bits: int, n_more: int, n_chunks: int, path: str):
+    """A block's distinct words with their training counts, by bucket; without a bucket what the attention model learns from."""
+
+    def sums(around: np.ndarray):
+        for i in range(0, len(around), RANGE):
+            if (part := around[i : i + RANGE]).any():
+                yield pa.RecordBatch.from_pylist([{"bucket": AROUND, "block": i, "n": len(part), "counts": _pack_counts(part.ravel())}], _SENT_ARROW)
 
     def run(batches):
+        end = _encoding(path)[2]
+        around, read = None, 0
         for b in batches:
             for r in b.to_pylist():
                 w = Words(r["at"], r["data"])
                 training = np.array([not is_held_out(i) for i in r["ids"]], float)
                 counts = np.bincount(w.of, weights=np.repeat(training, np.diff(w.rows)), minlength=len(w.names)).astype(np.int64)
                 ids, lengths = subwords(w.distinct, path)
-                end = _encoding(path)[2]
                 tokens = np.bincount(ids, weights=np.repeat(counts, lengths), minlength=end + 1).astype(np.int64)
                 tokens[end] = int(training.sum())
-                rows = [{"bucket": -1, "block": r["block"], "n": end + 1, "data": None, "counts": _pack_counts(tokens)}]
+                rows = [{"bucket": TOKENS, "block": r["block"], "n": end + 1, "counts": _pack_counts(tokens)}]
                 more = w.second_names()
                 buckets, cut = by_bucket(w.names, bits)
                 for bucket, i, j in zip(buckets, cut[:-1], cut[1:]):
                     rows.append({"bucket": int(bucket), "block": r["block"], "n": int(j - i), "data": pack_names(w.names[i:j], more[i:j], n_more), "counts": _pack_counts(counts[i:j])})
                 yield pa.RecordBatch.from_pylist(rows, _SENT_ARROW)
+                for i, j in _slabs(w, lengths, LEARNT):
+                    seq, per_doc = _sequences(w, ids, lengths, i, j, end)
+                    learnt = training[i:j] > 0
+                    seq, per_doc, of = seq[np.repeat(learnt, per_doc)], per_doc[learnt], np.flatnonzero(learnt) + i
+                    if not len(seq):
+                        continue
+                    read += len(seq)
+                    if around is None:
+                        around = np.zeros((end + 1, 3, attention.SLOTS), np.int32)
+                    some, own = attention.surroundings(seq, per_doc, end + 1)
+                    around[some] += own.astype(np.int32)
+                    yield pa.RecordBatch.from_pylist(list(_cut(seq.astype(_id_type(end)), per_doc, [r["ids"][x] for x in of], n_chunks)), _SENT_ARROW)
+                    if read > SUMMED:
+                        yield from sums(around)
+                        around, read = None, 0
+        if around is not None:
+            yield from sums(around)
 
     return run
 
 
+def _id_type(end: int) -> str:
+    return "<u2" if end < 1 << 16 else "<i4"
+
+
+def _cut(seq: np.ndarray, per_doc: np.ndarray, doc_ids: list, n_chunks: int):
+    """Documents as training sequences of at most SEQUENCE subwords, each with its chunk."""
+    at = np.cumsum(per_doc) - per_doc
+    for doc_id, first, n in zip(doc_ids, at.tolist(), per_doc.tolist()):
+        whole = seq[first : first + n]
+        place = zlib.crc32(whole, zlib.crc32(str(doc_id).encode()))
+        for k, i in enumerate(range(0, n - 1, SEQUENCE)):
+            part = whole[i : i + SEQUENCE + 1]
+            yield {"bucket": SEQUENCES, "chunk": (place + k) % n_chunks, "place": place, "k": k, "ids": part.tobytes()}
+
+
 def _add_up(n_more: int):
     def run(t: pa.Table) -> pa.Table:
         got = [unpack_names(x.as_py(), n_more) for x in t.column("data")]
@@ -195,6 +236,16 @@ def _sequences(words: Words, ids: np.ndarray, lengths: np.ndarray, first: int, l
     return out, per_doc
 
 
+def _slabs(words: Words, lengths: np.ndarray, limit: int):
+    """Ranges of documents of at most ``limit`` subwords together, one document at least."""
+    sub_rows = np.concatenate(([0], np.cumsum(lengths[words.of])))[words.rows] + 2 * np.arange(len(words.rows))
+    i, n = 0, len(words.rows) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(sub_rows, sub_rows[i] + limit, "right")) - 1)
+        yield i, j
+        i = j
+
+
 def _score(model: attention.Model, n_words: int, v_words: int, n_docs: int, path: str):
     train_tokens, distinct = n_words + n_docs, v_words + (n_docs > 0)
 
@@ -206,11 +257,8 @@ def _score(model: attention.Model, n_words: int, v_words: int, n_docs: int, path
             c = np.concatenate([np.zeros(0, np.int64), *(_unpack_counts(x["counts"]) for x in sent)])
             ids, lengths = subwords(w.distinct, path)
             end = _encoding(path)[2]
-            sub_rows = np.concatenate(([0], np.cumsum(lengths[w.of])))[w.rows] + 2 * np.arange(len(w.rows))
-            i, n = 0, len(r["ids"])
             floor = train_tokens + 0.5 * (distinct + 1)
-            while i < n:
-                j = max(i + 1, int(np.searchsorted(sub_rows, sub_rows[i] + SCORED, "right")) - 1)
+            for i, j in _slabs(w, lengths, SCORED):
                 seq, per_doc = _sequences(w, ids, lengths, i, j, end)
                 log_p = model.log_probabilities(seq, per_doc).astype(float)
                 n_units = np.diff(w.rows[i : j + 1]) + 1  # words, then the end
@@ -223,7 +271,6 @@ def _score(model: attention.Model, n_words: int, v_words: int, n_docs: int, path
                 out["n_known"] += np.add.reduceat((count > 0).astype(np.int64), cuts).tolist()
                 out["base_score"] += np.add.reduceat(np.log10((count + 0.5) / floor), cuts).tolist()
                 out["score"] += (np.add.reduceat(log_p, np.cumsum(per_doc) - per_doc) / attention.LOG10).tolist()
-                i = j
             out["doc_id"] += r["ids"]
         rows = len(out["doc_id"])
         return pa.table(
@@ -241,27 +288,10 @@ def _score(model: attention.Model, n_words: int, v_words: int, n_docs: int, path
     return run
 
 
-def _cut(n_chunks: int, path: str):
-    """Texts as training sequences of at most SEQUENCE subwords, each with its chunk."""
-
-    def run(batches):
-        end = _encoding(path)[2]
-        for b in batches:
-            rows = []
-            for place, data in zip(b.column("place").to_pylist(), b.column("data")):
-                ids, _ = subwords(data.as_py().translate(_FOLD).split(), path)
-                whole = np.concatenate(([end], ids, [end])).astype("<i4")
-                for k, i in enumerate(range(0, len(whole) - 1, SEQUENCE)):
-                    rows.append(((place + k) % n_chunks, place, k, whole[i : i + SEQUENCE + 1].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())], names=["chunk", "place", "k", "ids"])
-
-    return run
-
-
-def _joined(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _joined(t: pa.Table, end: int) -> tuple[np.ndarray, np.ndarray]:
     """A chunk's sequences end to end, in an order that does not depend on the run."""
     t = t.sort_by([("place", "ascending"), ("k", "ascending"), ("ids", "ascending")])
-    seqs = [np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in t.column("ids")]
+    seqs = [np.frombuffer(x.as_py(), _id_type(end)).astype(np.int64) for x in t.column("ids")]
     return np.concatenate(seqs), np.array([len(x) for x in seqs])
 
 
@@ -278,25 +308,47 @@ def _sum_weights(batches):
         yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["weights"])
 
 
-def _trained(docs: DataFrame, total: int, counts: np.ndarray, path: str) -> attention.Model:
-    """The model after its rounds over a share of the training documents (doc_id, data), ``total`` bytes in all."""
-    spark = docs.sparkSession
-    fold = F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1, true)")
-    share = min(1.0, max(TRAIN_SHARE, MIN_TRAIN_BYTES / max(1, total)))
-    n_chunks = max(1, ceil_div(int(share * total), CHUNK_BYTES))
-    place = F.xxhash64("doc_id", "data").alias("place")
-    picked = docs.where(fold & (F.pmod(F.xxhash64("doc_id", "data", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))).select(place, "data")
-    sample = stash(picked.mapInArrow(_cut(n_chunks, path), "chunk long, place long, k long, ids binary"), "lm-sequences")
+def _sum_around(t: pa.Table) -> pa.Table:
+    total = sum(_unpack_counts(x.as_py()) for x in t.column("counts"))
+    return pa.table({"block": t.column("block")[:1], "counts": pa.array([_pack_counts(total)], pa.binary())})
+
+
+def _grouped(counts: np.ndarray):
+    """The group of each subword, from the sums of its surroundings in the corpus."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("block")
+        some, around = [], []
+        for i, data in zip(t.column("block").to_pylist(), t.column("counts")):
+            part = _unpack_counts(data.as_py()).reshape(-1, 3, attention.SLOTS)
+            seen = np.flatnonzero(part.any(axis=(1, 2)))
+            some.append(seen + i)
+            around.append(part[seen].astype(np.float32))
+        groups = attention.grouped(counts, np.concatenate(some), np.concatenate(around))
+        return pa.table({"groups": pa.array([groups.astype("<i4").tobytes()], pa.binary())})
+
+    return run
+
+
+def _trained(sent: DataFrame, n_chunks: int, counts: np.ndarray) -> attention.Model:
+    """The model after its rounds over all training documents, from what the blocks sent."""
+    spark = sent.sparkSession
+    sample = sent.where(F.col("bucket") == SEQUENCES).select("chunk", "place", "k", "ids")
+    first = sample.agg(F.min("chunk")).first()[0]
+    if first is None:
+        return attention.Model(counts, np.empty(0, np.int64))
+    sums = sent.where(F.col("bucket") == AROUND).select("block", "counts").groupBy("block").applyInArrow(_sum_around, "block long, counts binary")
+    groups = np.frombuffer(sums.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_grouped(counts), "groups binary").first()["groups"], "<i4")
 
     def start(t: pa.Table) -> pa.Table:
-        ids, lengths = _joined(t)
-        model = attention.Model(counts, ids)
+        ids, lengths = _joined(t, len(counts) - 1)
+        model = attention.Model(counts, ids, group=groups)
         model.train(ids, lengths, max(1, min(10, START_SUBWORDS // len(ids))))
         return pa.table({"model": pa.array([pickle.dumps(model.compact())], pa.binary())})
 
     def more(shared, rate: float, seed: int):
         def run(t: pa.Table) -> pa.Table:
-            ids, lengths = _joined(t)
+            ids, lengths = _joined(t, len(counts) - 1)
             model = shared.value
             kept = {k: x.copy() for k, x in model.p.items()}  # a worker may get several chunks
             model.train(ids, lengths, rate=rate, seed=seed)
@@ -306,9 +358,6 @@ def _trained(docs: DataFrame, total: int, counts: np.ndarray, path: str) -> atte
 
         return run
 
-    first = sample.agg(F.min("chunk")).first()[0]
-    if first is None:
-        return attention.Model(counts, np.empty(0, np.int64))
     model = pickle.loads(sample.where(F.col("chunk") == first).groupBy("chunk").applyInArrow(start, "model binary").first()["model"])
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model.compact())
@@ -339,17 +388,18 @@ def lm_scores(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     release(spark)
     bits = bucket_bits(total // 16)
     n_more = min(8, max(0, ceil_div(2 * math.ceil(math.log2(max(2, total))) + 24 - 64, 8)))
-    sent = stash(blocks.mapInArrow(_send_counts(bits, n_more, path), _SENT), "word-counts")
+    n_chunks = max(1, ceil_div(total, CHUNK_BYTES))
+    sent = stash(blocks.mapInArrow(_send_counts(bits, n_more, n_chunks, path), _SENT), "word-counts")
     counted = stash(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_add_up(n_more), _COUNTED), "corpus-counts")
     release(spark)
     sums = counted.groupBy("bucket").agg(F.max("distinct").alias("v"), F.max("total").alias("n")).agg(F.sum("v"), F.sum("n")).first()
     v_words, n_words = int(sums[0] or 0), int(sums[1] or 0)
-    tokens = sent.where("bucket < 0").select("counts").mapInArrow(_token_rows, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    tokens = sent.where(F.col("bucket") == TOKENS).select("counts").mapInArrow(_token_rows, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     end = _encoding(path)[2]
     counts = np.zeros(end + 1, np.int64)
     for r in tokens.collect():  # a row for each id of the vocabulary at most
         counts[r["token"]] = r["n"]
-    model = _trained(base, total, counts, path)
+    model = _trained(sent, n_chunks, counts)
     shared = spark.sparkContext.broadcast(model.compact())
 
     def score(blocks_table: pa.Table, counted_table: pa.Table) -> pa.Table:
