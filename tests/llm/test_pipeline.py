@@ -3,12 +3,14 @@ import re
 import string
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veldgraph.llm import mixing, quality
 from veldgraph.llm.alignment import alike
+from veldgraph.llm.common import BATCH_BYTES, BATCH_SETTING
 from veldgraph.llm import queries
 from veldgraph.llm.near_dedup import near_classes, words_of
 
@@ -105,3 +107,30 @@ def test_a_stage_on_odd_rows(spark, sf, number):
     if number == 3:
         assert {r.doc_id for r in got} >= {1, 2, 3}
     assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_stages_hand_texts_to_python_in_batches_of_bounded_bytes(spark, sf):
+    """Batches of 10,000 long texts took an executor beyond its memory."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    def largest(texts):
+        return max(r["size"] for r in texts.mapInArrow(sizes, "n long, size long").collect())
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
+    long = spark.range(0, 6000, 1, 1).selectExpr("id", "repeat('word ', 600) as text")
+    before = spark.conf.get(BATCH_SETTING, None)
+    try:
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            spark.conf.unset(BATCH_SETTING)
+            assert largest(long) > 3 * BATCH_BYTES
+            stage(spark, docs, sf)
+            assert largest(long) < 1.1 * BATCH_BYTES, name
+            assert largest(spark.range(1).selectExpr("id", f"repeat('x', {2 * BATCH_BYTES}) as text")) > 2 * BATCH_BYTES  # a long row stays whole
+        spark.conf.set(BATCH_SETTING, "1000000")
+        stage(spark, docs, sf)
+        assert spark.conf.get(BATCH_SETTING) == "1000000"
+    finally:
+        spark.conf.unset(BATCH_SETTING) if before is None else spark.conf.set(BATCH_SETTING, before)
