@@ -772,6 +772,78 @@ def test_gradients():
     assert loss() < start - 0.3
 
 
+_COST = """
+import time
+import numpy as np
+from veldgraph.llm import attention
+
+def cpu(f):
+    start = time.process_time()
+    f()
+    return time.process_time() - start
+
+rng = np.random.default_rng(5)
+words = [rng.integers(0, 2500, rng.integers(1, 5)) for _ in range(4000)]
+ids = np.concatenate([words[i] for i in np.minimum(rng.zipf(1.2, 40000), 4000) - 1])[:60000]
+counts = np.maximum(1, np.bincount(ids, minlength=30000))  # most occur in other chunks
+model = attention.Model(counts, ids)
+h, out, z = np.ones((2304, 32), np.float32), np.ones((32, 49), np.float32), np.empty((2304, 49), np.float32)
+
+def layers():
+    for _ in range(500):
+        np.dot(h, out, out=z)
+        np.exp(z, out=z)
+
+def cost(f):
+    return min(cpu(f) for _ in range(9)) / min(cpu(layers) for _ in range(9))
+
+training = cost(lambda: model.train(ids, np.full(60, 1000)))
+model.p["embed"][model.row[-1]] = 100  # the texts lack this subword
+model.tables()
+print(training, cost(lambda: model.log_probabilities(ids, np.full(60, 1000))))
+"""
+
+
+def test_cost_of_training_and_scoring():
+    """On one core training on 60,000 subwords costs less than 530 softmax layers over a batch (some 450; 870 before
+    the trainer's passes were joined and left out the rows that do not occur). Scoring them costs less than 215 (some 150; 280 when one subword
+    with large weights made all rows lose their maximum first)."""
+    import os
+    import subprocess
+    import sys
+
+    environment = os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "PYTHONPATH": os.pathsep.join(sys.path)}
+    got = subprocess.run([sys.executable, "-c", _COST], env=environment, capture_output=True, text=True, timeout=120, check=True)
+    training, scoring = map(float, got.stdout.split())
+    assert training < 1.06 and scoring < 0.43
+
+
+def test_sums_of_the_trainer():
+    """Products in stretches, exponentials out of range, weights joined and split, an epoch without a position to learn."""
+    import numpy as np
+
+    from veldgraph.llm import attention
+
+    rng = np.random.default_rng(7)
+    for n in (0, 1, attention.STRETCH - 1, attention.STRETCH, 3 * attention.STRETCH + 5):
+        a, b, out = (rng.standard_normal(x).astype(np.float32) for x in ((n, 5), (n, 3), (5, 3)))
+        attention._outer(a, b, out)
+        assert np.allclose(out, a.T @ b, atol=1e-3)
+    for shift in (0, 200, -200):
+        z = (rng.standard_normal((4, 6)) + shift).astype(np.float32)
+        want = np.exp(z.astype(float) - shift)
+        e, total = attention._exponentials(z.copy())
+        want /= want.sum(axis=1, keepdims=True)
+        assert np.allclose(e / total[:, None], want, atol=1e-4)
+        assert np.allclose(attention._log_shares(z.copy(), np.array([0, 5, 2, 2])), np.log(want[np.arange(4), [0, 5, 2, 2]]), atol=1e-4)
+    ids = rng.integers(0, 20, 50)
+    m = attention.Model(np.bincount(ids, minlength=22), ids)
+    before = {k: x.copy() for k, x in m.p.items()}
+    m._split(m._joined())
+    assert list(m.p) == list(before) and all((m.p[k] == x).all() for k, x in before.items())
+    assert m.train(np.array([3, 3]), np.array([1, 1])) == [0.0] and all((m.p[k] == x).all() for k, x in before.items())
+
+
 # 10
 def test_quality(spark, edge):
     rng = random.Random(3)

@@ -21,9 +21,13 @@ GROUPS, CLASSES, SHARED = 48, 32, 8
 SLOTS, REACH = 96, 10
 #: Windows that are worked on at once, in training and in scoring.
 BATCH = 96
-SCORED_BATCH = 48
+SCORED_BATCH = 96
 #: Windows whose positions are put in order of their groups together.
 SLAB = 2048
+#: Rows that the trainer multiplies at once where it adds up over all rows.
+STRETCH = 256
+#: Weights of which the trainer makes a step together.
+PIECE = 1 << 15
 LOG10 = np.log(10.0)
 
 
@@ -149,12 +153,6 @@ class Model:
         self.kv = np.concatenate((k, v, np.ones((len(v), 1), np.float32)), axis=1)
         self.qe = np.concatenate((q, p["embed"]), axis=1)
         self.mask = np.where(_ALLOWED, p["near"][_DISTANCE], np.float32(-1e9)).astype(np.float32)
-        # No energy and no logit is beyond these bounds (mixed values lie between the values); below 80 no exponential overflows.
-        longest = lambda x, axis=-1: float(np.sqrt((x * x).sum(axis=axis)).max())
-        reach = float(np.hypot(longest(p["embed"]), longest(v)))
-        energy = longest(q) * longest(k) + float(p["near"].max())
-        logit = max(reach * longest(p["out"], 0) + float(p["bias"].max()), reach * longest(p["within"], 1) + float(p["within_bias"].max()))
-        self.steady = max(energy, logit) < 80
 
     def weights(self, ids: np.ndarray) -> np.ndarray:
         """All weights end to end, each row of ``embed`` times the number of its occurrences in ``ids``, and these numbers: sums of such arrays make a mean."""
@@ -190,166 +188,216 @@ class Model:
 
         The last position of a sequence has no next subword and gets 0.
         """
-        out = np.zeros(len(ids), np.float32)
+        result = np.zeros(len(ids), np.float32)
         w = windows(lengths)
         following = np.append(ids[1:], ids[:1])
-        rows = self.row[ids]
+        rows, group, share = self.row[ids], self.group[following].astype(np.uint8), self.share[following]  # a byte sorts faster
+        of, late = self.of[following], CONTEXT - STRIDE
+        joined = self._joined()
+        out, within = joined["out"], joined["within"]
+        h = np.empty((min(SLAB, len(w.positions)) * STRIDE, 2 * WIDTH + 1), np.float32)
         for first in range(0, len(w.positions), SLAB):
             last = min(first + SLAB, len(w.positions))
-            here = w.positions[first:last, CONTEXT - STRIDE :].ravel()
-            target = following[here]
-            h = np.empty((len(here), 2 * WIDTH), np.float32)
-            log_p = self.share[target]
+            here = w.positions[first:last, late:].ravel()
+            goal = group.take(here)
+            log_p = share.take(here)
             for i in range(first, last, SCORED_BATCH):
                 j = min(i + SCORED_BATCH, last)
                 part = slice((i - first) * STRIDE, (j - first) * STRIDE)
-                log_p[part] += self._group_log_probabilities(rows[w.positions[i:j]], w.valid[i:j], self.group[target[part]], h[part])
-            log_p += self._class_log_probabilities(h, target)
+                self._mix(rows.take(w.positions[i:j]), w.valid[i:j], h[part])
+                log_p[part] += _log_shares(h[part] @ out, goal[part])
+            # of the classes within their groups, one group after the other
+            order = np.argsort(goal, kind="stable")
+            stop = np.cumsum(np.bincount(goal, minlength=GROUPS + 1))
+            classes = of.take(here)
+            for g, (i, j) in enumerate(zip([0, *stop[:-1].tolist()], stop.tolist())):
+                if i < j:
+                    mine = order[i:j]
+                    log_p[mine] += _log_shares(h.take(mine, axis=0) @ within[g], classes.take(mine))
             keep = w.scored[first:last].ravel()
-            out[here[keep]] = log_p[keep]
-        out[np.cumsum(lengths) - 1] = 0
-        return out
+            result[here[keep]] = log_p[keep]
+        result[np.cumsum(lengths) - 1] = 0
+        return result
 
-    def _group_log_probabilities(self, own: np.ndarray, valid: np.ndarray, group: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Of the groups of some windows' next subwords; ``h`` is filled with what the softmax works on."""
-        late, p = CONTEXT - STRIDE, self.p
+    def _mix(self, own: np.ndarray, valid: np.ndarray, h: np.ndarray) -> None:
+        """Fill ``h`` with what the softmax of some windows' next subwords works on: last embedding, mixed values, a one."""
+        late = CONTEXT - STRIDE
         qe, kv = self.qe.take(own[:, late:], axis=0), self.kv.take(own, axis=0)
         a = qe[..., :WIDTH] @ kv[..., :WIDTH].transpose(0, 2, 1)
         a += self.mask
         if len(early := np.flatnonzero(~valid[:, 0])):  # keys before the sequence; those after it are masked anyway
             a[early] += np.where(valid[early], np.float32(0), np.float32(-1e9))[:, None, :]
-        if not self.steady:
-            a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
+        a = _exponentials(a.reshape(-1, CONTEXT))[0].reshape(a.shape)
         mixed = (a @ kv[..., WIDTH:]).reshape(-1, WIDTH + 1)
         h[:, :WIDTH] = qe[..., WIDTH:].reshape(-1, WIDTH)
-        np.divide(mixed[:, :WIDTH], mixed[:, WIDTH:], out=h[:, WIDTH:])
-        z = h @ p["out"]
-        z += p["bias"]
-        if not self.steady:
-            z -= z.max(axis=1, keepdims=True)
-        got = z[np.arange(len(z)), group]
-        np.exp(z, out=z)
-        got -= np.log(z @ np.ones(z.shape[1], np.float32))
-        return got
-
-    def _class_log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of the next subwords' classes within their groups, one group after the other."""
-        group, out, ones = self.group[target], np.empty(len(h), np.float32), np.ones(CLASSES, np.float32)
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(GROUPS + 2))
-        for g in np.flatnonzero(np.diff(cut)):
-            mine = order[cut[g] : cut[g + 1]]
-            z = h[mine] @ self.p["within"][g]
-            z += self.p["within_bias"][g]
-            if not self.steady:
-                z -= z.max(axis=1, keepdims=True)
-            got = z[np.arange(len(mine)), self.of[target[mine]]]
-            np.exp(z, out=z)
-            out[mine] = got - np.log(z @ ones)
-        return out
+        np.divide(mixed, mixed[:, WIDTH:], out=h[:, WIDTH:])
 
     def train(self, ids: np.ndarray, lengths: np.ndarray, epochs: int = 1, rate: float = 0.02, seed: int = 5) -> list[float]:
         """Adam over shuffled batches of windows; gives the mean loss of each epoch."""
         w = windows(lengths)
+        late, beyond = CONTEXT - STRIDE, GROUPS + 1
+        # rows that do not occur have no gradient and stay: only the others take part (and row 0)
+        rows = self.row[ids]
+        occurs = np.bincount(rows, minlength=len(self.p["embed"])) > 0
+        occurs[0] = True
+        rows = (np.cumsum(occurs) - 1)[rows]
+        # by window: the subwords' rows, and the next subwords' classes and groups; positions that are not learnt get a group beyond all
+        rows = rows.astype(np.uint16 if occurs.sum() <= 1 << 16 else np.int32).take(w.positions)  # few bytes sort faster
         following = np.append(ids[1:], ids[:1])
-        rows, late = self.row[ids], CONTEXT - STRIDE
-        ends = np.zeros(len(ids), bool)
-        ends[np.cumsum(lengths) - 1] = True
+        group = self.group[following].astype(np.uint8)
+        group[np.cumsum(lengths) - 1] = beyond
+        here = w.positions[:, late:]
+        group, of = np.where(w.scored, group.take(here), np.uint8(beyond)), self.of[following].astype(np.uint8).take(here)
         rng = np.random.default_rng(seed)
         # weights, gradients and moments lie end to end: a step is a few passes over them
-        flat = np.concatenate([x.ravel() for x in self.p.values()])
-        grad, m, u, spare = (np.zeros_like(flat) for _ in range(4))
-        p, g = _views(flat, self.p), _views(grad, self.p)
+        joined = self._joined()
+        joined["embed"] = joined["embed"][occurs]
+        flat = np.concatenate([x.ravel() for x in joined.values()])
+        grad, m, u = (np.zeros_like(flat) for _ in range(3))
+        spare = np.empty(PIECE, np.float32)
+        p, g = _views(flat, joined), _views(grad, joined)
+        embed, near, out, within = (p[name] for name in ("embed", "near", "out", "within"))
+        of_group = list(zip(within, within.transpose(0, 2, 1), g["within"]))
         step, losses = 0, []
         steps = epochs * -(-len(w.positions) // BATCH)
-        scale, ones = np.float32(1 / np.sqrt(WIDTH)), np.ones(BATCH * STRIDE, np.float32)
+        scale = np.float32(1 / np.sqrt(WIDTH))
+        # room that the steps share
+        keys = np.ones((BATCH * CONTEXT, 3 * WIDTH + 1), np.float32)  # query, key, value of each position, and a one
+        dkeys = np.zeros((BATCH, CONTEXT, 3 * WIDTH), np.float32)  # queries before the scored ones stay zero
+        h = np.empty((BATCH * STRIDE, 2 * WIDTH + 1), np.float32)  # last embedding, mixed values, a one (for the biases)
+        y, far, dh = (np.empty((BATCH * STRIDE, n), np.float32) for n in (CLASSES, 2 * WIDTH + 1, 2 * WIDTH + 1))
+        of_mixed = np.repeat(np.array([0, -1, 0], np.float32), [WIDTH, WIDTH, 1])
         for _ in range(epochs):
             order = rng.permutation(len(w.positions))
             loss = seen = 0.0
             for i in range(0, len(order), BATCH):
                 pick = order[i : i + BATCH]
-                at, valid = w.positions[pick], w.valid[pick]
-                own = rows[at]
-                x = p["embed"].take(own.ravel(), axis=0)
-                last = x.reshape(len(pick), CONTEXT, WIDTH)[:, late:].reshape(-1, WIDTH)
-                q = ((last @ p["query"]) * scale).reshape(len(pick), STRIDE, WIDTH)
-                k, v = ((x @ p[name]).reshape(len(pick), CONTEXT, WIDTH) for name in ("key", "value"))
+                n_windows, n_late = len(pick), len(pick) * STRIDE
+                own, valid = rows.take(pick, axis=0).ravel(), w.valid.take(pick, axis=0)
+                x = embed.take(own, axis=0)
+                qkv = p["qkv"].copy()
+                qkv[:, :WIDTH] *= scale
+                np.matmul(x, qkv, out=keys[: len(x), : 3 * WIDTH])
+                kept = keys[: len(x)].reshape(n_windows, CONTEXT, 3 * WIDTH + 1)
+                q, k, v = kept[:, late:, :WIDTH], kept[:, :, WIDTH : 2 * WIDTH], kept[:, :, 2 * WIDTH :]
                 a = q @ k.transpose(0, 2, 1)
-                a += np.where(_ALLOWED, p["near"][_DISTANCE], np.float32(-1e9))
+                a += np.where(_ALLOWED, near[_DISTANCE], np.float32(-1e9))
                 if len(early := np.flatnonzero(~valid[:, 0])):  # keys before the sequence; those after it are masked anyway
                     a[early] += np.where(valid[early], np.float32(0), np.float32(-1e9))[:, None, :]
-                a = _softmax(a.reshape(-1, CONTEXT)).reshape(a.shape)
-                h = np.concatenate((last, (a @ v).reshape(-1, WIDTH)), axis=1)
-                here = at[:, late:].ravel()
-                live = np.flatnonzero(w.scored[pick].ravel() & ~ends[here])
-                live = live[np.argsort(self.group[following[here[live]]], kind="stable")]
-                target = following[here[live]]
-                group, of, each = self.group[target], self.of[target], np.arange(len(live))
-                n = np.float32(max(1, len(live)))
-                hs = h[live]
-                z = _softmax(hs @ p["out"] + p["bias"])
-                loss -= float(np.log(np.maximum(z[each, group], 1e-30)).sum())
-                z[each, group] -= 1
-                z /= n
-                g["out"][:], g["bias"][:] = hs.T @ z, ones[: len(z)] @ z
-                back = z @ p["out"].T
-                size = np.bincount(group, minlength=GROUPS + 1)
+                a, total = _exponentials(a.reshape(-1, CONTEXT))
+                a *= (1 / total)[:, None]
+                a = a.reshape(n_windows, STRIDE, CONTEXT)
+                late_h = h[:n_late]
+                by_window = late_h.reshape(n_windows, STRIDE, -1)
+                by_window[..., :WIDTH] = x.reshape(n_windows, CONTEXT, WIDTH)[:, late:]
+                np.matmul(a, v, out=by_window[..., WIDTH:])
+                # positions that are learnt, in order of the groups of their next subwords
+                goal = group.take(pick, axis=0).ravel()
+                size = np.bincount(goal, minlength=beyond + 1)[:beyond]
                 stop = np.cumsum(size)
-                parts = [(c, slice(stop[c] - size[c], stop[c])) for c in np.flatnonzero(size)]
-                z = p["within_bias"][group]
+                live = np.argsort(goal, kind="stable")[: stop[-1]]
+                goal, each = goal[live], np.arange(len(live))
+                n = np.float32(max(1, len(live)))
+                hs = late_h.take(live, axis=0)
+                z, total = _exponentials(hs @ out)
+                its = each * beyond + goal
+                loss -= float(np.log(np.maximum(z.ravel().take(its) / total, 1e-30)).sum())
+                z *= (1 / (total * n))[:, None]
+                z.ravel()[its] -= 1 / n
+                _outer(hs, z, g["out"])
+                back = z @ out.T
+                parts = [(c, slice(j - k, j)) for c, (j, k) in enumerate(zip(stop.tolist(), size.tolist())) if k]
                 for c, part in parts:
-                    z[part] += hs[part] @ p["within"][c]
-                z = _softmax(z)
-                loss -= float(np.log(np.maximum(z[each, of], 1e-30)).sum())
-                z[each, of] -= 1
-                z /= n
-                g["within"][:], g["within_bias"][:] = 0, 0
+                    np.dot(hs[part], of_group[c][0], out=y[part])
+                z, total = _exponentials(y[: len(live)])
+                its = each * CLASSES + of.take(pick, axis=0).ravel().take(live)
+                loss -= float(np.log(np.maximum(z.ravel().take(its) / total, 1e-30)).sum())
+                np.multiply(z, (1 / (total * n))[:, None], out=y[: len(live)])
+                y.ravel()[its] -= 1 / n
+                g["within"][size == 0] = 0
                 for c, part in parts:
-                    np.dot(hs[part].T, z[part], out=g["within"][c])
-                    back[part] += z[part] @ p["within"][c].T
-                if parts:
-                    some = np.flatnonzero(size)
-                    g["within_bias"][some] = np.add.reduceat(z, (stop - size)[some])
+                    _, turned, g_within = of_group[c]
+                    np.dot(hs[part].T, zs := y[part], out=g_within)
+                    np.dot(zs, turned, out=far[part])
+                back += far[: len(live)]
                 seen += len(live)
-                dh = np.zeros_like(h)
-                dh[live] = back
-                dlast, dmix = dh[:, :WIDTH], dh[:, WIDTH:].reshape(len(pick), STRIDE, WIDTH)
-                dv = (a.transpose(0, 2, 1) @ dmix).reshape(-1, WIDTH)
-                da = dmix @ v.transpose(0, 2, 1)
-                da -= ((da * a).reshape(-1, CONTEXT) @ np.ones(CONTEXT, np.float32)).reshape(len(pick), STRIDE, 1)
+                # in the place of the one: less what the weights' normalisation takes off the gradients of all energies
+                back[:, -1] = (back * hs) @ of_mixed
+                late_dh = dh[:n_late]
+                late_dh[:] = 0
+                late_dh[live] = back
+                late_dh = late_dh.reshape(n_windows, STRIDE, -1)
+                da = late_dh[..., WIDTH:] @ v.transpose(0, 2, 1)
                 da *= a
                 g["near"][:] = np.bincount(_DISTANCE[_ALLOWED], weights=da.sum(axis=0)[_ALLOWED], minlength=CONTEXT)
-                dq, dk = ((da @ k) * scale).reshape(-1, WIDTH), (da.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-                g["query"][:], g["key"][:], g["value"][:] = last.T @ dq, x.T @ dk, x.T @ dv
-                dx = dk @ p["key"].T
-                dx += dv @ p["value"].T
-                dx.reshape(len(pick), CONTEXT, WIDTH)[:, late:] += (dq @ p["query"].T + dlast).reshape(len(pick), STRIDE, WIDTH)
-                by_row = np.argsort(own.ravel())
-                ranked = own.ravel()[by_row]
-                fresh = np.flatnonzero(np.diff(ranked, prepend=-1))
+                dqkv = dkeys[:n_windows]
+                np.matmul(da, k, out=dqkv[:, late:, :WIDTH])
+                np.matmul(da.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
+                np.matmul(a.transpose(0, 2, 1), late_dh[..., WIDTH:-1], out=dqkv[..., 2 * WIDTH :])
+                dqkv = dqkv.reshape(-1, 3 * WIDTH)
+                _outer(x, dqkv, g["qkv"])
+                g["qkv"][:, :WIDTH] *= scale
+                dx = dqkv @ qkv.T
+                dx.reshape(n_windows, CONTEXT, WIDTH)[:, late:] += late_dh[..., :WIDTH]
+                by_row = np.argsort(own, kind="stable")
+                ranked = own.take(by_row)
+                fresh = np.append(0, np.flatnonzero(ranked[1:] != ranked[:-1]) + 1)
                 g["embed"][:] = 0
-                g["embed"][ranked[fresh]] = np.add.reduceat(dx[by_row], fresh)
+                g["embed"][ranked[fresh]] = np.add.reduceat(dx.take(by_row, axis=0), fresh)
                 g["embed"][0] = 0
                 step += 1
-                np.subtract(grad, m, out=spare)
-                spare *= np.float32(0.1)
-                m += spare
-                np.multiply(grad, grad, out=spare)
-                spare -= u
-                spare *= np.float32(0.01)
-                u += spare
-                np.sqrt(u, out=spare)
-                spare *= np.float32(1 / np.sqrt(1 - 0.99**step))
-                spare += np.float32(1e-8)
-                np.divide(m, spare, out=spare)
-                spare *= np.float32(rate * (1 - step / (steps + 1)) / (1 - 0.9**step))
-                flat -= spare
+                root = 0.1 / np.sqrt(1 - 0.99**step)
+                _descend(flat, grad, m, u, spare, np.float32(1e-8 / root), np.float32(0.1 * rate * (1 - step / (steps + 1)) / (1 - 0.9**step) / root))
             losses.append(loss / max(1.0, seen))
-        self.p = {k: x.copy() for k, x in p.items()}
+        whole = self.p["embed"].copy()
+        whole[occurs] = embed
+        self._split(p | {"embed": whole})
         self.tables()
         return losses
 
+    def _joined(self) -> dict[str, np.ndarray]:
+        """The weights as training uses them: queries, keys and values side by side; the biases as a last row, for a last column of ones."""
+        p = self.p
+        return {
+            "embed": p["embed"],
+            "qkv": np.concatenate([p[name] for name in ("query", "key", "value")], axis=1),
+            "near": p["near"],
+            "out": np.concatenate((p["out"], p["bias"][None])),
+            "within": np.concatenate((p["within"], p["within_bias"][:, None]), axis=1),
+        }
+
+    def _split(self, joined: dict[str, np.ndarray]) -> None:
+        """Set the weights from what ``_joined`` gave."""
+        query, key, value = np.split(joined["qkv"], 3, axis=1)
+        out, within = joined["out"], joined["within"]
+        new = {"embed": joined["embed"], "query": query, "key": key, "value": value, "near": joined["near"], "out": out[:-1], "bias": out[-1], "within": within[:, :-1], "within_bias": within[:, -1]}
+        self.p = {k: new[k].copy() for k in self.p}
+
+
+def _descend(flat: np.ndarray, grad: np.ndarray, m: np.ndarray, u: np.ndarray, spare: np.ndarray, least: np.float32, rate: np.float32) -> None:
+    """A step of Adam, a piece that stays in the cache at a time: ``m`` is ten times the mean of the gradients, ``u`` a hundred times that of their squares."""
+    for i in range(0, len(flat), len(spare)):
+        g, own_m, own_u = (x[i : i + len(spare)] for x in (grad, m, u))
+        by = spare[: len(g)]
+        own_m *= np.float32(0.9)
+        own_m += g
+        g *= g
+        own_u *= np.float32(0.99)
+        own_u += g
+        np.sqrt(own_u, out=by)
+        by += least
+        np.divide(own_m, by, out=by)
+        by *= rate
+        flat[i : i + len(spare)] -= by
+
+
+def _outer(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
+    """The transpose of ``a`` times ``b``, in stretches of rows that stay in the cache."""
+    whole = len(a) // STRETCH * STRETCH
+    np.dot(a[whole:].T, b[whole:], out=out)
+    if whole:
+        out += np.matmul(a[:whole].reshape(-1, STRETCH, a.shape[1]).transpose(0, 2, 1), b[:whole].reshape(-1, STRETCH, b.shape[1])).sum(axis=0)
+
 
 def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Arrays of the shapes of ``like`` that lie end to end in ``flat``."""
@@ -357,16 +405,25 @@ def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return {k: flat[j - x.size : j].reshape(x.shape) for (k, x), j in zip(like.items(), stops)}
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """Of each row. Its maximum is taken off only where exponentials could leave the range."""
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, and their sums. The row's maximum is taken off (in place) only where exponentials could leave the range."""
     ones = np.ones(z.shape[1], np.float32)
     if z.size and z.max() < 60:
         e = np.exp(z)
         total = e @ ones
         if total.min() > 1e-20:
-            e /= total[:, None]
-            return e
+            return e, total
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return z, z @ ones
+
+
+def _log_shares(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log share of each row's target in the softmax of the row; maxima as in ``_exponentials``."""
+    got, ones = z.ravel().take(np.arange(0, z.size, z.shape[1]) + target), np.ones(z.shape[1], np.float32)
+    if z.size and z.max() < 60:
+        total = np.exp(z) @ ones
+        if total.min() > 1e-20:
+            return got - np.log(total)
+    top = z.max(axis=1)
+    return got - top - np.log(np.exp(z - top[:, None]) @ ones)

@@ -225,15 +225,16 @@ def _sequences(words: Words, ids: np.ndarray, lengths: np.ndarray, first: int, l
     """Documents first..last as sequences (end symbol, subwords, end symbol) end to end, and their lengths."""
     rows = words.rows[first : last + 1]
     of = words.of[rows[0] : rows[-1]]
-    offset = np.cumsum(lengths) - lengths
     n = lengths[of]
-    doc = np.repeat(np.arange(last - first), np.diff(rows))
-    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    begin = np.cumsum(n) - n + 1 + 2 * doc  # of each word in the sequences
-    per_doc = np.bincount(doc, weights=n, minlength=last - first).astype(np.int64) + 2
-    out = np.full(int(per_doc.sum()), end, np.int64)
-    out[np.repeat(begin, n) + inside] = ids[np.repeat(offset[of], n) + inside]
-    return out, per_doc
+    at = np.concatenate(([0], np.cumsum(n)))  # of each word among the subwords
+    of_docs = np.diff(at[rows - rows[0]])
+    place = np.arange(at[-1])
+    from_ids = np.repeat((np.cumsum(lengths) - lengths)[of] - at[:-1], n)
+    from_ids += place
+    place += np.repeat(1 + 2 * np.arange(last - first), of_docs)
+    out = np.full(len(place) + 2 * (last - first), end, np.int64)
+    out[place] = ids.take(from_ids)
+    return out, of_docs + 2
 
 
 def _slabs(words: Words, lengths: np.ndarray, limit: int):
