@@ -23,6 +23,7 @@ from ..plans.parser import parse
 from ..shared import shared_dir
 from ..sources.catalog import Catalog, ClassTable
 from ..sources.objects import term_struct
+from .spread import spread_join
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,10 @@ class Frame:
     df: DataFrame
     info: dict[str, Info] = field(default_factory=dict)
     catalog: Catalog | None = None
+    #: Variables of which no value comes twice.
+    unique: frozenset[str] = frozenset()
+    #: Made by a join that was spread: not to be counted again.
+    wide: bool = False
 
     def typed(self, name: str) -> Typed:
         if name not in self.info:
@@ -119,7 +124,7 @@ class Lowering:
                 f = self.lower(node.node)
                 names = list(dict.fromkeys(v.name for v in node.variables))
                 df = f.df.select(*[F.col(n) if n in f.info else F.lit(None).cast("string").alias(n) for n in names])
-                return Frame(df, {n: f.info.get(n, Info(maybe=True)) for n in names}, self.catalog)
+                return replace(f, df=df, info={n: f.info.get(n, Info(maybe=True)) for n in names}, unique=f.unique & set(names))
             case A.Distinct():
                 f = self.lower(node.node)
                 return replace(f, df=f.df.distinct())
@@ -143,7 +148,7 @@ class Lowering:
             raise UnsupportedConstruct(f"?{name} is bound already")
         x = Compiler(f).typed(e)
         info = Info("iri", x.prefix, True) if x.kind == "iri" else Info(maybe=True, lang=x.lang, datatype=x.datatype if x.lang or x.datatype.endswith("Duration") else "")
-        return Frame(f.df.withColumn(name, x.column), {**f.info, name: info}, self.catalog)
+        return replace(f, df=f.df.withColumn(name, x.column), info={**f.info, name: info})
 
     # Joins
     def _aligned(self, left: Frame, right: Frame, shared: list[str]) -> tuple[Frame, Frame]:
@@ -164,7 +169,7 @@ class Lowering:
             rdf = rdf.withColumn(n, y.text(right.typed(n)))
             kind = "iri" if "iri" in (a.kind, b.kind) else "lit"
             linfo[n], rinfo[n] = replace(a, kind=kind, prefix=None), replace(b, kind=kind, prefix=None)
-        return Frame(ldf, linfo, self.catalog), Frame(rdf, rinfo, self.catalog)
+        return replace(left, df=ldf, info=linfo), replace(right, df=rdf, info=rinfo)
 
     def join(self, left: Frame, right: Frame, how: str = "inner", conditions: list | None = None) -> Frame:
         """Join on compatible bindings; ``conditions`` are expressions over both sides."""
@@ -175,8 +180,15 @@ class Lowering:
         own = {n: replace(i, maybe=i.maybe or outer) for n, i in right.info.items() if n not in shared}
         info = {n: replace(i, maybe=i.maybe and (outer or right.info[n].maybe)) if n in shared else i for n, i in left.info.items()} | own
         if not loose and not conditions:
-            df = left.df.join(right.df, shared, how) if shared else left.df.crossJoin(right.df) if not outer else left.df.join(right.df, F.lit(True), "left")
-            return Frame(df.select(*info), info, self.catalog)
+            once, once_left = right.unique & set(shared), left.unique & set(shared)
+            # a row meets one other at most, or there may be many pairs
+            unique = (left.unique if once else frozenset()) | (right.unique if once_left and not outer else frozenset())
+            wide = left.wide or right.wide
+            if how == "inner" and not (once or once_left or wide):
+                df, wide = spread_join(left.df, right.df, shared)
+            else:
+                df = left.df.join(right.df, shared, how) if shared else left.df.crossJoin(right.df) if not outer else left.df.join(right.df, F.lit(True), "left")
+            return Frame(df.select(*info), info, self.catalog, unique, wide)
         if not conditions and (split := self._split(left, right, loose, how)):
             return split
         renamed = {n: self.name() for n in shared}
@@ -208,8 +220,8 @@ class Lowering:
             return None
         mine = left.info[n].maybe
         side = left if mine else right
-        bound = Frame(side.df.where(F.col(n).isNotNull()), {**side.info, n: replace(side.info[n], maybe=False)}, self.catalog)
-        unbound = Frame(side.df.where(F.col(n).isNull()).drop(n), {k: i for k, i in side.info.items() if k != n}, self.catalog)
+        bound = replace(side, df=side.df.where(F.col(n).isNotNull()), info={**side.info, n: replace(side.info[n], maybe=False)})
+        unbound = replace(side, df=side.df.where(F.col(n).isNull()).drop(n), info={k: i for k, i in side.info.items() if k != n}, unique=side.unique - {n})
         parts = [self.join(x, right, how) if mine else self.join(left, x, how) for x in (bound, unbound)]
         return self.union(*parts)
 
@@ -251,7 +263,7 @@ class Lowering:
         for n in names:
             own = left.info.get(n) or right.info[n]
             info[n] = replace(own, maybe=n not in left.info or n not in right.info or left.info[n].maybe or right.info[n].maybe)
-        return Frame(left.df.unionByName(right.df, allowMissingColumns=True).select(*names), info, self.catalog)
+        return Frame(left.df.unionByName(right.df, allowMissingColumns=True).select(*names), info, self.catalog, wide=left.wide or right.wide)
 
     def minus(self, left: Frame, right: Frame) -> Frame:
         shared = [n for n in left.info if n in right.info]
@@ -601,7 +613,8 @@ class Lowering:
             else:
                 df = df.withColumn(n, F.explode(F.col(at))).drop(f"{n}#{i}")
                 info[n] = own
-        return Frame(df, info, self.catalog)
+        unique = {subject.name} if isinstance(subject, A.Var) and table.key is not None and not explodes else ()
+        return Frame(df, info, self.catalog, frozenset(unique))
 
     def any_slot(self, table: ClassTable, t: A.Triple, explodes: list) -> None:
         """A variable predicate: the row's slots as (p, o) pairs, o as text."""
