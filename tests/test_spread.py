@@ -33,7 +33,7 @@ def test_sides_without_a_common_column(spark, small):
     assert spread.spread_join(spark.range(3).toDF("a"), spark.range(0).toDF("b"), [])[0].count() == 0
 
 
-@pytest.mark.parametrize("name", ["optional_then_join"])
+@pytest.mark.parametrize("name", ["optional_then_join", "value_join", "theta_self_join"])
 def test_queries_give_the_same_rows_spread(spark, sf, same, small, name):
     same(graph_queries.QUERIES[name], graph_queries.SQL[name])
 
@@ -45,6 +45,10 @@ def test_cross_join_of_unbound_rows_is_spread(spark, sf, small):
     assert most_in_a_task(found) < 2000
 
 
+def test_value_join_is_spread(spark, sf, small):
+    assert most_in_a_task(graph_queries.QUERIES["value_join"](spark, sf)) < 150
+
+
 def test_a_join_on_a_key_is_not_counted(spark, sf, monkeypatch):
     def counted(*_):
         raise AssertionError("counted")
