@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +14,7 @@ from ..plans import algebra as A
 from ..plans.parser import parse
 from ..plans.rules import And, Not, Or, PathEquals, PropCount, PropEquals, PropIn, Shape, UniqueByMember, from_json, local_name, parse_shapes, path_name, to_json
 from .rules import text_of, values_equal, violations, violations_of
+from .spread import spread_join
 
 
 # Predicates
@@ -332,16 +334,31 @@ def allowed_members(df: DataFrame, rule: UniqueByMember, keep: list[str]) -> Dat
     return df.select(*keep, free.alias("allowed"))
 
 
-def peers(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
-    """(key, peer) of rows that agree in all attributes: an equi-join on these, never on NULL."""
-    a = df.select(F.col(key), *attributes)
-    b = df.select(F.col(key).alias("peer"), *attributes)
-    return a.join(b, attributes).where(F.col(key) != F.col("peer")).select(key, "peer")
+def peers(df: DataFrame, key: str, attributes: list[str], given: Iterable[list[str]] = ()) -> DataFrame:
+    """(key, peer) of rows that agree in all attributes: an equi-join on these, never on NULL.
+
+    Pairs that agree in all attributes of one of ``given`` are left out.
+    """
+    more = [a for a in dict.fromkeys(a for other in given for a in other) if a not in attributes]
+    a = df.select(F.col(key), *attributes, *more)
+    b = df.select(F.col(key).alias("peer"), *attributes, *[F.col(m).alias(f"_peer_{m}") for m in more])
+    found = spread_join(a, b, attributes)[0].where(F.col(key) != F.col("peer"))
+    for other in given:
+        found = found.where(~F.coalesce(reduce(Column.__and__, [F.col(m) == F.col(f"_peer_{m}") for m in other if m in more], F.lit(True)), F.lit(False)))
+    return found.select(key, "peer")
 
 
 def scope_peers(df: DataFrame, shapes: list[Shape], key: str) -> DataFrame:
-    """(key, peer) of all query rules together: for each rule the rows that agree in its shared attributes; a pair counts once."""
+    """(key, peer) of all query rules together: for each rule the rows that agree in its shared attributes; a pair counts once.
+
+    Where each row has a key of its own, a rule leaves out the pairs of the
+    rules before it, so that no pair is looked up among all others.
+    """
     found = [attributes for s in shapes if s.select and (attributes := shared_attributes(s.select))]
     if not found:
         return df.select(F.col(key), F.col(key).alias("peer")).limit(0)
-    return reduce(DataFrame.union, [peers(df, key, attributes) for attributes in found]).distinct()
+    if not df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        return reduce(DataFrame.union, [peers(df, key, attributes) for attributes in found]).distinct()
+    # a rule whose attributes hold all of another's gives nothing more
+    least = [x for i, x in enumerate(found) if not any(set(y) < set(x) or j < i and set(y) == set(x) for j, y in enumerate(found))]
+    return reduce(DataFrame.union, [peers(df, key, x, least[:i]) for i, x in enumerate(least)])
