@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veldgraph import graph_queries
-from veldgraph.operators import spread
+from veldgraph import graph_queries, more_queries
+from veldgraph.operators import lower, spread
+from veldgraph.sources.tables import catalog
 
 
 @pytest.fixture
@@ -56,3 +57,37 @@ def test_a_join_on_a_key_is_not_counted(spark, sf, monkeypatch):
     monkeypatch.setattr(spread, "_pairs", counted)
     for name in ("fk_inner", "chain3", "optional_star", "fan_out"):
         graph_queries.QUERIES[name](spark, sf)
+
+
+PLAIN = [
+    "SELECT $this ?path WHERE { $this a :Supplier ; :nation ?n . ?peer a :Supplier ; :nation ?n . FILTER(?peer != $this) BIND(:nation AS ?path) }",
+    "SELECT $this WHERE { $this a :Supplier ; :nation ?n . ?peer a :Supplier ; :nation ?n . FILTER($this != ?peer) }",
+    "SELECT $this ?path WHERE { $this a :Supplier ; :nation ?n . ?peer a :Customer ; :nation ?n . FILTER(?peer != $this) BIND(?n AS ?path) }",
+    "SELECT $this WHERE { $this a :Supplier ; :nation ?n . ?peer a :Customer ; :nation ?n ; :segment 'BUILDING' }",
+    "SELECT $this WHERE { $this a :Supplier ; :nation ?n ; :acctbal ?b . ?peer a :Supplier ; :nation ?n ; :acctbal ?d . FILTER(?peer != $this && ?d > ?b) }",
+    "SELECT $this ?path WHERE { $this a :Supplier ; :nation ?n . ?path a :Supplier ; :nation ?n . FILTER(?path != $this) }",
+    "SELECT $this WHERE { $this a :Supplier ; :nation ?n . ?p a :Supplier ; :nation ?n . ?q a :Customer ; :nation ?n . FILTER(?p != $this) FILTER(?p != ?q) }",
+    "SELECT $this WHERE { $this a :Supplier ; :nation ?n . ?p a :Supplier ; :nation ?n . ?q a :Supplier ; :nation ?n . FILTER(?p != $this && ?q != $this && ?p != ?q) }",
+    "SELECT $this WHERE { $this a :Nation . ?p a :Supplier ; :nation $this . ?q a :Supplier ; :nation $this . FILTER(?p != ?q) }",
+    "SELECT $this WHERE { $this a :Order ; :customer ?c ; :status 'P' . ?peer a :Order ; :customer ?c ; :status 'F' . FILTER(?peer != $this) }",
+    "SELECT $this WHERE { $this a :Supplier ; :nation ?n . ?peer a :Party ; :nation ?n . FILTER(?peer != $this) }",
+]
+
+
+@pytest.mark.parametrize("text", PLAIN)
+def test_set_of_some_variables(spark, text):
+    tables = catalog(spark, "/root/testdata/sf0.01")
+    whole = lower.solutions(spark, tables, text).df
+    found = lower.solutions(spark, tables, text, keep=("this", "path")).df
+    columns = [c for c in ("this", "path") if c in whole.columns]
+    assert set(map(tuple, found.select(*columns).collect())) == set(map(tuple, whole.select(*columns).collect())) != set()
+
+
+def test_query_rule_makes_no_pairs(spark):
+    found = lower.solutions(spark, catalog(spark, "/root/testdata/sf0.01"), PLAIN[0], keep=("this", "path")).df
+    assert found.count() == 100 - found.sparkSession.read.parquet("/root/testdata/sf0.01/supplier.parquet").groupBy("s_nationkey").count().where("count = 1").count()
+
+
+def test_registered_query_rule_makes_no_pairs(spark, sf):
+    plan = more_queries.shacl_sparql(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(peer" in plan and "max(peer" in plan

@@ -9,6 +9,7 @@ wherever both sides are surely bound. Catalyst plans the rest.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -82,6 +83,11 @@ def _conjuncts(e) -> list:
     return [x for a in e.args for x in _conjuncts(a)] if isinstance(e, A.Call) and e.name == "&&" else [e]
 
 
+def _plain(e) -> bool:
+    """Whether an expression reads nothing but variables: no EXISTS, and the same value each time."""
+    return not isinstance(e, A.Exists | A.Aggregate) and (not isinstance(e, A.Call) or e.name.lower() not in ("rand", "uuid", "struuid", "bnode") and all(map(_plain, e.args)))
+
+
 class Lowering:
     def __init__(self, catalog: Catalog, spark):
         self.catalog, self.spark, self.fresh = catalog, spark, 0
@@ -150,6 +156,64 @@ class Lowering:
         info = Info("iri", x.prefix, True) if x.kind == "iri" else Info(maybe=True, lang=x.lang, datatype=x.datatype if x.lang or x.datatype.endswith("Duration") else "")
         return replace(f, df=f.df.withColumn(name, x.column), info={**f.info, name: info})
 
+    # Nodes of which only some variables are asked for, each solution once or more
+    def lower_set(self, node, keep: set[str]) -> Frame:
+        """Like ``lower``, but only the set of the solutions' ``keep`` values counts.
+
+        So a star that is there to exist needs no join with each of its objects.
+        """
+        match node:
+            case A.Project() if keep <= {v.name for v in node.variables}:
+                return self.lower_set(node.node, keep)
+            case A.Distinct() | A.Reduced():
+                return self.lower_set(node.node, keep)
+            case A.Extend() if isinstance(node.expression, A.Iri | A.Literal | A.Var) and node.var.name not in _vars_of(node.expression):
+                return self.extend(self.lower_set(node.node, keep | {node.var.name} | _vars_of(node.expression)), node.var.name, node.expression)
+            case A.Filter(condition, A.Extend() as bind) if bind.var.name not in _vars_of(condition) and all(_plain(c) for c in _conjuncts(condition)):
+                return self.lower_set(replace(bind, node=A.Filter(condition, bind.node)), keep)
+            case A.Filter(condition, A.Filter() as inner):
+                return self.lower_set(A.Filter(A.Call("&&", (condition, inner.condition)), inner.node), keep)
+            case A.Filter(condition, A.Bgp() as bgp) if all(_plain(c) for c in _conjuncts(condition)):
+                return self._existing(bgp, _conjuncts(condition), keep)
+            case A.Bgp():
+                return self._existing(node, [], keep)
+        return self.lower(node)
+
+    def _existing(self, node: A.Bgp, conditions: list, keep: set[str]) -> Frame:
+        """A filtered basic pattern; stars with nothing of ``keep`` but what they share become one row a shared value.
+
+        Of a star's own variable that must differ from another (``?x != ?y``) the
+        least and the greatest value suffice: if any differs, one of them does.
+        """
+        if not node.triples:
+            return self.lower(A.Filter(reduce(lambda a, b: A.Call("&&", (a, b)), conditions), node) if conditions else node)
+        frames, left = self.stars(node.triples, []), list(conditions)
+        for i, f in enumerate(frames):
+            others = set().union(*[g.info for j, g in enumerate(frames) if j != i])
+            shared = [n for n in f.info if n in others]
+            own = [n for n in f.info if n not in others]
+            told = [c for c in left if _vars_of(c) & set(own)]
+            if not shared or keep & set(own) or any(f.info[n].maybe for n in shared) or f.unique & set(shared):
+                continue
+            apart = [c for c in told if isinstance(c, A.Call) and c.name == "!=" and all(isinstance(a, A.Var) for a in c.args) and len(_vars_of(c) & set(own)) == 1]
+            x = next(iter(_vars_of(apart[0]) & set(own))) if apart else None
+            if len(told) != len(apart) or len(apart) > 1 or apart and (f.info[x].kind != "iri" or f.info[x].maybe or not _vars_of(apart[0]) - {x} <= others):
+                continue
+            info = {n: f.info[n] for n in shared}
+            if apart:
+                least, most = self.name(), self.name()
+                df = f.df.groupBy(*shared).agg(F.min(x).alias(least), F.max(x).alias(most))
+                info |= {least: f.info[x], most: f.info[x]}
+                y = next(a for a in apart[0].args if a.name != x)
+                left[left.index(apart[0])] = A.Call("||", tuple(A.Call("!=", (A.Var(n), y)) for n in (least, most)))
+            else:
+                df = f.df.select(*shared).distinct()
+            frames[i] = Frame(df, info, self.catalog, frozenset(shared if len(shared) == 1 else ()))
+        done = self.joined(frames)
+        for c in left:
+            done = self._marked(done, c)
+        return done
+
     # Joins
     def _aligned(self, left: Frame, right: Frame, shared: list[str]) -> tuple[Frame, Frame]:
         """Both sides with shared variables in one representation each."""
@@ -394,8 +458,10 @@ class Lowering:
 
     # Basic graph patterns
     def bgp(self, triples: list[A.Triple], optional: list[A.Triple]) -> Frame:
-        if not triples:
-            return self.unit()
+        return self.joined(self.stars(triples, optional)) if triples else self.unit()
+
+    def stars(self, triples: list[A.Triple], optional: list[A.Triple]) -> list[Frame]:
+        """A frame for each subject and each path."""
         stars: dict[object, list[A.Triple]] = {}
         frames: list[Frame] = []
         for t in triples:
@@ -414,8 +480,10 @@ class Lowering:
             extra.setdefault(t.s, []).append(t)
         # references to other stars' subjects tell those stars' classes
         hints = self.hints(stars)
-        frames += [self.star(s, ts, extra.get(s, []), hints.get(s)) for s, ts in stars.items()]
-        # Join what shares a variable first; cross joins last.
+        return frames + [self.star(s, ts, extra.get(s, []), hints.get(s)) for s, ts in stars.items()]
+
+    def joined(self, frames: list[Frame]) -> Frame:
+        """Join what shares a variable first; cross joins last."""
         done = frames.pop(0)
         while frames:
             i = next((i for i, f in enumerate(frames) if set(f.info) & set(done.info)), 0)
@@ -689,12 +757,25 @@ class Limits:
     max_rows: int | None = 10_000
 
 
-def solutions(spark, catalog: Catalog, text: str, prefixes: dict[str, str] | None = None) -> Frame:
-    """The solutions of a SELECT with what is known of each variable."""
+def solutions(spark, catalog: Catalog, text: str, prefixes: dict[str, str] | None = None, keep: Iterable[str] | None = None) -> Frame:
+    """The solutions of a SELECT with what is known of each variable.
+
+    With ``keep`` only the set of these variables' values counts (those that the
+    query selects): solutions that do not differ in them may be one, and other
+    variables may be missing.
+    """
     q = parse(text, {"": catalog.namespace, **(prefixes or {})})
     if q.form != "SELECT":
         raise UnsupportedConstruct(f"{q.form} has no solutions")
-    return Lowering(catalog, spark).lower(q.node)
+    low = Lowering(catalog, spark)
+    if keep is None or not isinstance(q.node, A.Project | A.Distinct | A.Reduced):
+        return low.lower(q.node)
+    top = q.node
+    while isinstance(top, A.Distinct | A.Reduced):
+        top = top.node
+    names = {v.name for v in top.variables} & set(keep) if isinstance(top, A.Project) else set(keep)
+    f = low.lower_set(q.node, names)
+    return replace(f, df=f.df.select(*[n for n in f.info if n in names]), info={n: i for n, i in f.info.items() if n in names})
 
 
 def query(spark, catalog: Catalog, text: str, prefixes: dict[str, str] | None = None, max_rows: int | None = None) -> DataFrame:

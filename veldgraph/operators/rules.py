@@ -206,7 +206,7 @@ def sparql_violations(spark, catalog, shapes: list[Shape], prefixes: dict[str, s
     for s in shapes:
         if not s.select:
             continue
-        f = solutions(spark, catalog, s.select, prefixes)
+        f = solutions(spark, catalog, s.select, prefixes, ("this", "path"))
         c = Compiler(f)
         this = c.text(f.typed("this"))
         path = F.element_at(F.split(c.text(f.typed("path")), "[/#:]"), -1) if "path" in f.info else F.lit(None).cast("string")
