@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,29 @@ def test_flat_and_folded_agree(spark):
     folded = h.fold_history(stages)
     text = lambda j: None if j == "null" else str(json.loads(j))
     assert sorted((r.object, r.seq, r.path, r.op, r.old, r.new) for r in flat.collect()) == sorted(((r.object, r.seq, r.path[0], r.op, text(r.old), text(r.new)) for r in folded.collect()), key=lambda x: (x[0], x[1], x[2]))
+
+
+def test_alike_means_one_json_text():
+    values = [None, True, False, 0, 1, 1.0, 0.0, -0.0, float("nan"), "1", "", [], [1], [1.0], [None], {}, {"a": None}, {"a": 1}, {"a": True}, {"a": 1, "b": None}, {"b": 1}, {"a": {"c": None}}, {"a": {}}, {"a": [{"c": None}]}, {"a": [{}]}]
+    for a in values:
+        for b in values:
+            assert h._alike(a, b) == (json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)) == h.equals(a, b), (a, b)
+            assert not h._alike(a, b, True) or h.equals(a, b, True)
+    assert h.equals({"a": None, "b": {"c": None}}, {"b": {}}, True) and not h.equals({"a": None}, {})
+    assert not h.equals({"a": [None]}, {"a": []}, True)
+
+
+def test_keyed_lists_align_in_time_that_follows_their_length():
+    # with a search through the list for each member this took minutes
+    n = 60_000
+    a = [{"no": i, "q": 1} for i in range(n)]
+    b = [{"no": i, "q": 1 + (i % 2)} for i in range(n)]
+    began = time.process_time()
+    assert len(h.diff(a, b, True, identifiers=["no"])) == n // 2
+    assert time.process_time() - began < 20
+
+
+def test_patched_rows_leave_deltas_and_current_alone(spark):
+    rows = [(1, '{"l": [{"no": 0, "q": 1}, {"no": 1, "q": 2}]}', '{"l": [{"no": 1, "q": 4}], "m": {"x": [1]}}'), (2, None, "[1]"), (3, "[1, 2]", None), (4, '{"a": 1}', '{"a": 1.0}')]
+    found = h.patched_rows(spark.createDataFrame(rows, "k int, base string, current string"), "k", identifiers=["no"]).collect()
+    assert {r["k"]: (json.loads(r["value"]), r["same"]) for r in found} == {k: (json.loads(b or "null"), True) for k, _, b in rows}

@@ -11,6 +11,7 @@ import copy
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,8 +22,7 @@ from ..errors import VeldgraphError
 Path = tuple[str, ...]
 
 
-@dataclass(frozen=True)
-class Delta:
+class Delta(NamedTuple):
     path: Path
     op: str  # add, remove, update
     old: object = None
@@ -54,6 +54,38 @@ class Stage:
         return cls(d["meta"], d["value"], [Delta(tuple(x["path"]), x["op"], x.get("old"), x.get("new")) for x in d.get("deltas", [])], [tuple(p) for p in d.get("rejected_paths", [])], d.get("class_id", ""))
 
 
+_SCALARS = frozenset((str, int, bool, float, type(None)))
+
+
+def _copied(value):
+    """A copy of a JSON value."""
+    kind = type(value)
+    if kind in _SCALARS:
+        return value
+    if kind is dict:
+        return {k: x if type(x) in _SCALARS else _copied(x) for k, x in value.items()}
+    return [x if type(x) in _SCALARS else _copied(x) for x in value] if kind is list else copy.deepcopy(value)
+
+
+def _alike(a, b, nulls: bool = False) -> bool:
+    """Whether two values surely have one JSON text with sorted keys; with ``nulls`` a key that is null is as one that is absent."""
+    kind = type(a)
+    if kind is not type(b):
+        return False
+    if kind is dict:
+        held = 0
+        for k, x in a.items():
+            if nulls and x is None:
+                continue
+            if k not in b or not _alike(x, b[k], nulls):
+                return False
+            held += 1
+        return held == (sum(x is not None for x in b.values()) if nulls else len(b))
+    if kind is list:
+        return len(a) == len(b) and all(_alike(x, y, nulls) for x, y in zip(a, b))
+    return kind in _SCALARS and (a == b if kind is not float else repr(a) == repr(b))
+
+
 def _same(a, b) -> bool:
     return type(a) is type(b) and a == b if not isinstance(a, dict | list) else json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
 
@@ -74,7 +106,11 @@ def diff(source, target, treat_missing_as_null: bool = False, treat_changed_iden
     out: list[Delta] = []
 
     def identity(x):
-        return next((x[i] for i in ids if i in x), None) if isinstance(x, dict) else None
+        if isinstance(x, dict):
+            for i in ids:
+                if i in x:
+                    return x[i]
+        return None
 
     def keyed(names) -> bool:
         return all(isinstance(x, str | int) for x in names) and len(set(names)) == len(names)
@@ -86,7 +122,9 @@ def diff(source, target, treat_missing_as_null: bool = False, treat_changed_iden
                 return
             for k in a:
                 if k in b:
-                    walk(a[k], b[k], (*path, k))
+                    x, y = a[k], b[k]
+                    if type(x) is not type(y) or type(x) not in _SCALARS or x != y:
+                        walk(x, y, (*path, k))
                 elif treat_missing_as_null:
                     if path and path[-1] in maps:
                         out.append(Delta((*path, k), "remove", a[k], None))
@@ -98,19 +136,20 @@ def diff(source, target, treat_missing_as_null: bool = False, treat_changed_iden
         elif isinstance(a, list) and isinstance(b, list):
             mine, theirs = [identity(x) for x in a], [identity(x) for x in b]
             if a and b and keyed(mine) and keyed(theirs):
-                stay = [x for x in mine if x in theirs]
-                if stay != [x for x in theirs if x in mine]:
+                places, held = {x: i for i, x in enumerate(mine)}, set(theirs)
+                stay = [x for x in mine if x in held]
+                if stay != [x for x in theirs if x in places]:
                     out.append(Delta(path, "update", a, b))
                     return
                 for i in range(len(a) - 1, -1, -1):
-                    if mine[i] not in theirs:
+                    if mine[i] not in held:
                         out.append(Delta((*path, str(i)), "remove", a[i], None))
                 for i, x in enumerate(theirs):
-                    if x not in mine:
+                    if x not in places:
                         out.append(Delta((*path, str(i)), "add", None, b[i]))
                 for i, x in enumerate(theirs):
-                    if x in mine:
-                        walk(a[mine.index(x)], b[i], (*path, str(i)))
+                    if x in places:
+                        walk(a[places[x]], b[i], (*path, str(i)))
                 return
             for i, (x, y) in enumerate(zip(a, b)):
                 walk(x, y, (*path, str(i)))
@@ -157,14 +196,14 @@ def patch(source, deltas: Iterable[Delta], ignore_no_ops: bool = True, treat_mis
     update of it writes it, and one to null leaves it absent.
     """
     trace = Trace()
-    return _applied(copy.deepcopy(source), deltas, trace, ignore_no_ops, treat_missing_as_null), trace
+    return _applied(_copied(source), deltas, trace, ignore_no_ops, treat_missing_as_null), trace
 
 
 def _applied(value, deltas: Iterable[Delta], trace: Trace, ignore_no_ops: bool = True, treat_missing_as_null: bool = False):
     """``value`` itself, changed."""
     for d in deltas:
         if not d.path:
-            value = copy.deepcopy(d.new)
+            value = _copied(d.new)
             trace.updated.append(())
             continue
         parent, key = navigate(value, d.path[:-1], None), d.path[-1]
@@ -181,7 +220,7 @@ def _applied(value, deltas: Iterable[Delta], trace: Trace, ignore_no_ops: bool =
                 continue
             trace.updated.append(d.path[:-1])
             continue
-        new = copy.deepcopy(d.new)
+        new = _copied(d.new)
         if isinstance(parent, dict):
             if d.op == "update" and not exists and not treat_missing_as_null:
                 trace.failed.append(d.path)
@@ -311,6 +350,8 @@ def format_blame(value, blame: dict[Path, dict]) -> str:
 
 
 def equals(a, b, treat_missing_as_null: bool = False) -> bool:
+    if _alike(a, b, treat_missing_as_null):
+        return True
     if treat_missing_as_null:
 
         def strip(x):
@@ -418,7 +459,9 @@ def patched_rows(df: DataFrame, key: str, base: str = "base", current: str = "cu
             rows = []
             for k, a, b in zip(pdf[key], pdf[base], pdf[current]):
                 a, b = json.loads(a or "null"), json.loads(b or "null")
-                value, trace = patch(a, diff(a, b, True, identifiers=ids))
+                # the parsed base is this row's own: it changes in place
+                trace = Trace()
+                value = _applied(a, diff(a, b, True, identifiers=ids), trace)
                 rows.append((k, json.dumps(value), not trace.failed and equals(value, b, True)))
             yield pd.DataFrame(rows, columns=[key, "value", "same"])
 
